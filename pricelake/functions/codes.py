@@ -33,20 +33,34 @@ def is_standard_code_type(code_type: Column) -> Column:
     return F.upper(code_type).isin(*STANDARD_CODE_TYPES)
 
 
-def standard_codes(code_pairs: Column) -> Column:
-    """Pairs with canonical types, minus empty codes and non-standard types."""
-    named = F.transform(
+def _trimmed(code_pairs: Column) -> Column:
+    return F.transform(
         code_pairs,
         lambda p: F.struct(
-            normalize_code_type(p["type"]).alias("type"),
-            F.trim(p["code"]).alias("code"),
+            F.upper(F.trim(p["type"])).alias("type"), F.trim(p["code"]).alias("code")
         ),
     )
-    return F.filter(
-        named,
-        lambda p: p["code"].isNotNull()
-        & ~F.upper(p["code"]).isin(*EMPTY_CODES)
-        & is_standard_code_type(p["type"]),
+
+
+def _is_kept(pair: Column) -> Column:
+    return pair["type"].isin(*STANDARD_CODE_TYPES, *CODE_TYPE_ALIASES) & ~F.upper(
+        pair["code"]
+    ).isin(*EMPTY_CODES)
+
+
+def has_standard_code(code_pairs: Column) -> Column:
+    return F.exists(_trimmed(code_pairs), _is_kept)
+
+
+def standard_codes(code_pairs: Column) -> Column:
+    """Pairs with canonical types, minus empty codes and non-standard types."""
+    aliases = F.create_map(*[F.lit(x) for pair in CODE_TYPE_ALIASES.items() for x in pair])
+    return F.transform(
+        F.filter(_trimmed(code_pairs), _is_kept),
+        lambda p: F.struct(
+            F.coalesce(F.try_element_at(aliases, p["type"]), p["type"]).alias("type"),
+            p["code"].alias("code"),
+        ),
     )
 
 
@@ -55,7 +69,7 @@ def codes_map(pairs: Column) -> Column:
 
     Types are sorted, so that two equal maps also have equal JSON text.
     """
-    types = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["type"])))
+    types = F.sort_array(F.array_distinct(F.transform(pairs, lambda p: p["type"])))
     return F.map_from_entries(
         F.transform(
             types,
@@ -71,8 +85,7 @@ def codes_map(pairs: Column) -> Column:
 
 def codes_text(codes: Column) -> Column:
     """JSON text of a codes map; equal maps give equal text."""
-    entries = F.array_sort(F.map_entries(codes))
-    return F.to_json(F.map_from_entries(entries))
+    return F.to_json(F.map_from_entries(F.sort_array(F.map_entries(codes))))
 
 
 def codes_from_text(text: Column) -> Column:

@@ -4,23 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Texts that mean "no price".
-EMPTY_PRICES = ("", "N/A", "NULL", "NONE", "-")
-
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-# Whitespace a price cell may be padded with.
-BLANKS = " \t\n\r\f\u000b "
+# A number with nothing but blanks around it.  Signs other than plus do not match.
+_POSITIVE = r"^\s*(\+?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*$"
 
 
 def clean_price(text: Column) -> Column:
     """Number behind a price cell, or NULL when it is missing or not positive.
 
-    The pattern guard keeps out texts a cast would take for numbers
-    ('1d', 'NaN', 'Infinity'); an overflowing exponent is no price either.
+    The pattern keeps out texts a cast would take for numbers ('1d', 'NaN',
+    'Infinity'); an overflowing exponent is no price either.
     """
-    bare = F.btrim(F.translate(text, "$,", ""), F.lit(BLANKS))
-    number = F.when(bare.rlike(_NUMBER), bare.try_cast("double"))
-    return F.when((number > 0) & (number < F.lit(float("inf"))), number)
+    digits = F.regexp_extract(F.translate(text, "$,", ""), _POSITIVE, 1)
+    return F.nullif(
+        F.nullif(digits.try_cast("double"), F.lit(0.0)), F.lit(float("inf"))
+    )
 
 
 def to_table_price(price: Column) -> Column:

@@ -254,9 +254,8 @@ def column_mapping(headers: DataFrame, threshold: int = FUZZY_THRESHOLD) -> Data
     return headers.select("file").join(fields, "file", "left").join(codes, "file", "left")
 
 
-def mapping_flags(mapping: DataFrame) -> DataFrame:
-    """Which canonical parts were found, and the critical ones that were not."""
-    found = {
+def _found() -> dict[str, Column]:
+    return {
         "description": F.col("description_pos").isNotNull(),
         "has_codes": F.coalesce(F.size("code_columns"), F.lit(0)) > 0,
         "has_price": F.col("cash_price_pos").isNotNull() | F.col("gross_charge_pos").isNotNull(),
@@ -265,14 +264,26 @@ def mapping_flags(mapping: DataFrame) -> DataFrame:
             for f in ("cash_price", "gross_charge", "negotiated_min", "negotiated_max")
         },
     }
-    critical = {
+
+
+def missing_fields() -> Column:
+    """Critical parts a mapping row lacks."""
+    # How the report names them.
+    labels = {
         "description": "description",
         "has_codes": "code columns",
         "has_price": "pricing information",
     }
-    missing = F.array_compact(
-        F.array(*[F.when(~found[k], F.lit(label)) for k, label in critical.items()])
+    found = _found()
+    return F.array_compact(
+        F.array(*[F.when(~found[k], F.lit(label)) for k, label in labels.items()])
     )
+
+
+def mapping_flags(mapping: DataFrame) -> DataFrame:
+    """Which canonical parts were found, and the critical ones that were not."""
     return mapping.select(
-        "file", *[flag.alias(k) for k, flag in found.items()], missing.alias("missing_fields")
+        "file",
+        *[flag.alias(k) for k, flag in _found().items()],
+        missing_fields().alias("missing_fields"),
     )

@@ -30,49 +30,66 @@ def is_outpatient(setting: Column) -> Column:
     return setting.isin("", "outpatient")
 
 
-def normalize(
-    raw: DataFrame, outpatient_only: bool = True, require_cash_price: bool = True
-) -> DataFrame:
-    """Typed row and ``reasons`` for every raw charge line; no row is dropped.
-
-    A line is accepted when ``reasons`` is empty.  Narrow: one projection chain
-    over the scan, no shuffle.
-    """
-    cleaned = raw.select(
+def _typed(raw: DataFrame) -> DataFrame:
+    return raw.select(
         "facility_id",
         *POSITION,
         clean_description(F.col("description")).alias("description"),
         clean_setting(F.col("setting")).alias("setting"),
         *[P.clean_price(F.col(p)).alias(p) for p in PRICE_FIELDS],
         C.standard_codes(F.col("code_pairs")).alias("pairs"),
+        C.has_standard_code(F.col("code_pairs")).alias("has_code"),
     )
-    checks = [(NO_STANDARD_CODE, F.size("pairs") <= 0)]
+
+
+def _failures(outpatient_only: bool, require_cash_price: bool) -> dict[str, Column]:
+    checks = {NO_STANDARD_CODE: ~F.coalesce("has_code", F.lit(False))}
     if require_cash_price:
-        checks.append((NO_CASH_PRICE, F.col("cash_price").isNull()))
+        checks[NO_CASH_PRICE] = F.col("cash_price").isNull()
     if outpatient_only:
-        checks.append((NOT_OUTPATIENT, ~is_outpatient(F.col("setting"))))
-    reasons = F.array_compact(
-        F.array(*[F.when(failed, F.lit(reason)) for reason, failed in checks])
-    )
-    cash = F.col("cash_price") if require_cash_price else F.coalesce("cash_price", F.lit(0.0))
-    return cleaned.select(
+        checks[NOT_OUTPATIENT] = ~is_outpatient(F.col("setting"))
+    return checks
+
+
+def _lines(typed: DataFrame, *extra: Column) -> DataFrame:
+    return typed.select(
         "facility_id",
         *POSITION,
         "description",
         "setting",
-        cash.alias("cash_price"),
+        F.coalesce("cash_price", F.lit(0.0)).alias("cash_price"),
         *PRICE_FIELDS[1:],
-        C.codes_text(C.codes_map(F.col("pairs"))).alias("codes_key"),
-        reasons.alias("reasons"),
+        F.to_json(C.codes_map(F.col("pairs"))).alias("codes_key"),
+        *extra,
     )
 
 
-def accepted(normalized: DataFrame) -> DataFrame:
-    return normalized.where(F.size("reasons") == 0).drop("reasons")
+def normalize(
+    raw: DataFrame, outpatient_only: bool = True, require_cash_price: bool = True
+) -> DataFrame:
+    """Typed row and ``reasons`` for every raw charge line; no row is dropped.
+
+    A line is accepted when ``reasons`` is empty; a missing cash price counts
+    as 0 where it is not required.  One projection chain over the scan, no
+    shuffle.
+    """
+    failures = _failures(outpatient_only, require_cash_price)
+    reasons = F.array_compact(F.array(*[F.when(f, F.lit(name)) for name, f in failures.items()]))
+    return _lines(_typed(raw), reasons.alias("reasons"))
 
 
-def rejected(normalized: DataFrame) -> DataFrame:
-    return normalized.where(F.size("reasons") > 0)
+def accept(
+    raw: DataFrame, outpatient_only: bool = True, require_cash_price: bool = True
+) -> DataFrame:
+    """The accepted lines alone.
+
+    Same rows as ``normalize`` with empty reasons, but the checks are separate
+    filters: they move below the projection and spare rejected lines the rest.
+    """
+    typed = _typed(raw)
+    for failed in _failures(outpatient_only, require_cash_price).values():
+        typed = typed.where(~failed)
+    return _lines(typed)
 
 
 def with_codes(rows: DataFrame) -> DataFrame:

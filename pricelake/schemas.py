@@ -6,8 +6,6 @@ from pyspark.sql import types as T
 
 PRICE_FIELDS = ("cash_price", "gross_charge", "negotiated_min", "negotiated_max")
 
-TABLE_PRICE = "decimal(10,2)"
-
 HOSPITALS = T.StructType(
     [
         T.StructField("facility_id", T.StringType()),
@@ -38,6 +36,21 @@ OPERATIONS = T.StructType(
     ]
 )
 
+# The tables as stored: prices as DECIMAL, hospitals with their history.
+STORED_OPERATIONS = T.StructType(
+    [
+        T.StructField(f.name, T.DecimalType(10, 2)) if f.name in PRICE_FIELDS else f
+        for f in OPERATIONS.fields
+    ]
+)
+STORED_HOSPITALS = T.StructType(
+    [
+        *HOSPITALS.fields,
+        T.StructField("created_at", T.TimestampType()),
+        T.StructField("updated_at", T.TimestampType()),
+    ]
+)
+
 # One raw charge line of any source, still as text.  The (source_file,
 # source_block, source_row) triple is the position used to break ties.
 RAW_CHARGES = T.StructType(

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from pricelake.functions import codes as C, prices as P
 from pricelake.operators import quality as Q
-from pricelake.schemas import PRICE_FIELDS
+from pricelake.schemas import PRICE_FIELDS, STORED_HOSPITALS, STORED_OPERATIONS
 
 
 def hot_facilities_split(operations: DataFrame) -> DataFrame:
@@ -47,10 +47,17 @@ def write_quarantine(checked: DataFrame, path: str) -> None:
     ).partitionBy("facility_id").parquet(path)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Table written by this module; ids that look like numbers stay text."""
-    frame = spark.read.parquet(path)
-    return frame.withColumn("facility_id", F.col("facility_id").cast("string"))
+def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Stored table; the given schema keeps ids that look like numbers text."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def read_operations(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, f"{folder}/medical_operations", STORED_OPERATIONS)
+
+
+def read_hospitals(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, f"{folder}/hospitals", STORED_HOSPITALS)
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -88,7 +95,7 @@ def write_hospitals(hospitals: DataFrame, path: str, now: Column | None = None)
     now = F.current_timestamp() if now is None else now
     existing = None
     if table_exists(spark, path):
-        existing = read_table(spark, path).join(
+        existing = read_table(spark, path, STORED_HOSPITALS).join(
             hospitals.select("facility_id").distinct(), "facility_id", "left_semi"
         )
     merged = upsert(existing, hospitals, "facility_id", now)
@@ -155,12 +162,13 @@ def purge_tables(spark: SparkSession, folder: str, facility_ids: list[str] | Non
     rewritten; operations go first.
     """
     deleted = {}
-    for table in ("medical_operations", "hospitals"):
+    schemas = {"medical_operations": STORED_OPERATIONS, "hospitals": STORED_HOSPITALS}
+    for table, schema in schemas.items():
         path = f"{folder}/{table}"
         if not table_exists(spark, path):
             deleted[table] = 0
             continue
-        rows = read_table(spark, path)
+        rows = read_table(spark, path, schema)
         if facility_ids is not None:
             rows = rows.where(F.col("facility_id").isin(*facility_ids))
         per_facility = rows.groupBy("facility_id").agg(F.count(F.lit(1)).alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pricelake.functions import names as N
 from pricelake.operators import match as M, quality as Q
@@ -19,113 +19,127 @@ def build_catalog(files: DataFrame, metadata: DataFrame | None = None) -> DataFr
 
     ``metadata`` optionally gives facility fields per ``path``; where a row
     exists it replaces what the file tells.  ``status`` says why a file cannot
-    be loaded: 'unsupported_format', 'missing_metadata' or 'ok'.
+    be loaded: 'unsupported_format', 'missing_metadata', 'invalid_metadata' or
+    'ok'.
     """
-    heads = files.join(S.read_heads(files), "file", "left")
+    heads = written(_describe(files), "heads")
+    known = _with_facility(_read_late_headers(heads), metadata)
+    mapping = M.column_mapping(known.where(F.col("format") == "csv").select("file", "columns"))
+    return known.join(
+        mapping.withColumn("missing_fields", M.missing_fields()), "file", "left"
+    )
+
+
+def _describe(files: DataFrame) -> DataFrame:
+    """Format, facility header and layout of each file, from its head."""
     extension = N.file_extension(F.col("path"))
-    described = (
-        heads.withColumn(
-            "format",
-            S.detect_format(extension, F.col("head"), F.col("line_1"), F.col("line_2")),
+    kind = S.detect_format(extension, F.col("head"), F.col("line_1"), F.col("line_2"))
+    is_csv, is_json = F.col("format") == "csv", F.col("format") == "json"
+    heads = (
+        files.join(S.read_heads(files), "file")
+        .withColumn("format", kind)
+        .withColumns(
+            {
+                "header_row": F.when(is_csv, S.header_row(F.col("rows"))),
+                "json_header": F.when(is_json, S.json_header(F.col("head"))),
+            }
         )
-        .withColumn("header_row", F.when(F.col("format") == "csv", S.header_row(F.col("rows"))))
-        .withColumn("json_header", F.when(F.col("format") == "json", S.json_header(F.col("head"))))
+        .withColumn("top", F.slice("rows", F.lit(1), F.col("header_row") + 1))
     )
-    told = F.when(
-        F.col("format") == "csv", S.csv_metadata(F.col("rows"), F.col("header_row"))
-    ).when(F.col("format") == "json", S.json_metadata(F.col("json_header")))
-    top_rows = F.slice("rows", F.lit(1), F.col("header_row") + 1)
-    described = described.select(
+    return heads.select(
         *files.columns,
         "format",
-        told.alias("told"),
-        F.transform(F.get("rows", F.col("header_row")), lambda c: F.trim(c)).alias("columns"),
-        F.array_max(F.transform(top_rows, lambda r: F.size(r))).alias("width"),
-        F.transform(top_rows, lambda r: F.coalesce(F.get(r, F.lit(0)), F.lit(""))).alias(
+        F.when(is_csv, S.csv_header(F.col("rows"), F.col("header_row")))
+        .when(is_json, S.json_facility(F.col("json_header")))
+        .alias("told"),
+        F.transform(F.element_at("top", -1), lambda c: F.trim(c)).alias("columns"),
+        F.array_max(F.transform("top", lambda r: F.size(r))).alias("width"),
+        F.transform("top", lambda r: F.coalesce(F.get(r, F.lit(0)), F.lit(""))).alias(
             "top_first_cells"
         ),
-        F.transform(top_rows, row_text).alias("top_rows"),
-        F.when(F.col("format") == "json", S.has_nested_items(F.col("head"))).alias("nested"),
-        F.when(F.col("format") == "json", F.col("head").rlike(r"^\s*\{")).alias("is_object"),
+        F.transform("top", row_text).alias("top_rows"),
+        F.when(is_json, S.has_nested_items(F.col("head"))).alias("nested"),
+        F.when(is_json, F.col("head").rlike(r"^\s*\{")).alias("is_object"),
     )
-    described = _read_incomplete_headers(described)
-    known = _with_facility(described, metadata)
-    headers = known.where(F.col("format") == "csv").select("file", "columns")
-    mapping = M.column_mapping(headers)
-    flags = M.mapping_flags(mapping).select("file", "missing_fields")
-    return known.join(mapping, "file", "left").join(flags, "file", "left")
 
 
-def row_text(cells):
+def row_text(cells: Column) -> Column:
     """Comparable text of a CSV row: its non-empty cells."""
     return F.array_join(F.filter(cells, lambda c: F.coalesce(c, F.lit("")) != ""), "\u0001")
 
 
-def _read_incomplete_headers(described: DataFrame) -> DataFrame:
+def _read_late_headers(heads: DataFrame) -> DataFrame:
     """Read JSON documents whose head did not tell name and address.
 
     Their header fields may follow the items, so the documents themselves are
     read, with nothing but the header fields in the schema.
     """
-    spark = described.sparkSession
-    described = written(described, "heads")
-    lacking = described.where(
+    lacking = heads.where(
         F.col("is_object")
-        & (F.col("told.facility_name").isNull() | F.col("told.address").isNull())
-        & (F.col("size_bytes") > S.HEAD_BYTES)
+        & (F.col("told.hospital_name").isNull() | F.col("told.hospital_address").isNull())
     )
     paths = [r.path for r in lacking.select("path").toLocalIterator()]
     if not paths:
-        return described
-    read = (
-        spark.read.schema(JSON_HEADER)
+        return heads
+    late = (
+        heads.sparkSession.read.schema(JSON_HEADER)
         .option("multiLine", True)
         .json([glob_safe(p) for p in paths])
-        .select("_metadata.file_path", F.struct(*JSON_HEADER.names).alias("h"))
-        .where(F.coalesce("h.hospital_name", F.get("h.hospital_address", F.lit(0))).isNotNull())
-        .groupBy(F.col("file_path").alias("file"))
-        .agg(F.first("h").alias("h"))
+        .select(F.col("_metadata.file_path").alias("file"), F.struct(*JSON_HEADER.names).alias("h"))
+        .select("file", S.json_facility(F.col("h")).alias("late"))
+    )
+    return (
+        heads.join(late, "file", "left")
+        .withColumn("told", F.coalesce("late", "told"))
+        .drop("late")
     )
-    return described.join(read, "file", "left").withColumn(
-        "told",
-        F.when(F.col("h").isNotNull(), S.json_metadata(F.col("h"))).otherwise(F.col("told")),
-    ).drop("h")
 
 
-def _with_facility(described: DataFrame, metadata: DataFrame | None) -> DataFrame:
-    told_any = F.coalesce(*[F.col(f"told.{c}") for c in METADATA]).isNotNull()
-    from_name = F.when(
-        (F.col("format") == "json") & ~told_any, N.name_from_json_file(F.col("path"))
+def _with_facility(heads: DataFrame, metadata: DataFrame | None) -> DataFrame:
+    """Facility fields, their gaps, and whether the file can be loaded."""
+    is_json = F.col("format") == "json"
+    place = F.when(is_json, N.city_state_of_address(F.col("told.hospital_address"))).otherwise(
+        N.city_state_of_location(F.col("told.hospital_location"), F.col("told.hospital_address"))
+    )
+    told_any = F.coalesce(*[F.col(f"told.{k}") for k in S.FACILITY_KEYS]).isNotNull()
+    from_path = F.when(
+        is_json & ~told_any, N.name_from_json_file(F.col("path"))
     ).otherwise(N.name_from_file(F.col("path")))
-    fields = {c: F.col(f"told.{c}") for c in METADATA}
-    fields["facility_name"] = F.coalesce(fields["facility_name"], from_name)
-    given_id = F.lit(None).cast("string")
+    found = heads.withColumn("place", place).withColumn(
+        "own",
+        F.struct(
+            F.lit(None).cast("string").alias("facility_id"),
+            F.coalesce("told.hospital_name", from_path).alias("facility_name"),
+            "place.city",
+            "place.state",
+            F.col("told.hospital_address").alias("address"),
+            F.col("told.version").alias("file_version"),
+            F.col("told.last_updated_on").alias("last_updated"),
+        ),
+    )
     if metadata is not None:
-        given = [c for c in ("facility_id", *METADATA) if c in metadata.columns]
-        described = described.join(
-            metadata.select("path", F.struct(*given).alias("given")), "path", "left"
+        given = F.struct(
+            *[
+                (F.col(c) if c in metadata.columns else F.lit(None).cast("string")).alias(c)
+                for c in ("facility_id", *METADATA)
+            ]
         )
-        override = F.col("given").isNotNull()
-        for c in METADATA:
-            own = F.col(f"given.{c}") if c in given else F.lit(None).cast("string")
-            fields[c] = F.when(override, own).otherwise(fields[c])
-        if "facility_id" in given:
-            given_id = F.col("given.facility_id")
-    known = described.withColumns(fields).drop("told", "given", "is_object")
-    return known.withColumns(
-        {
-            "facility_id": F.coalesce(given_id, N.facility_id(F.col("facility_name"))),
-            "missing_metadata": Q.missing_file_metadata(),
-        }
-    ).withColumn(
-        "status",
-        F.when(~F.col("format").isin(*SUPPORTED), F.lit("unsupported_format"))
-        .when(F.size("missing_metadata") > 0, F.lit("missing_metadata"))
-        .when(
-            ~F.col("facility_id").rlike("^[a-z0-9-]+$") | ~F.col("state").rlike("^[A-Z]{2}$"),
-            F.lit("invalid_metadata"),
+        found = found.join(metadata.select("path", given.alias("given")), "path", "left")
+        found = found.withColumn("own", F.coalesce("given", "own")).drop("given")
+    return (
+        found.select(*[c for c in heads.columns if c not in ("told", "is_object")], "own.*")
+        .withColumn("facility_id", F.coalesce("facility_id", N.facility_id(F.col("facility_name"))))
+        .withColumn("missing_metadata", Q.missing_file_metadata())
+        .withColumn(
+            "status",
+            F.when(~F.col("format").isin(*SUPPORTED), F.lit("unsupported_format"))
+            .when(F.size("missing_metadata") > 0, F.lit("missing_metadata"))
+            .when(
+                ~F.col("facility_id").rlike("^[a-z0-9-]+$") | ~F.col("state").rlike("^[A-Z]{2}$"),
+                F.lit("invalid_metadata"),
+            )
+            .otherwise(F.lit("ok")),
         )
-        .otherwise(F.lit("ok")),
     )
 
 

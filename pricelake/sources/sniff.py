@@ -8,13 +8,17 @@ from __future__ import annotations
 
 import csv
 import io
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pricelake.functions import names as N
 from pricelake.schemas import JSON_HEADER, JSON_ITEMS_KEY
 
+# Executors need not have this package installed: what they run is sent along.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 HEAD_BYTES = 64 * 1024
 # A first line longer than this is taken for a one-line document.
 LINE_BYTES = 4 * 1024 * 1024
@@ -37,6 +41,15 @@ HEADER_WORDS = (
     "discounted",
 )
 
+# Keys of the facility header.
+FACILITY_KEYS = (
+    "hospital_name",
+    "last_updated_on",
+    "version",
+    "hospital_location",
+    "hospital_address",
+)
+
 _HEAD_SCHEMA = (
     "file string, head string, line_1 string, line_2 string, rows array<array<string>>"
 )
@@ -173,49 +186,51 @@ def header_row(rows: Column) -> Column:
     return F.coalesce(F.get(hits, F.lit(0)), F.lit(0))
 
 
-def csv_metadata(rows: Column, header: Column) -> Column:
-    """Facility fields told by the two rows above the header, NULL where absent."""
+def csv_header(rows: Column, header: Column) -> Column:
+    """Facility header told by the two rows above the column names."""
     keys, values = F.get(rows, F.lit(0)), F.get(rows, F.lit(1))
     usable = (header >= 2) & F.exists(
         keys, lambda k: F.contains(F.lower(k), F.lit("hospital"))
     )
-    cells = F.when(usable, F.arrays_zip(keys.alias("k"), values.alias("v")))
+    named = F.transform(
+        F.arrays_zip(keys.alias("k"), values.alias("v")),
+        lambda c: F.struct(F.lower(F.trim(c["k"])).alias("k"), F.trim(c["v"]).alias("v")),
+    )
+    filled = F.filter(
+        named, lambda c: (c["k"] != "") & (c["v"] != "") & c["k"].isin(*FACILITY_KEYS)
+    )
+    # A key given twice counts with its last value.
+    return F.when(
+        usable, F.aggregate(filled, _no_facility(), lambda told, c: _with_key(told, c))
+    )
+
+
+def _no_facility() -> Column:
+    return F.struct(*[F.lit(None).cast("string").alias(k) for k in FACILITY_KEYS])
 
-    def value(key: str) -> Column:
-        hits = F.filter(
-            cells, lambda c: (F.lower(F.trim(c["0"])) == key) & (F.coalesce(c["1"], F.lit("")) != "")
-        )
-        return F.nullif(F.trim(F.try_element_at(hits, F.lit(-1))["1"]), F.lit(""))
 
-    place = N.city_state_of_location(value("hospital_location"), value("hospital_address"))
+def _with_key(told: Column, cell: Column) -> Column:
     return F.struct(
-        value("hospital_name").alias("facility_name"),
-        place["city"].alias("city"),
-        place["state"].alias("state"),
-        value("hospital_address").alias("address"),
-        value("version").alias("file_version"),
-        value("last_updated_on").alias("last_updated"),
+        *[F.when(cell["k"] == k, cell["v"]).otherwise(told[k]).alias(k) for k in FACILITY_KEYS]
     )
 
 
 def json_header(head: Column) -> Column:
-    """Header fields of a wrapped document, from the part before its items."""
+    """Facility header of a wrapped document, from the part before its items."""
     before = F.split_part(head, F.lit(f'"{JSON_ITEMS_KEY}"'), F.lit(1))
     closed = F.concat(F.regexp_replace(before, r",\s*$", ""), F.lit("}"))
     whole = F.contains(head, F.lit(f'"{JSON_ITEMS_KEY}"'))
     return F.from_json(F.when(whole, closed).otherwise(head), JSON_HEADER)
 
 
-def json_metadata(header: Column) -> Column:
-    address = F.get(header["hospital_address"], F.lit(0))
-    place = N.city_state_of_address(address)
+def json_facility(header: Column) -> Column:
+    """JSON header in the shape of a CSV one; it has no location of its own."""
     return F.struct(
-        header["hospital_name"].alias("facility_name"),
-        place["city"].alias("city"),
-        place["state"].alias("state"),
-        address.alias("address"),
-        header["version"].alias("file_version"),
-        header["last_updated_on"].alias("last_updated"),
+        header["hospital_name"].alias("hospital_name"),
+        header["last_updated_on"].alias("last_updated_on"),
+        header["version"].alias("version"),
+        F.lit(None).cast("string").alias("hospital_location"),
+        F.get(header["hospital_address"], F.lit(0)).alias("hospital_address"),
     )
 
 

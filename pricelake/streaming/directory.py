@@ -52,7 +52,7 @@ def merge_batch(
     touched = result.hospitals.select("facility_id")
     if not W.table_exists(spark, log):
         return
-    history = W.read_table(spark, log).join(touched, "facility_id", "left_semi")
+    history = W.read_table(spark, log, partial.schema).join(touched, "facility_id", "left_semi")
     operations = I.to_operations(D.best_records(history.drop("batch_id")), options.clock())
     checked = Q.check_operations(operations)
     W.write_operations(Q.passing(checked), f"{target}/medical_operations")
