@@ -12,8 +12,14 @@ from pricelake.functions import names as N
 from pricelake.runtime import new_folder, written
 from pricelake.schemas import JSON_ITEM
 
-SPARK = {"STR": "string", "G1": "$1", "G2": "$2"}
-DUCKDB = {"STR": "varchar", "G1": r"\1", "G2": r"\2"}
+SPARK = {"STR": "string", "G1": "$1", "G2": "$2", "LIST": "array", "SLICE": "slice"}
+DUCKDB = {
+    "STR": "varchar",
+    "G1": r"\1",
+    "G2": r"\2",
+    "LIST": "list_value",
+    "SLICE": "list_slice",
+}
 
 FACILITIES = """
 select s_suppkey,
@@ -53,6 +59,149 @@ select vec_id as id, concat('q', cast(vec_id as {STR})) as user_query,
 from embeddings
 """
 
+PRICES = ("cash_price", "gross_charge", "negotiated_min", "negotiated_max")
+
+# Header rows: a layout per supplier and customer, each with a column of its own.
+HEADERS = """
+select concat('s', cast(s_suppkey as {STR})) as file,
+  case s_suppkey % 3
+    when 0 then {LIST}('description', 'code|1', 'code|1|type', 'code|10', 'code|10|type', 'code|2',
+      'setting', 'standard_charge|gross', 'standard_charge|discounted_cash',
+      'standard_charge|min', 'standard_charge|max', concat(lower(s_name), ' rate'))
+    when 1 then {LIST}('Service Description', 'code_1', 'code_1_type', 'code_2', 'code_2_type',
+      concat(s_name, ' Setting'), 'Patient Setting', 'Gross Charge', 'Cash Price',
+      'negotiated_min_rate', 'negotiated_max')
+    else {LIST}('procedure_description', 'billing_code_1', 'billing_code_type_1', 'billing_code',
+      'billing_code_type', 'charge_gross', 'standard_charge_discounted_cash_price',
+      'minimum_price', 'max', concat('max_', lower(s_name))) end as columns
+from supplier
+union all
+select concat('c', cast(c_custkey as {STR})) as file,
+  case c_custkey % 4
+    when 0 then {LIST}('Description', 'cpt_code', 'rev_code', 'ndc_code_2', 'icd10_code',
+      concat(c_name, ' note'), 'self_pay', 'list_price', 'description')
+    when 1 then {LIST}('code', 'type', 'standard_charge_|_gross', concat('fee_', lower(c_name)),
+      'place_of_service', 'item_description')
+    when 2 then {LIST}('code_information', 'code_type', 'cash', 'gross_price_total',
+      'facility_service_setting', concat('service ', c_mktsegment))
+    else {LIST}('account', 'name', c_mktsegment) end as columns
+from customer
+"""
+
+NAMES = """
+select concat('Baylor S', cast(s_suppkey as {STR}), ' Medical Center') as name from supplier
+union all select c_name as name from customer
+union all select concat(c_name, ' - Seton Health ', c_mktsegment) as name from customer
+union all select concat(p_name, ' Regional  Hospital') as name from part
+union all select concat('St. ', p_brand, chr(39), 's ', p_type) as name from part
+"""
+
+FILE_PATHS = """
+select concat('/in/', cast(c_custkey as {STR}), '_', replace(lower(c_name), '#', '-'), '-',
+  lower(c_mktsegment), '_standardcharges.csv') as path from customer
+union all
+select concat('/in/', replace(lower(s_name), '#', '_'), '.JSON') as path from supplier
+union all
+select concat('/in/', replace(p_name, ' ', '-'), '-', cast(p_partkey as {STR}), '.ndjson') as path
+  from part
+"""
+
+ADDRESSES = """
+select c_custkey as id,
+  case c_custkey % 5 when 0 then concat('City', cast(c_nationkey as {STR}), ', TX')
+    when 1 then 'Austin' when 2 then concat('City', cast(c_nationkey as {STR}), ', Texas') end
+    as location,
+  case c_custkey % 4
+    when 0 then concat(cast(c_custkey as {STR}), ' Main St, City', cast(c_nationkey as {STR}),
+      ', CA 90001')
+    when 1 then concat('Town', cast(c_nationkey as {STR}), ', NY 10001')
+    when 2 then concat('5 Side Road Place', cast(c_nationkey as {STR}), ' FL 33101')
+    else c_name end as address
+from customer
+"""
+
+HOSPITAL_TEXTS = (
+    "facility_id",
+    "facility_name",
+    "city",
+    "state",
+    "address",
+    "source_url",
+    "file_version",
+    "last_updated",
+)
+HOSPITAL_CANDIDATES = """
+select c_custkey as id,
+  case when c_custkey % 5 = 0 then c_name else concat('c-', cast(c_custkey as {STR})) end
+    as facility_id,
+  case when c_custkey % 13 = 0 then repeat(c_name, 40) else c_name end as facility_name,
+  case when c_custkey % 11 = 0 then cast(null as {STR}) else c_mktsegment end as city,
+  case when c_custkey % 3 = 0 then 'tx' when c_custkey % 7 = 0 then 'TEX' else 'TX' end as state,
+  concat(c_name, ' street') as address, 'customer' as source_url,
+  case when c_custkey % 2 = 0 then '2.0.0' when c_custkey % 17 = 0 then repeat('9.', 30) end
+    as file_version,
+  '2025-01-01' as last_updated
+from customer
+"""
+
+OPERATION_CANDIDATES = """
+select o_orderkey as id,
+  case when o_orderkey % 8 = 0 then o_orderpriority else concat('f-', cast(o_custkey as {STR})) end
+    as facility_id,
+  case when o_orderkey % 17 <> 0 then '{{"RC":["0450"]}}' end as codes_key,
+  case when o_orderkey % 19 <> 0 then o_orderstatus end as description,
+  case when o_orderkey % 5 = 0 then -o_totalprice when o_orderkey % 7 = 0 then o_totalprice * 100000
+    else o_totalprice end as cash_price,
+  case when o_orderkey % 3 <> 0 then o_totalprice * 2 end as gross_charge,
+  case when o_orderkey % 4 <> 0 then o_totalprice / 2 end as negotiated_min,
+  case when o_orderkey % 6 <> 0 then cast(o_custkey as double) end as negotiated_max,
+  case when o_orderkey % 9 = 0 then 'usd' when o_orderkey % 10 = 0 then 'USDX' else 'USD' end
+    as currency
+from orders
+"""
+
+CACHE_CANDIDATES = """
+select vec_id as id,
+  case when vec_id % 10 <> 0 then concat('q', cast(vec_id as {STR})) end as user_query,
+  cast(cast(50 + vec_id % 70 as decimal(5,2)) / 100 as decimal(5,2)) as confidence_score,
+  case when vec_id % 6 = 0 then {SLICE}(embedding, 1, 32) else embedding end as query_embedding
+from embeddings
+"""
+
+# Texts of the tables as file heads.
+HEADS = """
+select concat('d', cast(doc_id as {STR})) as id, '.txt' as extension, text as head from documents
+union all
+select concat('p', cast(page_id as {STR})) as id, '.html' as extension, html as head from pages
+union all
+select concat('e', cast(event_id as {STR})) as id,
+  case event_id % 3 when 0 then '.json' when 1 then '.jsonl' else '' end as extension,
+  case event_id % 2 when 0 then concat(props, chr(10), ' ', props) else props end as head
+from events
+union all
+select concat('o', cast(o_orderkey as {STR})) as id,
+  case o_orderkey % 3 when 0 then '.csv' else '' end as extension,
+  concat(cast(o_orderkey as {STR}), ',', cast(o_custkey as {STR}), ',', o_orderstatus, ',',
+    o_orderpriority, ',x', chr(10), 'a,b,c,d,', cast(o_custkey as {STR}),
+    case when o_orderkey % 2 = 0 then concat(chr(10), '1,2') else '' end) as head
+from orders
+"""
+
+TABLE_TEXTS = """
+select doc_id, text from documents
+union all
+select -1 - s_suppkey as doc_id, concat('hospital_name,version', chr(10), s_name, ',2.0', chr(10),
+  'Description ,nothing,anything,place,Care Setting', chr(10), 'x,1,2,3,outpatient') as text
+from supplier
+"""
+
+FILE_HEADERS_EXPECTED = """
+select kind, s_suppkey as id, facility_name as hospital_name, '2025-01-01' as last_updated_on,
+  case when s_suppkey % 5 = 0 then cast(null as {STR}) else '2.0.0' end as version,
+  case when kind = 'csv' then 'Somewhere, TX' end as hospital_location, address as hospital_address
+from (""" + FACILITIES + """), (select 'csv' as kind union all select 'json' as kind)
+"""
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings"
     " pages benchmark labels conversations"
@@ -92,6 +241,12 @@ def _run(spark: SparkSession, folder: str, sql: str, *names: str) -> DataFrame:
     return spark.sql(sql.format(**SPARK))
 
 
+def run(spark: SparkSession, folder: str, sql: str) -> DataFrame:
+    """Relation of one of the texts above."""
+    words = sql.replace(",", " ").replace(")", " ").split()
+    return _run(spark, folder, sql, *[t for t in TABLES if t in words])
+
+
 def facilities(spark: SparkSession, folder: str) -> DataFrame:
     return _run(spark, folder, FACILITIES, "supplier", "nation")
 
@@ -164,6 +319,51 @@ def hospitals(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def header_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """(s_suppkey, rows): heads of CSV files, with keys in different order and spelling."""
+    cells = lambda *values: F.array(*[F.lit(v) if isinstance(v, str) else v for v in values])
+    version = F.when(F.col("s_suppkey") % 5 == 0, "").otherwise("2.0.0")
+    plain = F.array(
+        cells("hospital_name", "last_updated_on", "version", "hospital_location", "hospital_address"),
+        cells(F.col("facility_name"), "2025-01-01", version, "Somewhere, TX", F.col("address")),
+        cells("description", "code|1", "setting"),
+    )
+    mixed = F.array(
+        cells(
+            " Version",
+            "note",
+            "HOSPITAL_ADDRESS ",
+            "Hospital_Location",
+            "last_updated_on",
+            "hospital_name",
+        ),
+        cells(version, "", F.col("address"), "Somewhere, TX", "2025-01-01 ", F.col("facility_name")),
+        cells("description", "code|1", "setting"),
+    )
+    return facilities(spark, folder).select(
+        "s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, plain).otherwise(mixed).alias("rows")
+    )
+
+
+def json_heads(spark: SparkSession, folder: str) -> DataFrame:
+    """(s_suppkey, head): JSON documents cut off inside their items."""
+    header = F.to_json(
+        F.struct(
+            F.col("facility_name").alias("hospital_name"),
+            F.lit("2025-01-01").alias("last_updated_on"),
+            F.when(F.col("s_suppkey") % 5 != 0, "2.0.0").alias("version"),
+            F.array("address", F.lit("elsewhere")).alias("hospital_address"),
+        )
+    )
+    open_header = F.regexp_replace(header, r"\}$", "")
+    return facilities(spark, folder).select(
+        "s_suppkey",
+        F.concat(
+            open_header, F.lit(',\n "standard_charge_information": [ {"description": "cut')
+        ).alias("head"),
+    )
+
+
 def query_cache(spark: SparkSession, folder: str) -> DataFrame:
     return _run(spark, folder, QUERY_CACHE, "embeddings")
 

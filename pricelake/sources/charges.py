@@ -202,8 +202,7 @@ def _nested_items(catalog: DataFrame, paths: list[str]) -> DataFrame:
         F.from_json("value", "array<string>"),
     )
     elements = (
-        catalog.sparkSession.read.option("wholetext", True)
-        .text(paths)
+        catalog.sparkSession.read.text(paths, wholetext=True)
         .select(
             F.col("_metadata.file_path").alias("file"),
             F.posexplode(texts).alias("source_block", "text"),
