@@ -30,10 +30,11 @@ def is_outpatient(setting: Column) -> Column:
     return setting.isin("", "outpatient")
 
 
-def _typed(raw: DataFrame) -> DataFrame:
+def _typed(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return raw.select(
         "facility_id",
         *POSITION,
+        *keep,
         clean_description(F.col("description")).alias("description"),
         clean_setting(F.col("setting")).alias("setting"),
         *[P.clean_price(F.col(p)).alias(p) for p in PRICE_FIELDS],
@@ -65,17 +66,20 @@ def _lines(typed: DataFrame, *extra: Column) -> DataFrame:
 
 
 def normalize(
-    raw: DataFrame, outpatient_only: bool = True, require_cash_price: bool = True
+    raw: DataFrame,
+    outpatient_only: bool = True,
+    require_cash_price: bool = True,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Typed row and ``reasons`` for every raw charge line; no row is dropped.
 
     A line is accepted when ``reasons`` is empty; a missing cash price counts
-    as 0 where it is not required.  One projection chain over the scan, no
-    shuffle.
+    as 0 where it is not required.  ``keep`` names further columns to carry.
+    One projection chain over the scan, no shuffle.
     """
     failures = _failures(outpatient_only, require_cash_price)
     reasons = F.array_compact(F.array(*[F.when(f, F.lit(name)) for name, f in failures.items()]))
-    return _lines(_typed(raw), reasons.alias("reasons"))
+    return _lines(_typed(raw, keep), reasons.alias("reasons"), *[F.col(c) for c in keep])
 
 
 def accept(

@@ -21,7 +21,6 @@ class Options:
     outpatient_only: bool = True
     require_cash_price: bool = True
     dedup: bool = True
-    quoted_newlines: str = "detect"
     ingested_at: datetime | None = None
 
     def clock(self) -> Column:
@@ -72,6 +71,34 @@ def to_hospitals(catalog: DataFrame, clock: Column) -> DataFrame:
     )
 
 
+def _write_lines(raw: DataFrame, options: Options) -> DataFrame:
+    normalized = N.normalize(
+        raw, options.outpatient_only, options.require_cash_price, keep=(X.OPEN_QUOTE,)
+    )
+    return written(
+        normalized.withColumn("accepted", F.size("reasons") == 0), "lines", ("accepted",)
+    )
+
+
+def normalized_lines(catalog: DataFrame, options: Options) -> DataFrame:
+    """Normalised lines of all loadable files, written and split by outcome.
+
+    Files are read line by line, which splits them freely.  The few that turn
+    out to have line breaks inside cells are read again as whole records, and
+    what was made of their lines is left out.
+    """
+    lines = _write_lines(X.raw_charges(catalog), options)
+    broken = written(
+        lines.where(F.col(X.OPEN_QUOTE)).select(F.col("source_file").alias("file")).distinct(),
+        "broken",
+    )
+    if not broken.isEmpty():
+        again = X.quoted_charges(catalog.join(broken, "file", "left_semi"))
+        fine = lines.join(broken, lines["source_file"] == broken["file"], "left_anti")
+        lines = fine.unionByName(_write_lines(again, options))
+    return lines.drop(X.OPEN_QUOTE)
+
+
 def ingest_files(
     files: DataFrame, options: Options = Options(), metadata: DataFrame | None = None
 ) -> Ingested:
@@ -81,11 +108,7 @@ def ingest_files(
     and every result is read back from there.
     """
     catalog = written(K.build_catalog(files, metadata), "catalog")
-    raw = X.raw_charges(catalog, options.quoted_newlines)
-    normalized = N.normalize(raw, options.outpatient_only, options.require_cash_price)
-    lines = written(
-        normalized.withColumn("accepted", F.size("reasons") == 0), "lines", ("accepted",)
-    )
+    lines = normalized_lines(catalog, options)
     accepted = lines.where(F.col("accepted")).drop("accepted", "reasons")
     rejected = lines.where(~F.col("accepted")).drop("accepted")
     winners = best_operations(accepted, options.dedup)

@@ -9,8 +9,19 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pricelake.operators import match as M
 from pricelake.schemas import JSON_HEADER, JSON_ITEM, JSON_ITEMS_KEY, RAW_CHARGES
 from pricelake.sources.catalog import glob_safe, row_text
+from pricelake.sources.records import has_open_quote, whole_records
+
+RAW_FIELDS = (
+    "description",
+    "setting",
+    "cash_price",
+    "gross_charge",
+    "negotiated_min",
+    "negotiated_max",
+)
 
 MIN_WIDTH = 16
+OPEN_QUOTE = "open_quote"
 
 
 def width_class(width: int) -> int:
@@ -18,90 +29,95 @@ def width_class(width: int) -> int:
     return max(MIN_WIDTH, 1 << (max(width, 1) - 1).bit_length())
 
 
-def raw_charges(catalog: DataFrame, quoted_newlines: str = "detect") -> DataFrame:
+def raw_charges(catalog: DataFrame) -> DataFrame:
     """Raw charge lines of all loadable files of ``catalog``.
 
     CSV files are read by width class and JSON files by shape, so the plan has
-    a handful of scans however many layouts the files have.  ``quoted_newlines``
-    tells whether CSV cells hold line breaks: 'none' (files are split freely),
-    'all' (each file is one task) or 'detect' (a text scan finds the files
-    that need the latter).
+    a handful of scans however many layouts the files have.  Every CSV line is
+    taken for a record; where ``open_quote`` is set, that was wrong and the
+    file has to be read by ``quoted_charges``.
     """
     loadable = catalog.where(F.col("status") == "ok")
-    groups = defaultdict(list)
-    for r in loadable.select("path", "format", "width", "nested").toLocalIterator():
-        if r.format == "csv":
-            groups["csv", width_class(r.width or 1)].append(r.path)
-        else:
-            groups[r.format, bool(r.nested)].append(r.path)
-
     parts = []
-    for (kind, variant), paths in sorted(groups.items(), key=str):
-        paths = [glob_safe(p) for p in paths]
+    for (kind, variant), paths in _paths(loadable).items():
         if kind == "csv":
-            for multi_line, some in _by_newlines(catalog, paths, quoted_newlines).items():
-                parts.append(_csv_lines(loadable, some, variant, multi_line))
+            parts.append(_csv_charges(_csv_lines(loadable, paths), loadable, variant))
         elif kind == "ndjson":
             parts.append(_ndjson_items(loadable, paths))
         elif variant:
             parts.append(_nested_items(loadable, paths))
         else:
             parts.append(_json_items(loadable, paths))
+    return _union(catalog, parts)
+
+
+def quoted_charges(catalog: DataFrame) -> DataFrame:
+    """Raw charge lines of CSV files that have line breaks inside cells."""
+    parts = [
+        _csv_charges(whole_records(_csv_lines(catalog, paths)), catalog, width)
+        for (_, width), paths in _paths(catalog).items()
+    ]
+    return _union(catalog, parts)
+
+
+def _paths(catalog: DataFrame) -> dict[tuple, list[str]]:
+    """Paths by format and width class, or by format and nesting."""
+    groups = defaultdict(list)
+    for r in catalog.select("path", "format", "width", "nested").toLocalIterator():
+        variant = width_class(r.width or 1) if r.format == "csv" else bool(r.nested)
+        groups[r.format, variant].append(glob_safe(r.path))
+    return dict(sorted(groups.items()))
+
+
+def _union(catalog: DataFrame, parts: list[DataFrame]) -> DataFrame:
     if not parts:
-        return catalog.sparkSession.createDataFrame([], RAW_CHARGES)
+        empty = catalog.sparkSession.createDataFrame([], RAW_CHARGES)
+        return empty.withColumn(OPEN_QUOTE, F.lit(False))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
     return result
 
 
-def _by_newlines(catalog: DataFrame, paths: list[str], mode: str) -> dict[bool, list[str]]:
-    if mode != "detect":
-        return {mode == "all": paths}
-    broken = {glob_safe(p) for p in files_with_quoted_newlines(catalog, paths)}
-    split = {True: [p for p in paths if p in broken], False: [p for p in paths if p not in broken]}
-    return {k: v for k, v in split.items() if v}
-
-
-def files_with_quoted_newlines(catalog: DataFrame, paths: list[str]) -> list[str]:
-    """Paths of files with a line that holds an odd number of quotes."""
-    lines = catalog.sparkSession.read.text(paths)
-    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
-    found = (
-        lines.where(quotes % 2 == 1)
-        .select(F.col("_metadata.file_path").alias("file"))
-        .distinct()
-        .join(catalog.select("file", "path"), "file")
-    )
-    return [r.path for r in found.select("path").toLocalIterator()]
-
-
-def _csv_lines(catalog: DataFrame, paths: list[str], width: int, multi_line: bool) -> DataFrame:
-    names = [f"c{i}" for i in range(width)]
-    # One column more than is used: the reader then picks cells by index and
-    # pads short rows without treating them as malformed.
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "surplus"]])
-    lines = (
-        catalog.sparkSession.read.schema(schema)
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("maxColumns", max(20480, 4 * width))
-        .csv(paths)
+def _csv_lines(catalog: DataFrame, paths: list[str]) -> DataFrame:
+    """Lines that are not blank; files are split freely."""
+    return (
+        catalog.sparkSession.read.text(paths)
+        .where(F.trim("value") != "")
         .select(
-            F.array(*names).alias("cells"),
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("source_block"),
             F.monotonically_increasing_id().alias("source_row"),
+            F.translate("value", "\ufeff\ufffd", "").alias("value"),
         )
     )
+
+
+def _csv_charges(lines: DataFrame, catalog: DataFrame, width: int) -> DataFrame:
+    """CSV records to raw charge lines, cells picked by the mapping of their file."""
+    names = [f"c{i}" for i in range(width)]
     known = catalog.select(
         "file",
         "facility_id",
+        "width",
         "top_first_cells",
         "top_rows",
         "code_columns",
         *[f"{f}_pos" for f in M.FIELDS],
     )
+    # Rows are filled up to the width of their class: a row of the expected
+    # length is then never malformed to the parser.
+    filled = F.concat("value", F.repeat(F.lit(","), F.lit(width) - F.col("width")))
+    parsed = F.from_csv(
+        filled,
+        ", ".join(f"{n} string" for n in names),
+        {"escape": '"', "maxColumns": str(max(20480, 4 * width)), "maxCharsPerColumn": "-1"},
+    )
+    rows = (
+        lines.join(known, "file")
+        .withColumn("row", parsed)
+        .withColumn("cells", F.array(*[F.col(f"row.{n}") for n in names]))
+    )
     first_cell = F.coalesce(F.get("cells", F.lit(0)), F.lit(""))
     above_data = (
         (F.col("source_block") == 0)
@@ -116,23 +132,17 @@ def _csv_lines(catalog: DataFrame, paths: list[str], width: int, multi_line: boo
         F.col("code_columns"),
         lambda c: F.struct(
             F.coalesce(c["implied_type"], cell(c["type_pos"])).alias("type"),
-            F.translate(cell(c["code_pos"]), "�", "").alias("code"),
+            cell(c["code_pos"]).alias("code"),
         ),
     )
-    return (
-        lines.join(known, "file")
-        .where(~above_data)
-        .select(
-            "facility_id",
-            F.col("file").alias("source_file"),
-            "source_block",
-            "source_row",
-            *[cell(F.col(f"{f}_pos")).alias(f) for f in M.FIELDS],
-            F.coalesce(pairs, F.array().cast(RAW_CHARGES["code_pairs"].dataType)).alias(
-                "code_pairs"
-            ),
-        )
-        .select(*RAW_CHARGES.names)
+    return rows.where(~above_data).select(
+        "facility_id",
+        F.col("file").alias("source_file"),
+        "source_block",
+        "source_row",
+        *[cell(F.col(f"{f}_pos")).alias(f) for f in RAW_FIELDS],
+        F.coalesce(pairs, F.array().cast(RAW_CHARGES["code_pairs"].dataType)).alias("code_pairs"),
+        has_open_quote(F.col("value")).alias(OPEN_QUOTE),
     )
 
 
@@ -167,6 +177,7 @@ def _charges(items: DataFrame, catalog: DataFrame) -> DataFrame:
             F.col("source_block").cast("long"),
             F.col("source_row").cast("long"),
             *[c.alias(n) for n, c in item_fields(F.col("item")).items()],
+            F.lit(False).alias(OPEN_QUOTE),
         )
     )
 

@@ -82,7 +82,7 @@ def _open(path: str):
 
 
 def _text(data: bytes) -> str:
-    return data.decode("utf-8-sig", errors="ignore")
+    return data.decode("utf-8-sig", errors="ignore").replace("\r\n", "\n")
 
 
 def _read_head(file: str, path: str) -> tuple:
