@@ -30,7 +30,7 @@ def fits_table_price(price: Column) -> Column:
 
 
 def money_or_na(price: Column) -> Column:
-    return F.when(price.isNull(), F.lit("N/A")).otherwise(F.format_string("$%.2f", price))
+    return F.when(price.isNull(), F.lit("N/A")).otherwise(F.format_string("$%.2f", price.cast("double")))
 
 
 def money_range(low: Column, high: Column) -> Column:
