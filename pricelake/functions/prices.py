@@ -16,7 +16,8 @@ def clean_price(text: Column) -> Column:
     """
     digits = F.regexp_extract(F.translate(text, "$,", ""), _POSITIVE, 1)
     return F.nullif(
-        F.nullif(digits.try_cast("double"), F.lit(0.0)), F.lit(float("inf"))
+        F.nullif(F.nullif(digits, F.lit("")).try_cast("double"), F.lit(0.0)),
+        F.lit(float("inf")),
     )
 
 

@@ -130,15 +130,30 @@ def header_columns(headers: DataFrame) -> DataFrame:
     )
 
 
+# Without a common word the score is at most this.
+NO_COMMON_WORD = 30
+
+
 def score_names(names: DataFrame, threshold: int = FUZZY_THRESHOLD) -> DataFrame:
     """Fields that each distinct normalised name can stand for, with score.
 
-    Works on distinct names: files share most of them, so the fixed pattern
-    list is applied to the vocabulary rather than to every file.
+    Works on distinct names, which files share, and only on pairs of name and
+    pattern that have a word in common, found by an equi-join; pairs without
+    one score too low for any threshold above 30.
     """
-    tried = names.select("name").distinct().select("name", F.inline(_patterns()))
+    if threshold <= NO_COMMON_WORD:
+        raise ValueError(f"threshold must be above {NO_COMMON_WORD}")
+    distinct = names.select("name").distinct()
+    patterns = distinct.sparkSession.range(1).select(F.inline(_patterns()))
+    by_word = patterns.withColumn("word", F.explode(_words(F.col("pattern"))))
+    sharing = (
+        distinct.withColumn("word", F.explode(_words(F.col("name"))))
+        .join(F.broadcast(by_word), "word")
+        .drop("word")
+        .distinct()
+    )
     return (
-        tried.withColumn("exact", F.col("name") == F.col("pattern"))
+        sharing.withColumn("exact", F.col("name") == F.col("pattern"))
         .withColumn("score", similarity(_words(F.col("pattern")), _words(F.col("name"))))
         .where(F.col("exact") | (F.col("score") >= threshold))
     )

@@ -38,13 +38,15 @@ def _typed(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         clean_description(F.col("description")).alias("description"),
         clean_setting(F.col("setting")).alias("setting"),
         *[P.clean_price(F.col(p)).alias(p) for p in PRICE_FIELDS],
+        "code_pairs",
         C.standard_codes(F.col("code_pairs")).alias("pairs"),
-        C.has_standard_code(F.col("code_pairs")).alias("has_code"),
     )
 
 
-def _failures(outpatient_only: bool, require_cash_price: bool) -> dict[str, Column]:
-    checks = {NO_STANDARD_CODE: ~F.coalesce("has_code", F.lit(False))}
+def _failures(
+    has_code: Column, outpatient_only: bool, require_cash_price: bool
+) -> dict[str, Column]:
+    checks = {NO_STANDARD_CODE: ~F.coalesce(has_code, F.lit(False))}
     if require_cash_price:
         checks[NO_CASH_PRICE] = F.col("cash_price").isNull()
     if outpatient_only:
@@ -77,7 +79,7 @@ def normalize(
     as 0 where it is not required.  ``keep`` names further columns to carry.
     One projection chain over the scan, no shuffle.
     """
-    failures = _failures(outpatient_only, require_cash_price)
+    failures = _failures(F.size("pairs") > 0, outpatient_only, require_cash_price)
     reasons = F.array_compact(F.array(*[F.when(f, F.lit(name)) for name, f in failures.items()]))
     return _lines(_typed(raw, keep), reasons.alias("reasons"), *[F.col(c) for c in keep])
 
@@ -91,7 +93,8 @@ def accept(
     filters: they move below the projection and spare rejected lines the rest.
     """
     typed = _typed(raw)
-    for failed in _failures(outpatient_only, require_cash_price).values():
+    has_code = C.has_standard_code(F.col("code_pairs"))
+    for failed in _failures(has_code, outpatient_only, require_cash_price).values():
         typed = typed.where(~failed)
     return _lines(typed)
 

@@ -54,20 +54,12 @@ def _describe(files: DataFrame) -> DataFrame:
         .alias("told"),
         F.transform(F.element_at("top", -1), lambda c: F.trim(c)).alias("columns"),
         F.array_max(F.transform("top", lambda r: F.size(r))).alias("width"),
-        F.transform("top", lambda r: F.coalesce(F.get(r, F.lit(0)), F.lit(""))).alias(
-            "top_first_cells"
-        ),
-        F.transform("top", row_text).alias("top_rows"),
+        F.slice("row_texts", F.lit(1), F.col("header_row") + 1).alias("top_texts"),
         F.when(is_json, S.has_nested_items(F.col("head"))).alias("nested"),
         F.when(is_json, F.col("head").rlike(r"^\s*\{")).alias("is_object"),
     )
 
 
-def row_text(cells: Column) -> Column:
-    """Comparable text of a CSV row: its non-empty cells."""
-    return F.array_join(F.filter(cells, lambda c: F.coalesce(c, F.lit("")) != ""), "\u0001")
-
-
 def _read_late_headers(heads: DataFrame) -> DataFrame:
     """Read JSON documents whose head did not tell name and address.
 

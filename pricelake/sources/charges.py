@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pricelake.operators import match as M
 from pricelake.schemas import JSON_HEADER, JSON_ITEM, JSON_ITEMS_KEY, RAW_CHARGES
-from pricelake.sources.catalog import glob_safe, row_text
+from pricelake.sources.catalog import glob_safe
 from pricelake.sources.records import has_open_quote, whole_records
 
 RAW_FIELDS = (
@@ -100,8 +100,7 @@ def _csv_charges(lines: DataFrame, catalog: DataFrame, width: int) -> DataFrame:
         "file",
         "facility_id",
         "width",
-        "top_first_cells",
-        "top_rows",
+        "top_texts",
         "code_columns",
         *[f"{f}_pos" for f in M.FIELDS],
     )
@@ -113,17 +112,15 @@ def _csv_charges(lines: DataFrame, catalog: DataFrame, width: int) -> DataFrame:
         ", ".join(f"{n} string" for n in names),
         {"escape": '"', "maxColumns": str(max(20480, 4 * width)), "maxCharsPerColumn": "-1"},
     )
+    # The header and what is above it are told by their text: a condition on
+    # cells would be moved below the parser and parse every line once more.
+    above_data = (F.col("source_block") == 0) & F.array_contains("top_texts", F.col("value"))
     rows = (
         lines.join(known, "file")
+        .where(~above_data)
         .withColumn("row", parsed)
         .withColumn("cells", F.array(*[F.col(f"row.{n}") for n in names]))
     )
-    first_cell = F.coalesce(F.get("cells", F.lit(0)), F.lit(""))
-    above_data = (
-        (F.col("source_block") == 0)
-        & F.array_contains("top_first_cells", first_cell)
-        & F.array_contains("top_rows", row_text(F.col("cells")))
-    )
 
     def cell(position: Column) -> Column:
         return F.get("cells", position)
@@ -135,7 +132,7 @@ def _csv_charges(lines: DataFrame, catalog: DataFrame, width: int) -> DataFrame:
             cell(c["code_pos"]).alias("code"),
         ),
     )
-    return rows.where(~above_data).select(
+    return rows.select(
         "facility_id",
         F.col("file").alias("source_file"),
         "source_block",

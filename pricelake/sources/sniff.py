@@ -7,7 +7,6 @@ Column expressions over that row.
 from __future__ import annotations
 
 import csv
-import io
 import sys
 from collections.abc import Iterator
 
@@ -51,7 +50,8 @@ FACILITY_KEYS = (
 )
 
 _HEAD_SCHEMA = (
-    "file string, head string, line_1 string, line_2 string, rows array<array<string>>"
+    "file string, head string, line_1 string, line_2 string,"
+    " rows array<array<string>>, row_texts array<string>"
 )
 
 
@@ -98,27 +98,35 @@ def _read_head(file: str, path: str) -> tuple:
             lines = _text(data).split("\n") + [""]
             second = lines[1].strip()
             first = lines[0].strip() if second else lines[0].strip()[:HEAD_BYTES]
-            return file, head, first, second, None
+            return file, head, first, second, None, None
         while len(data) < HEADER_BYTES:
-            # enough when five lines are followed by more: quotes may hide some
-            rows = _first_rows(_text(data[: data.rfind(b"\n") + 1]))
+            # Enough once a row follows the ones looked at: quotes may hide line ends.
+            rows, _ = _first_rows(_text(data[: data.rfind(b"\n") + 1]))
             if len(rows) > HEADER_ROWS:
                 break
             more = stream.read(len(data) or HEAD_BYTES)
             if not more:
                 break
             data += more
-        return file, head, None, None, _first_rows(_text(data))[:HEADER_ROWS]
+        rows, texts = _first_rows(_text(data))
+        return file, head, None, None, rows[:HEADER_ROWS], texts[:HEADER_ROWS]
 
 
-def _first_rows(text: str) -> list[list[str]]:
+def _first_rows(text: str) -> tuple[list[list[str]], list[str]]:
+    """First rows as cells and as they are written."""
     csv.field_size_limit(HEADER_BYTES)
-    rows = []
-    for row in csv.reader(io.StringIO(text, newline="")):
+    lines = text.split("\n")
+    if lines[-1] == "":
+        lines.pop()
+    reader = csv.reader(line + "\n" for line in lines)
+    rows, texts, done = [], [], 0
+    for row in reader:
         rows.append(row)
+        texts.append("\n".join(lines[done : reader.line_num]))
+        done = reader.line_num
         if len(rows) > HEADER_ROWS:
             break
-    return rows
+    return rows, texts
 
 
 def _read_heads(batches: Iterator) -> Iterator:
@@ -127,12 +135,12 @@ def _read_heads(batches: Iterator) -> Iterator:
     for batch in batches:
         yield pd.DataFrame(
             [_read_head(f, p) for f, p in zip(batch["file"], batch["path"])],
-            columns=["file", "head", "line_1", "line_2", "rows"],
+            columns=["file", "head", "line_1", "line_2", "rows", "row_texts"],
         )
 
 
 def read_heads(files: DataFrame) -> DataFrame:
-    """(file, head, line_1, line_2, rows) of every file, read on the executors."""
+    """Head, first lines and first CSV rows of every file, read on the executors."""
     tasks = files.sparkSession.sparkContext.defaultParallelism
     return (
         files.select("file", "path").repartition(tasks, "file").mapInPandas(_read_heads, _HEAD_SCHEMA)
