@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pricelake.functions import codes as C, prices as P
 
@@ -28,6 +30,20 @@ def latest_hospitals(
     return found.orderBy(F.desc_nulls_first("ingested_at"), "facility_id").limit(limit)
 
 
+def _bound(operations: DataFrame, price: float, rounding: str) -> Column:
+    """Price bound in the type of the stored column, so that it reaches the scan.
+
+    Rounding inwards to the scale of the column keeps the same rows.
+    """
+    stored = operations.schema["cash_price"].dataType
+    if not isinstance(stored, T.DecimalType):
+        return F.lit(price)
+    exact = Decimal(str(price)).quantize(Decimal(1).scaleb(-stored.scale), rounding=rounding)
+    if abs(exact) >= Decimal(10) ** (stored.precision - stored.scale):
+        return F.lit(price)
+    return F.lit(str(exact)).cast(stored)
+
+
 def operations_matching(
     operations: DataFrame,
     facility_id: str | None = None,
@@ -39,9 +55,13 @@ def operations_matching(
     if facility_id:
         operations = operations.where(F.col("facility_id") == facility_id)
     if min_price is not None:
-        operations = operations.where(F.col("cash_price") >= min_price)
+        operations = operations.where(
+            F.col("cash_price") >= _bound(operations, min_price, ROUND_CEILING)
+        )
     if max_price is not None:
-        operations = operations.where(F.col("cash_price") <= max_price)
+        operations = operations.where(
+            F.col("cash_price") <= _bound(operations, max_price, ROUND_FLOOR)
+        )
     if description:
         operations = operations.where(F.col("description").ilike(f"%{description}%"))
     return operations

@@ -36,7 +36,7 @@ def _describe(files: DataFrame) -> DataFrame:
     kind = S.detect_format(extension, F.col("head"), F.col("line_1"), F.col("line_2"))
     is_csv, is_json = F.col("format") == "csv", F.col("format") == "json"
     heads = (
-        files.join(S.read_heads(files), "file")
+        S.read_heads(files)
         .withColumn("format", kind)
         .withColumns(
             {

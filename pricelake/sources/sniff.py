@@ -49,10 +49,13 @@ FACILITY_KEYS = (
     "hospital_address",
 )
 
+_FILE_SCHEMA = (
+    "file string, path string, size_bytes bigint, size_mb double, modified_at timestamp"
+)
 _HEAD_SCHEMA = (
-    "file string, head string, line_1 string, line_2 string,"
-    " rows array<array<string>>, row_texts array<string>"
+    "head string, line_1 string, line_2 string, rows array<array<string>>, row_texts array<string>"
 )
+_HEAD_COLUMNS = ["head", "line_1", "line_2", "rows", "row_texts"]
 
 
 def manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -85,7 +88,7 @@ def _text(data: bytes) -> str:
     return data.decode("utf-8-sig", errors="ignore").replace("\r\n", "\n")
 
 
-def _read_head(file: str, path: str) -> tuple:
+def _read_head(path: str) -> tuple:
     with _open(path) as stream:
         data = stream.read(HEAD_BYTES)
         head = _text(data)
@@ -98,7 +101,7 @@ def _read_head(file: str, path: str) -> tuple:
             lines = _text(data).split("\n") + [""]
             second = lines[1].strip()
             first = lines[0].strip() if second else lines[0].strip()[:HEAD_BYTES]
-            return file, head, first, second, None, None
+            return head, first, second, None, None
         while len(data) < HEADER_BYTES:
             # Enough once a row follows the ones looked at: quotes may hide line ends.
             rows, _ = _first_rows(_text(data[: data.rfind(b"\n") + 1]))
@@ -109,7 +112,7 @@ def _read_head(file: str, path: str) -> tuple:
                 break
             data += more
         rows, texts = _first_rows(_text(data))
-        return file, head, None, None, rows[:HEADER_ROWS], texts[:HEADER_ROWS]
+        return head, None, None, rows[:HEADER_ROWS], texts[:HEADER_ROWS]
 
 
 def _first_rows(text: str) -> tuple[list[list[str]], list[str]]:
@@ -133,17 +136,15 @@ def _read_heads(batches: Iterator) -> Iterator:
     import pandas as pd
 
     for batch in batches:
-        yield pd.DataFrame(
-            [_read_head(f, p) for f, p in zip(batch["file"], batch["path"])],
-            columns=["file", "head", "line_1", "line_2", "rows", "row_texts"],
-        )
+        heads = [_read_head(p) for p in batch["path"]]
+        yield batch.join(pd.DataFrame(heads, columns=_HEAD_COLUMNS, index=batch.index))
 
 
 def read_heads(files: DataFrame) -> DataFrame:
-    """Head, first lines and first CSV rows of every file, read on the executors."""
+    """Files with their head, first lines and first CSV rows, read on the executors."""
     tasks = files.sparkSession.sparkContext.defaultParallelism
-    return (
-        files.select("file", "path").repartition(tasks, "file").mapInPandas(_read_heads, _HEAD_SCHEMA)
+    return files.repartition(tasks, "file").mapInPandas(
+        _read_heads, f"{_FILE_SCHEMA}, {_HEAD_SCHEMA}"
     )
 
 
