@@ -436,7 +436,7 @@ def sql() -> dict[str, str]:
       from d left join hits using (doc_id) group by doc_id"""
     out["file_headers"] = duck(X.FILE_HEADERS_EXPECTED)
 
-    for kind_ in ("csv", "json", "array", "nested", "ndjson"):
+    for kind_ in ("csv", "json", "array", "nested", "split_json", "split_array", "ndjson"):
         out[f"ingested_{kind_}"] = file_ops
     out["ingested_quoted_csv"] = file_ops.replace(
         "p_name as description",

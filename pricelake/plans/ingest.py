@@ -16,11 +16,12 @@ from pricelake.sources import catalog as K, charges as X, sniff as S
 
 @dataclass(frozen=True)
 class Options:
-    """How charge lines are accepted."""
+    """How charge lines are accepted, and from what size JSON documents are split."""
 
     outpatient_only: bool = True
     require_cash_price: bool = True
     dedup: bool = True
+    document_bytes: int = X.DOCUMENT_BYTES
     ingested_at: datetime | None = None
 
     def clock(self) -> Column:
@@ -87,7 +88,7 @@ def normalized_lines(catalog: DataFrame, options: Options) -> DataFrame:
     out to have line breaks inside cells are read again as whole records, and
     what was made of their lines is left out.
     """
-    lines = _write_lines(X.raw_charges(catalog), options)
+    lines = _write_lines(X.raw_charges(catalog, options.document_bytes), options)
     broken = written(
         lines.where(F.col(X.OPEN_QUOTE)).select(F.col("source_file").alias("file")).distinct(),
         "broken",

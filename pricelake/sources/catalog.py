@@ -119,7 +119,7 @@ def _with_facility(heads: DataFrame, metadata: DataFrame | None) -> DataFrame:
         found = found.join(metadata.select("path", given.alias("given")), "path", "left")
         found = found.withColumn("own", F.coalesce("given", "own")).drop("given")
     return (
-        found.select(*[c for c in heads.columns if c not in ("told", "is_object")], "own.*")
+        found.select(*[c for c in heads.columns if c != "told"], "own.*")
         .withColumn("facility_id", F.coalesce("facility_id", N.facility_id(F.col("facility_name"))))
         .withColumn("missing_metadata", Q.missing_file_metadata())
         .withColumn(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pricelake.operators import match as M
 from pricelake.schemas import JSON_HEADER, JSON_ITEM, JSON_ITEMS_KEY, RAW_CHARGES
 from pricelake.sources.catalog import glob_safe
+from pricelake.sources.documents import document_items
 from pricelake.sources.records import has_open_quote, whole_records
 
 RAW_FIELDS = (
@@ -21,6 +22,9 @@ RAW_FIELDS = (
 )
 
 MIN_WIDTH = 16
+# Larger JSON documents are split; smaller ones are parsed by a task each.
+DOCUMENT_BYTES = 512 * 1024 * 1024
+PLAIN, NESTED, LARGE_OBJECT, LARGE_LIST = "plain", "nested", "large object", "large list"
 OPEN_QUOTE = "open_quote"
 
 
@@ -29,23 +33,26 @@ def width_class(width: int) -> int:
     return max(MIN_WIDTH, 1 << (max(width, 1) - 1).bit_length())
 
 
-def raw_charges(catalog: DataFrame) -> DataFrame:
+def raw_charges(catalog: DataFrame, document_bytes: int = DOCUMENT_BYTES) -> DataFrame:
     """Raw charge lines of all loadable files of ``catalog``.
 
     CSV files are read by width class and JSON files by shape, so the plan has
     a handful of scans however many layouts the files have.  Every CSV line is
     taken for a record; where ``open_quote`` is set, that was wrong and the
-    file has to be read by ``quoted_charges``.
+    file has to be read by ``quoted_charges``.  JSON documents of more than
+    ``document_bytes`` are split.
     """
     loadable = catalog.where(F.col("status") == "ok")
     parts = []
-    for (kind, variant), paths in _paths(loadable).items():
+    for (kind, variant), paths in _paths(loadable, document_bytes).items():
         if kind == "csv":
             parts.append(_csv_charges(_csv_lines(loadable, paths), loadable, variant))
         elif kind == "ndjson":
             parts.append(_ndjson_items(loadable, paths))
-        elif variant:
+        elif variant == NESTED:
             parts.append(_nested_items(loadable, paths))
+        elif variant in (LARGE_OBJECT, LARGE_LIST):
+            parts.append(_split_items(loadable, paths, variant == LARGE_OBJECT))
         else:
             parts.append(_json_items(loadable, paths))
     return _union(catalog, parts)
@@ -60,11 +67,18 @@ def quoted_charges(catalog: DataFrame) -> DataFrame:
     return _union(catalog, parts)
 
 
-def _paths(catalog: DataFrame) -> dict[tuple, list[str]]:
-    """Paths by format and width class, or by format and nesting."""
+def _paths(catalog: DataFrame, document_bytes: int = DOCUMENT_BYTES) -> dict[tuple, list[str]]:
+    """Paths by format and how they are read: CSV by width class, JSON by shape."""
+    shape = (
+        F.when(F.col("format") != "json", PLAIN)
+        .when((F.col("size_bytes") > document_bytes) & F.col("is_object"), LARGE_OBJECT)
+        .when(F.col("size_bytes") > document_bytes, LARGE_LIST)
+        .when(F.col("nested"), NESTED)
+        .otherwise(PLAIN)
+    )
     groups = defaultdict(list)
-    for r in catalog.select("path", "format", "width", "nested").toLocalIterator():
-        variant = width_class(r.width or 1) if r.format == "csv" else bool(r.nested)
+    for r in catalog.select("path", "format", "width", shape.alias("shape")).toLocalIterator():
+        variant = width_class(r.width or 1) if r.format == "csv" else r.shape
         groups[r.format, variant].append(glob_safe(r.path))
     return dict(sorted(groups.items()))
 
@@ -226,6 +240,18 @@ def _nested_items(catalog: DataFrame, paths: list[str]) -> DataFrame:
     )
 
 
+def _split_items(catalog: DataFrame, paths: list[str], in_object: bool) -> DataFrame:
+    """Items of documents that are split at closing braces."""
+    pieces = catalog.sparkSession.read.text(paths, lineSep="}").select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("source_block"),
+        F.monotonically_increasing_id().alias("source_row"),
+        "value",
+    )
+    items = document_items(pieces, in_object)
+    return _charges(items.withColumn("item", F.from_json("item", JSON_ITEM)), catalog)
+
+
 def _ndjson_items(catalog: DataFrame, paths: list[str]) -> DataFrame:
     """Items of files with one item per line; files are split freely."""
     lines = catalog.sparkSession.read.schema(JSON_ITEM).json(paths)

@@ -429,14 +429,14 @@ def file_manifest(spark, sf):
 _ingested: dict[tuple, I.Ingested] = {}
 
 
-def ingested(spark: SparkSession, sf: str, kind: str) -> I.Ingested:
+def ingested(spark: SparkSession, sf: str, kind: str, **options) -> I.Ingested:
     """Result of ingesting the price files of one kind, once per application."""
-    key = (spark.sparkContext.applicationId, sf, kind)
+    key = (spark.sparkContext.applicationId, sf, kind, *options.items())
     if key not in _ingested:
         files = S.manifest(spark, X.price_files(spark, sf, kind))
         told = kind in ("csv", "quoted_csv", "json", "bare_csv")
         metadata = None if told else X.file_metadata(spark, sf, files)
-        _ingested[key] = I.ingest_files(files, I.Options(ingested_at=THEN), metadata)
+        _ingested[key] = I.ingest_files(files, I.Options(ingested_at=THEN, **options), metadata)
     return _ingested[key]
 
 
@@ -465,6 +465,17 @@ def ingested_nested(spark, sf):
     return op_rows(ingested(spark, sf, "nested").operations)
 
 
+@query
+def ingested_split_json(spark, sf):
+    """Every document is split, as large ones are."""
+    return op_rows(ingested(spark, sf, "json", document_bytes=0).operations)
+
+
+@query
+def ingested_split_array(spark, sf):
+    return op_rows(ingested(spark, sf, "nested", document_bytes=0).operations)
+
+
 @query
 def ingested_ndjson(spark, sf):
     return op_rows(ingested(spark, sf, "ndjson").operations)
