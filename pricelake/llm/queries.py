@@ -115,4 +115,99 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP1 = r"""
+with recursive lowered as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+    from documents
+), sets as (
+    select doc_id, case
+        when len(w) = 0 then []
+        when len(w) < 3 then [array_to_string(w, ' ')]
+        else list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)])
+    end as s
+    from lowered
+), classes as (
+    select min(doc_id) as node, list_sort(s) as s, len(s) as n from sets where len(s) > 0 group by 2, 3
+), shingles as (
+    select node, n, unnest(s) as h from classes
+), near as (
+    select a.node as a, b.node as b
+    from shingles a join shingles b on a.h = b.h and a.node < b.node and 100 * a.n >= 85 * b.n and 100 * b.n >= 85 * a.n
+    group by a.node, b.node, a.n, b.n
+    having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), links as (
+    select a, b from near union all select b, a from near
+), reach as (
+    select node, node as root from classes
+    union
+    select links.b, reach.root from reach join links on links.a = reach.node
+), named as (
+    select node, min(root) as root from reach group by node
+)
+select sets.doc_id, cast(len(sets.s) as bigint) as n_shingles, coalesce(named.root, sets.doc_id) as component_id,
+    coalesce(named.root, sets.doc_id) = sets.doc_id as kept
+from sets
+left join classes on len(sets.s) > 0 and list_sort(sets.s) = classes.s
+left join named using (node)
+"""
+
+_HOST = r"""regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.$', ''), '^www\.', '')"""
+
+_OP2 = rf"""
+with captures as (
+    select page_id, url, date '2024-01-01' + cast((page_id * 37) % 366 as integer) as fetched_at, nullif({_HOST}, '') as host from pages
+), hosts as (
+    select distinct host from captures where host is not null
+), names as (
+    select host from hosts union select regexp_replace(host, '^[^.]+\.', '') from hosts where regexp_replace(host, '^[^.]+\.', '') like '%.%'
+), days as (
+    select host as pattern,
+        cast(('0x' || substr(md5(host || 'a'), 1, 7)) as bigint) % 200 as a,
+        cast(('0x' || substr(md5(host || 'b'), 1, 7)) as bigint) % 60 as b,
+        cast(('0x' || substr(md5(host || 'c'), 1, 7)) as bigint) % 300 as c,
+        cast(('0x' || substr(md5(host || 'd'), 1, 7)) as bigint) % 360 as d
+    from names
+), entries as (
+    select pattern, 'block' as action, a as day from days
+    union all select pattern, 'remove', a + 30 + b from days
+    union all select pattern, 'allow', c from days
+    union all select pattern, 'block', d from days
+), one as (
+    select pattern, date '2024-01-01' + cast(day as integer) as valid_from, min(action) as action from entries group by all
+), spans as (
+    select pattern, action, valid_from, lead(valid_from) over (partition by pattern order by valid_from) as valid_to from one
+), found as (
+    select page_id, fetched_at, pattern, valid_from, action,
+        row_number() over (partition by page_id order by length(pattern) desc) as nth
+    from captures join spans on (host = pattern or host like '%.' || pattern)
+    where action <> 'remove' and fetched_at >= valid_from and (valid_to is null or fetched_at < valid_to)
+)
+select captures.page_id, captures.url, captures.fetched_at, captures.host, found.pattern as matched_pattern,
+    found.valid_from as listed_since, coalesce(found.action, 'none') as action, coalesce(found.action, 'none') <> 'block' as kept
+from captures left join found on captures.page_id = found.page_id and nth = 1
+"""
+
+_OP4 = """
+with texts as (select doc_id, coalesce(text, '') as text from documents),
+same as (select text, max(doc_id) as keep_id, count(*) as group_size from texts group by text)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(text) as text_sha256 from texts join same using (text)
+"""
+
+#: Which turn is quoted follows from the rule of ``quoting``; that the links find it is what is compared.
+_OP7 = """
+with asked as (
+    select *, case when (conv_id + turn) % 3 = 0 then 2 else 1 end as back from conversations
+)
+select conv_id, row_number() over (partition by conv_id order by turn) - 1 as position, turn,
+    case when turn >= back then turn - back when turn > 0 then turn - 1 end as parent_turn,
+    min(turn) over (partition by conv_id) as root_turn, cast(turn >= back as integer) as quotes, role,
+    trim(coalesce(text, ''), chr(10)) as text
+from asked
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_hyperminhash_near_dedup": _OP1,
+    "op2_temporal_url_filter": _OP2,
+    "op4_extendible_hash_dedup": _OP4,
+    "op7_quotation_linking": _OP7,
+}

@@ -41,37 +41,30 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: st
 
     Cases: a URL without a host, a NULL URL or a NULL time matches nothing and
     is kept; an interval includes its start and not its end; extra columns of
-    captures are returned, those of entries ignored; repeated captures all
-    stay; an empty list keeps everything.
+    captures are returned (but for ones named like a result), those of entries
+    ignored; repeated captures all stay; an empty list keeps everything.
     """
-    named = captures.withColumns({"host": host_of(F.col(url)), "moment_at": F.col(fetched)})
-    moments = named.where("host IS NOT NULL AND moment_at IS NOT NULL").select("host", "moment_at").distinct()
+    named = captures.withColumns({"_host": host_of(F.col(url)), "_moment": F.col(fetched)})
+    moments = named.where("_host IS NOT NULL AND _moment IS NOT NULL").select("_host", "_moment").distinct()
     moments = written(moments, "moments")
-    labels = F.split("host", r"\.")
+    labels = F.split("_host", r"\.")
     # every name above a host, down to the host itself
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     )
-    names = moments.select("host").distinct().select("host", F.explode(suffixes).alias("pattern"))
-    spans = validity(entries)
-    rules = names.join(spans, "pattern")
-    active = moments.join(rules, "host").where(
-        "moment_at >= valid_from AND (valid_to IS NULL OR moment_at < valid_to)"
-    )
-    best = active.groupBy("host", "moment_at").agg(
-        F.max(F.struct(F.length("pattern").alias("n"), "pattern", "valid_from", "action")).alias("rule")
-    )
-    verdict = best.select(
-        F.col("host").alias("judged_host"), F.col("moment_at").alias("judged_at"), "rule.pattern", "rule.valid_from", "rule.action"
-    )
-    found = named.join(
-        verdict, (F.col("host") == F.col("judged_host")) & (F.col("moment_at") == F.col("judged_at")), "left"
-    )
-    return found.select(
-        *[named[c] for c in captures.columns],
-        "host",
-        verdict["pattern"].alias("matched_pattern"),
-        verdict["valid_from"].alias("listed_since"),
-        F.coalesce(verdict["action"], F.lit("none")).alias("action"),
-        (F.coalesce(verdict["action"], F.lit("none")) != "block").alias("kept"),
+    names = moments.select("_host").distinct().select("_host", F.explode(suffixes).alias("pattern"))
+    rules = names.join(validity(entries), "pattern")
+    active = moments.join(rules, "_host").where("_moment >= valid_from AND (valid_to IS NULL OR _moment < valid_to)")
+    best = active.groupBy("_host", "_moment").agg(
+        F.max(F.struct(F.length("pattern").alias("n"), "pattern", "valid_from", "action")).alias("_rule")
     )
+    found = named.join(best, ["_host", "_moment"], "left")
+    action = F.coalesce("_rule.action", F.lit("none"))
+    new = {
+        "host": F.col("_host"),
+        "matched_pattern": F.col("_rule.pattern"),
+        "listed_since": F.col("_rule.valid_from"),
+        "action": action,
+        "kept": action != "block",
+    }
+    return found.select(*[F.col(c) for c in captures.columns if c not in new], *[v.alias(k) for k, v in new.items()])
