@@ -484,4 +484,62 @@ def sql() -> dict[str, str]:
     out["degraded_search"] = f"""with cache as ({duck(X.QUERY_CACHE)})
       select id, user_query, confidence_score from cache where confidence_score >= 0.90
       order by id limit 5"""
+    out["file_manifest"] = """select s_nationkey as nation, true as sized, true as dated, true as named
+      from supplier group by s_nationkey"""
+    out.update(rough())
     return out
+
+
+# Files derived from parts: each part is one line, or three items, of its hospital's file.
+_PARTS = """select p_partkey % 5 as r, concat('roug-r', cast(p_partkey % 5 as varchar), '-hosp') as facility_id,
+    p_partkey, p_name, p_size from part"""
+
+
+def _part_rows(description: str = "p_name", facility: str = "facility_id", where: str = "true", more: str = "") -> str:
+    money = lambda e: f"cast({e} as decimal(12,2))"
+    return f"""select {facility} as facility_id, {description} as description,
+        concat('{{"HCPCS":["', cast(p_partkey as varchar), '"]}}') as codes_key, cast(null as varchar) as rc_code,
+        cast(p_partkey as varchar) as hcpcs_code, {money('p_size')} as cash_price, {money('p_size + 1')} as gross_charge,
+        {money('null')} as negotiated_min, {money('null')} as negotiated_max
+      from ({_PARTS}){more} where {where}"""
+
+
+def rough() -> dict[str, str]:
+    inch = """case p_partkey % 4 when 0 then concat(p_name, ' 5" LONG') when 1 then concat('say "', p_name, '"')
+        when 2 then concat(p_name, chr(10), 'second') else p_name end"""
+    after = """ union all select distinct facility_id, 'after', '{"HCPCS":["2"]}', null, '2', cast(1 as decimal(12,2)),
+        cast(2 as decimal(12,2)), null, null from (""" + _PARTS + ")"
+    per_file = lambda read, failed: f"""select cast(p_partkey % 5 as integer) as r, 'malformed' as status,
+        count(*) + {read} as read_records, {failed} as failed_records, 1 as broken_records from part group by 1"""
+    return {
+        "ingested_inch_marks": _part_rows(inch) + after,
+        "ingest_report_inch_marks": per_file(2, 1),
+        "ingested_mixed_json": _part_rows("concat(p_name, s)", more=" cross join (values (''), (' b'), (' c')) v(s)"),
+        "ingested_truncated_json": _part_rows(),
+        # the empty item at the start of each document has no code, the last one breaks off
+        "ingest_report_json": per_file(2, 2),
+        "ingested_long_line_ndjson": _part_rows(facility="concat('give-g', cast(r as varchar), '-clin')"),
+        "overridden_hospitals": """select distinct concat('Given G', cast(p_partkey % 5 as varchar), ' Clinic') as facility_name,
+            'Dallas' as city, 'TX' as state, '9 West St' as address,
+            concat('give-g', cast(p_partkey % 5 as varchar), '-clin') as facility_id, '3.0.0' as file_version,
+            '2025-03-03' as last_updated from part""",
+        "colliding_files": """select cast(p_partkey % 5 as integer) as r,
+            case p_partkey % 5 when 4 then 'ok' else 'id_collision' end as status,
+            case p_partkey % 5 when 4 then count(*) else 0 end as rows from part group by p_partkey % 5""",
+        "unreadable_files": """select cast(p_partkey % 5 as integer) as r,
+            case p_partkey % 5 when 0 then 'unreadable' else 'ok' end as status,
+            case p_partkey % 5 when 0 then 0 else count(*) end as read_records, p_partkey % 5 = 0 as failed
+          from part group by p_partkey % 5""",
+        "ingested_file": f"""select facility_id, p_name as description, cast(p_partkey as varchar) as hcpcs_code,
+            '2025-01-01T00:00:00' as ingested_at from ({_PARTS}) where r = 1""",
+        "ingested_with_duplicates": f"select facility_id, count(*) as rows from ({_PARTS}) group by facility_id",
+        "stored_two_files": _part_rows(),
+        "stored_correction": """select count(*) as rows, sum(cast(p_size as decimal(12,2))) as cash,
+            count_if(p_partkey % 7 = 0) as were_aside, 0 as still_aside from part""",
+        "stored_purge": _part_rows(where="(p_partkey % 2 = 1 and r > 0) or (p_partkey % 2 = 0 and r > 1)"),
+        "streamed_hospitals": f"""select distinct facility_id, concat('Rough R', cast(r as varchar), ' Hospital') as facility_name,
+            'Austin' as city, 'TX' as state, '1 East St, Austin, TX 78613' as address, '2.0.0' as file_version,
+            concat('2025-0', cast(r + 1 as varchar), '-01') as last_updated from ({_PARTS})""",
+        "exported_hospitals": f"""with {HOSPITALS} select facility_id, facility_name, city, state, address, source_url,
+            file_version, last_updated, kind from hospitals, (values ('json'), ('csv')) v(kind)""",
+    }

@@ -18,8 +18,8 @@ def score(cash_price: Column, gross_charge: Column) -> Column:
     )
 
 
-def best_records(rows: DataFrame) -> DataFrame:
-    """One row per (facility, description, codes).
+def best_records(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row per (facility, description, codes), and per values of ``by`` (columns of the position) if given.
 
     The winner has the highest score, the earliest position among equal ones;
     it takes the smallest minimum and the largest maximum of its group.  All
@@ -36,7 +36,7 @@ def best_records(rows: DataFrame) -> DataFrame:
     )
     grouped = (
         rows.withColumn("group_hash", F.xxhash64(*GROUP_KEY))
-        .groupBy("group_hash", *GROUP_KEY)
+        .groupBy("group_hash", *GROUP_KEY, *by)
         .agg(
             winner.alias("winner"),
             F.min("negotiated_min").alias("negotiated_min"),
@@ -49,5 +49,5 @@ def best_records(rows: DataFrame) -> DataFrame:
         "winner.gross_charge",
         "negotiated_min",
         "negotiated_max",
-        *[f"winner.{c}" for c in POSITION],
+        *[c if c in by else f"winner.{c}" for c in POSITION],
     )

@@ -10,6 +10,8 @@ from pricelake.schemas import POSITION, PRICE_FIELDS
 NO_STANDARD_CODE = "no_standard_code"
 NO_CASH_PRICE = "missing_cash_price"
 NOT_OUTPATIENT = "not_outpatient"
+#: Column of raw lines that tells why one could not be read.
+FAULT = "fault"
 
 # U+FFFD stands for bytes that were not valid UTF-8; they are dropped.
 _BAD_BYTES = "�"
@@ -76,12 +78,17 @@ def normalize(
     """Typed row and ``reasons`` for every raw charge line; no row is dropped.
 
     A line is accepted when ``reasons`` is empty; a missing cash price counts
-    as 0 where it is not required.  ``keep`` names further columns to carry.
+    as 0 where it is not required.  A line that could not be read as a record
+    has its ``fault``, if ``raw`` has such a column, for its only reason.  ``keep`` names further columns to carry.
     One projection chain over the scan, no shuffle.
     """
     failures = _failures(F.size("pairs") > 0, outpatient_only, require_cash_price)
     reasons = F.array_compact(F.array(*[F.when(f, F.lit(name)) for name, f in failures.items()]))
-    return _lines(_typed(raw, keep), reasons.alias("reasons"), *[F.col(c) for c in keep])
+    if FAULT in raw.columns:
+        keep = (*keep, FAULT)
+        reasons = F.when(F.col(FAULT).isNull(), reasons).otherwise(F.array(FAULT))
+    kept = [F.col(c) for c in keep if c != FAULT]
+    return _lines(_typed(raw, keep), reasons.alias("reasons"), *kept)
 
 
 def accept(

@@ -102,8 +102,9 @@ def display(operations: DataFrame) -> DataFrame:
 def with_code(operations: DataFrame, code: str, code_type: str | None = None) -> DataFrame:
     """Operations that list ``code``, under ``code_type`` if given.
 
-    The primary code columns answer most lookups from Parquet statistics; the
-    map is only opened for the rest.
+    The map of codes is opened for every row; where the code is known to be
+    the primary one, ``with_primary_code`` skips row groups by their
+    statistics.
     """
     if code_type is None:
         return operations.where(C.has_code(F.col("codes"), code))

@@ -33,6 +33,11 @@ def confident(cache: DataFrame) -> DataFrame:
     return cache.where(F.col("confidence_score") >= MIN_CONFIDENCE)
 
 
+def comparable(vector: Column, dimension: int) -> Column:
+    """True for vectors of ``dimension`` numbers; others can't be compared and are no hits."""
+    return (F.size(vector) == dimension) & ~F.exists(vector, lambda x: x.isNull())
+
+
 def search(
     cache: DataFrame,
     vector: list[float],
@@ -43,6 +48,7 @@ def search(
     query = F.array(*[F.lit(float(x)) for x in vector])
     return (
         confident(cache)
+        .where(comparable(F.col("query_embedding"), len(vector)))
         .withColumn("similarity", cosine(F.col("query_embedding"), query))
         .where(F.col("similarity") > threshold)
         .drop("query_embedding")
@@ -106,11 +112,14 @@ def search_many(
     each Arrow batch is multiplied with a block of query vectors whose size is
     bounded, and only hits above the threshold that can still be among the best
     leave the task.  More queries than one block holds take one scan per block.
+    Vectors that are NULL or hold NULLs are skipped, and vectors are compared
+    with those of the same length.
     """
     import numpy as np
 
     spark = cache.sparkSession
     entries = confident(cache).select("id", "query_embedding")
+    queries = queries.where("query_vector IS NOT NULL AND NOT exists(query_vector, x -> x IS NULL)")
     schema = T.StructType(
         [
             T.StructField("query_id", queries.schema["query_id"].dataType),
@@ -120,7 +129,7 @@ def search_many(
     )
     hits = None
     for ids, matrix in _blocks(queries, block_bytes):
-        found = entries.mapInPandas(
+        found = entries.where(comparable(F.col("query_embedding"), len(matrix[0]))).mapInPandas(
             _block_hits(
                 spark.sparkContext.broadcast(np.array(ids)),
                 spark.sparkContext.broadcast(np.array(matrix, dtype="float64")),
@@ -137,16 +146,13 @@ def search_many(
 
 
 def _blocks(queries: DataFrame, block_bytes: int) -> Iterator[tuple[list, list]]:
-    """Query vectors in blocks of bounded size, streamed partition by partition."""
-    ids: list = []
-    vectors: list = []
-    size = 0
+    """Query vectors of one length in blocks of bounded size, streamed partition by partition."""
+    blocks: dict[int, tuple[list, list]] = {}
     for row in queries.select("query_id", "query_vector").toLocalIterator():
+        n = len(row.query_vector)
+        ids, vectors = blocks.setdefault(n, ([], []))
         ids.append(row.query_id)
         vectors.append(row.query_vector)
-        size += 8 * len(row.query_vector)
-        if size >= block_bytes:
-            yield ids, vectors
-            ids, vectors, size = [], [], 0
-    if ids:
-        yield ids, vectors
+        if 8 * n * len(ids) >= block_bytes:
+            yield blocks.pop(n)
+    yield from (block for n, block in blocks.items() if n)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pricelake.operators import dedup as D, normalize as N
 from pricelake.plans import report as R
@@ -16,12 +17,11 @@ from pricelake.sources import catalog as K, charges as X, sniff as S
 
 @dataclass(frozen=True)
 class Options:
-    """How charge lines are accepted, and from what size JSON documents are split."""
+    """How charge lines are accepted."""
 
     outpatient_only: bool = True
     require_cash_price: bool = True
     dedup: bool = True
-    document_bytes: int = X.DOCUMENT_BYTES
     ingested_at: datetime | None = None
 
     def clock(self) -> Column:
@@ -40,6 +40,7 @@ class Ingested:
     operations: DataFrame
     rejected: DataFrame
     report: DataFrame
+    options: Options
 
 
 def best_operations(accepted: DataFrame, dedup: bool = True) -> DataFrame:
@@ -56,29 +57,73 @@ def to_operations(rows: DataFrame, clock: Column) -> DataFrame:
     )
 
 
-def to_hospitals(catalog: DataFrame, clock: Column) -> DataFrame:
+#: Ways in which price files write dates.
+DATES = ("yyyy-MM-dd", "MM/dd/yyyy", "M/d/yyyy", "yyyy/MM/dd", "yyyyMMdd", "MM-dd-yyyy", "MMMM d, yyyy")
+
+
+def date_of(text: Column) -> Column:
+    """Date of a text in one of the usual ways; NULL where it is none."""
+    tries = [F.try_to_timestamp(F.left(F.trim(text), F.lit(10)), F.lit("yyyy-MM-dd"))]
+    tries += [F.try_to_timestamp(F.trim(text), F.lit(form)) for form in DATES[1:]]
+    return F.coalesce(*tries).cast("date")
+
+
+def loaded_files(catalog: DataFrame) -> DataFrame:
+    """What each loaded file tells of its hospital: the hospital columns and ``source_file``."""
+    return catalog.where(F.col("status") == "ok").select(
+        F.col("file").alias("source_file"),
+        *[F.col("path" if c == "source_url" else c).alias(c) for c in HOSPITALS.names if c != "ingested_at"],
+    )
+
+
+def latest_of_files(files: DataFrame, clock: Column) -> DataFrame:
     """One hospital row per facility; of several files the latest update tells."""
     latest = F.max_by(
         F.struct(*[c for c in HOSPITALS.names if c not in ("facility_id", "ingested_at")]),
-        F.struct(F.coalesce("last_updated", F.lit("")), "source_url"),
+        F.struct(
+            F.coalesce(date_of(F.col("last_updated")), F.lit("0001-01-01").cast("date")),
+            F.coalesce("last_updated", F.lit("")),
+            "source_url",
+        ),
     )
     return (
-        catalog.where(F.col("status") == "ok")
-        .withColumn("source_url", F.col("path"))
-        .groupBy("facility_id")
+        files.groupBy("facility_id")
         .agg(latest.alias("h"))
         .select("facility_id", "h.*", clock.alias("ingested_at"))
         .select(*HOSPITALS.names)
     )
 
 
-def _write_lines(raw: DataFrame, options: Options) -> DataFrame:
+def to_hospitals(catalog: DataFrame, clock: Column) -> DataFrame:
+    return latest_of_files(loaded_files(catalog), clock)
+
+
+def _write_lines(raw: DataFrame, catalog: DataFrame, options: Options) -> DataFrame:
+    """Normalised lines, written once, split by outcome.
+
+    A line that reads like the header or one above it is one only if it is
+    among the first such lines of its file, as many as there are; those few
+    are told apart by position after the writing.
+    """
     normalized = N.normalize(
-        raw, options.outpatient_only, options.require_cash_price, keep=(X.OPEN_QUOTE,)
+        raw, options.outpatient_only, options.require_cash_price, keep=(X.OPEN_QUOTE, X.MAYBE_TOP)
     )
-    return written(
-        normalized.withColumn("accepted", F.size("reasons") == 0), "lines", ("accepted",)
+    lines = written(
+        normalized.withColumn("accepted", F.size("reasons") == 0), "lines", ("accepted", X.MAYBE_TOP)
     )
+    above = catalog.select(
+        F.col("file").alias("source_file"),
+        F.size(F.filter("top_texts", lambda t: F.trim(t) != "")).alias("n_top"),
+    )
+    order = Window.partitionBy("source_file").orderBy("source_block", "source_row")
+    repeated = (
+        lines.where(F.col(X.MAYBE_TOP))
+        .withColumn("nth", F.row_number().over(order))
+        .join(above, "source_file")
+        .where(F.col("nth") > F.col("n_top"))
+        .select(*lines.columns)
+    )
+    return lines.where(~F.col(X.MAYBE_TOP)).unionByName(repeated).drop(X.MAYBE_TOP)
 
 
 def normalized_lines(catalog: DataFrame, options: Options) -> DataFrame:
@@ -88,7 +133,7 @@ def normalized_lines(catalog: DataFrame, options: Options) -> DataFrame:
     out to have line breaks inside cells are read again as whole records, and
     what was made of their lines is left out.
     """
-    lines = _write_lines(X.raw_charges(catalog, options.document_bytes), options)
+    lines = _write_lines(X.raw_charges(catalog), catalog, options)
     broken = written(
         lines.where(F.col(X.OPEN_QUOTE)).select(F.col("source_file").alias("file")).distinct(),
         "broken",
@@ -96,20 +141,27 @@ def normalized_lines(catalog: DataFrame, options: Options) -> DataFrame:
     if not broken.isEmpty():
         again = X.quoted_charges(catalog.join(broken, "file", "left_semi"))
         fine = lines.join(broken, lines["source_file"] == broken["file"], "left_anti")
-        lines = fine.unionByName(_write_lines(again, options))
+        lines = fine.unionByName(_write_lines(again, catalog, options))
     return lines.drop(X.OPEN_QUOTE)
 
 
 def ingest_files(
-    files: DataFrame, options: Options = Options(), metadata: DataFrame | None = None
+    files: DataFrame,
+    options: Options = Options(),
+    metadata: DataFrame | None = None,
+    stored: DataFrame | None = None,
 ) -> Ingested:
     """One plan over all ``files`` (see ``sniff.manifest``).
 
     Text is parsed once: the normalised lines are written, split by outcome,
-    and every result is read back from there.
+    and every result is read back from there.  A file that can't be read or
+    loaded has a status that says why, and does not touch the others.
+    ``stored`` are the hospitals of earlier runs, whose ids stay theirs.
     """
-    catalog = written(K.build_catalog(files, metadata), "catalog")
+    catalog = written(K.build_catalog(files, metadata, stored), "catalog")
+    start = time.perf_counter()
     lines = normalized_lines(catalog, options)
+    seconds = time.perf_counter() - start
     accepted = lines.where(F.col("accepted")).drop("accepted", "reasons")
     rejected = lines.where(~F.col("accepted")).drop("accepted")
     winners = best_operations(accepted, options.dedup)
@@ -119,7 +171,8 @@ def ingest_files(
         hospitals=to_hospitals(catalog, options.clock()),
         operations=to_operations(winners, options.clock()),
         rejected=rejected,
-        report=R.file_report(catalog, lines, winners),
+        report=R.file_report(catalog, lines, winners, seconds),
+        options=options,
     )
 
 
@@ -129,9 +182,10 @@ def ingest_directory(
     pattern: str = "*",
     options: Options = Options(),
     metadata: DataFrame | None = None,
+    stored: DataFrame | None = None,
 ) -> Ingested:
     """Ingest the files of ``folder`` whose names match ``pattern``."""
-    return ingest_files(S.manifest(spark, folder, pattern), options, metadata)
+    return ingest_files(S.manifest(spark, folder, pattern), options, metadata, stored)
 
 
 def ingest_file(
@@ -139,6 +193,7 @@ def ingest_file(
     path: str,
     options: Options = Options(),
     metadata: DataFrame | None = None,
+    stored: DataFrame | None = None,
 ) -> Ingested:
     """Ingest a single file."""
-    return ingest_files(S.manifest(spark, K.glob_safe(path)), options, metadata)
+    return ingest_files(S.manifest(spark, K.glob_safe(path)), options, metadata, stored)

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pricelake.operators import normalize as N
 
 REASONS = (N.NO_STANDARD_CODE, N.NO_CASH_PRICE, N.NOT_OUTPATIENT)
+#: Reasons of lines that could not be read as records, from ``sources``.
+FAULTS = ("unclosed_quote", "incomplete_item")
 
 
 def line_counts(lines: DataFrame) -> DataFrame:
@@ -16,6 +18,7 @@ def line_counts(lines: DataFrame) -> DataFrame:
         F.count_if(F.size("reasons") == 0).alias("accepted_records"),
         F.count_if(F.size("reasons") > 0).alias("failed_records"),
         *[F.count_if(F.array_contains("reasons", r)).alias(r) for r in REASONS],
+        F.count_if(F.arrays_overlap("reasons", F.array(*[F.lit(f) for f in FAULTS]))).alias("broken_records"),
     )
 
 
@@ -37,8 +40,16 @@ def run_counts(lines: DataFrame, winners: DataFrame) -> DataFrame:
     )
 
 
-def file_report(catalog: DataFrame, lines: DataFrame, winners: DataFrame) -> DataFrame:
-    """One row per catalogued file, files that could not be loaded included."""
+def file_report(
+    catalog: DataFrame, lines: DataFrame, winners: DataFrame, seconds: float = 0.0
+) -> DataFrame:
+    """One row per catalogued file, files that could not be loaded included.
+
+    A loaded file with lines that are no records has status 'malformed'.
+    ``error`` is what went wrong in reading the file.  ``processing_seconds``
+    is the time its head took, and its share by size of the ``seconds`` in
+    which the lines of all files were read together.
+    """
     counts = run_counts(lines, winners).withColumnRenamed("source_file", "file")
     known = catalog.select(
         "file",
@@ -47,16 +58,33 @@ def file_report(catalog: DataFrame, lines: DataFrame, winners: DataFrame) -> Dat
         "format",
         "size_bytes",
         "status",
+        "error",
+        "head_seconds",
         F.array_union(
             F.coalesce("missing_metadata", F.array().cast("array<string>")),
             F.coalesce("missing_fields", F.array().cast("array<string>")),
         ).alias("missing"),
     )
     numbers = [c for c in counts.columns if c != "file"]
+    loaded = known.where(F.col("status") == "ok").agg(
+        F.greatest(F.sum("size_bytes"), F.lit(1)).alias("loaded_bytes")
+    )
+    share = F.when(F.col("status") == "ok", F.lit(seconds) * F.col("size_bytes") / F.col("loaded_bytes"))
     return (
         known.join(counts, "file", "left")
         .withColumns({c: F.coalesce(c, F.lit(0)) for c in numbers})
-        .drop("file")
+        .join(F.broadcast(loaded))
+        .withColumn(
+            "processing_seconds",
+            F.coalesce("head_seconds", F.lit(0.0)) + F.coalesce(share, F.lit(0.0)),
+        )
+        .withColumn(
+            "status",
+            F.when((F.col("status") == "ok") & (F.col("broken_records") > 0), F.lit("malformed")).otherwise(
+                F.col("status")
+            ),
+        )
+        .drop("file", "head_seconds", "loaded_bytes")
     )
 
 
@@ -67,6 +95,14 @@ def totals(report: DataFrame) -> DataFrame:
         F.sum("total_records").alias("total_records"),
         F.sum("successful_records").alias("successful_records"),
         F.sum("failed_records").alias("failed_records"),
+        *(
+            [
+                F.count_if(F.col("error").isNotNull()).alias("file_errors"),
+                F.sum("processing_seconds").alias("processing_seconds"),
+            ]
+            if "processing_seconds" in report.columns
+            else []
+        ),
     )
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,22 +33,52 @@ def build_session(app: str = "pricelake", master: str | None = None, **conf) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor sees: the session's ``spark.checkpoint.dir``.
+    """Folder every executor sees: ``spark.checkpoint.dir`` or the context's checkpoint folder.
 
-    Where the session names none (tests on one machine) a new temporary folder
-    is made and remembered in the session.
+    Where there is neither, a session on one machine (tests) gets a temporary
+    folder, which is remembered in the session; on a cluster, whose executors
+    would write to their own disks, that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        # set by SparkContext.setCheckpointDir
+        told = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = told.get() if told.isDefined() else None
     if not folder:
         folder = spark.conf.get("pricelake.scratch.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="pricelake-")
         spark.conf.set("pricelake.scratch.dir", folder)
     return folder.rstrip("/")
 
 
+#: Folders of the scratch scopes that are open, the innermost last.
+_open: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, purpose: str) -> str:
-    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the folders made inside: for runs whose results are stored elsewhere."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            delete_folder(spark, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def written(df: DataFrame, purpose: str, partition_by: tuple[str, ...] = ()) -> DataFrame:

@@ -24,7 +24,7 @@ def new_entries(entries: DataFrame, now: Column) -> DataFrame:
     }
     return (
         entries.withColumns({**filled, "created_at": now, "updated_at": now})
-        .withColumn("confidence_score", F.col("confidence_score").cast("decimal(5,2)"))
+        .withColumn("confidence_score", F.col("confidence_score").try_cast("decimal(38,2)"))
         .select(*QUERY_CACHE.names)
     )
 

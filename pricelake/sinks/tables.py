@@ -1,12 +1,14 @@
-"""The two tables on storage: idempotent reload, quarantine, upsert, exports."""
+"""The two tables on storage: reload by file, quarantine, upsert, exports."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from pricelake.functions import codes as C, prices as P
-from pricelake.operators import quality as Q
-from pricelake.schemas import PRICE_FIELDS, STORED_HOSPITALS, STORED_OPERATIONS
+from pricelake.operators import dedup as D, quality as Q
+from pricelake.plans import ingest as I
+from pricelake.runtime import delete_folder, scratch, written
+from pricelake.schemas import POSITION, PRICE_FIELDS, STORED_HOSPITALS, STORED_OPERATIONS
 
 
 def hot_facilities_split(operations: DataFrame) -> DataFrame:
@@ -40,11 +42,11 @@ def write_operations(operations: DataFrame, path: str) -> None:
     )
 
 
-def write_quarantine(checked: DataFrame, path: str) -> None:
+def write_quarantine(failing: DataFrame, path: str) -> None:
     """Rows that break table rules, with the names of the rules."""
-    Q.failing(checked).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("facility_id").parquet(path)
+    failing.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "facility_id"
+    ).parquet(path)
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -57,7 +59,7 @@ def read_operations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_hospitals(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, f"{folder}/hospitals", STORED_HOSPITALS)
+    return read_table(spark, f"{folder}/hospitals", STORED_HOSPITALS).select(*STORED_HOSPITALS.names)
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -89,37 +91,123 @@ def upsert(existing: DataFrame | None, incoming: DataFrame, key: str, now: Colum
     )
 
 
-def write_hospitals(hospitals: DataFrame, path: str, now: Column | None = None) -> None:
-    """Upsert hospital rows, one partition per facility at hand."""
+#: Small tables are stored in this many parts, by a hash of the facility.
+BUCKETS = 16
+
+
+def _bucketed(df: DataFrame) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64("facility_id"), F.lit(BUCKETS)).cast("int"))
+
+
+def _replace(rows: DataFrame, touched: DataFrame, path: str) -> None:
+    """Rewrite the parts of a small table that ``touched`` facilities lie in: their rows become ``rows``."""
+    spark = rows.sparkSession
+    kept = _bucketed(rows)
+    if table_exists(spark, path):
+        parts = _bucketed(touched.select("facility_id")).select("bucket").distinct()
+        old = read_table(spark, path, rows.schema).join(F.broadcast(parts), "bucket", "left_semi")
+        kept = kept.unionByName(old.join(touched.select("facility_id"), "facility_id", "left_anti"))
+    # Written aside first: the parts are read and replaced; an emptied part is left as an empty file.
+    kept = written(kept, "part")
+    every = _bucketed(touched.select("facility_id")).select("bucket").distinct()
+    empty = every.join(kept.select("bucket").distinct(), "bucket", "left_anti")
+    names = [r.bucket for r in empty.toLocalIterator()]
+    kept.repartition("bucket").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("bucket").parquet(path)
+    for bucket in names:
+        delete_folder(spark, f"{path}/bucket={bucket}")
+
+
+def write_hospitals(hospitals: DataFrame, path: str, now: Column | None = None, touched: DataFrame | None = None) -> None:
+    """Upsert hospital rows; rows of facilities ``touched`` but not at hand are deleted."""
     spark = hospitals.sparkSession
     now = F.current_timestamp() if now is None else now
+    touched = hospitals.select("facility_id").distinct() if touched is None else touched
     existing = None
     if table_exists(spark, path):
-        existing = read_table(spark, path, STORED_HOSPITALS).join(
-            hospitals.select("facility_id").distinct(), "facility_id", "left_semi"
-        )
+        existing = read_table(spark, path, STORED_HOSPITALS).select(*STORED_HOSPITALS.names)
+        existing = existing.join(hospitals.select("facility_id").distinct(), "facility_id", "left_semi")
     merged = upsert(existing, hospitals, "facility_id", now)
-    (
-        hot_facilities_split(merged)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("facility_id")
-        .parquet(path)
-    )
+    _replace(merged.select(*STORED_HOSPITALS.names), touched, path)
+
+
+def _drop_emptied(spark: SparkSession, path: str, touched: DataFrame, filled: DataFrame) -> None:
+    """Delete the folders of touched facilities that have no rows any more."""
+    if not table_exists(spark, path):
+        return
+    gone = touched.select("facility_id").join(filled.select("facility_id").distinct(), "facility_id", "left_anti")
+    for r in gone.toLocalIterator():
+        delete_folder(spark, f"{path}/facility_id={r.facility_id}")
+
+
+ORPHANED = "hospital_quarantined"
 
 
 def store(result, folder: str, now: Column | None = None) -> None:
     """Both tables of an ingest run under ``folder``, broken rows set aside.
 
-    Operations come first: a run that stops in between leaves operations
-    without a hospital row, which joins ignore and the next run repairs.
+    A file that is loaded again replaces what it gave before and nothing else:
+    the best records of each (facility, file) are kept beside the tables, and
+    the facilities at hand (also those that lose a file, or all rows) are built
+    anew from them.  Operations of a hospital that breaks the rules are set
+    aside too.  Loading the same files in any order and number of runs gives
+    the same tables, so a run that stops in between is repaired by repeating it.
     """
-    checked = Q.check_operations(result.operations)
-    write_operations(Q.passing(checked), f"{folder}/medical_operations")
-    write_quarantine(checked, f"{folder}/quarantine/medical_operations")
-    hospitals = Q.check_hospitals(result.hospitals)
-    write_hospitals(Q.passing(hospitals), f"{folder}/hospitals", now)
-    write_quarantine(hospitals, f"{folder}/quarantine/hospitals")
+    spark = result.catalog.sparkSession
+    with scratch(spark):
+        _store(spark, result, folder, now)
+
+
+def _store(spark: SparkSession, result, folder: str, now: Column | None) -> None:
+    options = result.options
+    state, files_path = f"{folder}/state", f"{folder}/files"
+    files = written(I.loaded_files(result.catalog), "files")
+    accepted = result.lines.where(F.col("accepted")).drop("accepted", "reasons")
+    fresh = D.best_records(accepted, by=("source_file",)) if options.dedup else accepted.drop("setting")
+    columns = [*D.GROUP_KEY, *PRICE_FIELDS, *POSITION]
+    fresh = fresh.select(*columns)
+    touched = files.select("facility_id")
+    loaded = files.select("source_file")
+    old_files = None
+    if table_exists(spark, files_path):
+        old_files = read_table(spark, files_path, files.schema).select(*files.columns)
+        touched = touched.union(old_files.join(loaded, "source_file", "left_semi").select("facility_id"))
+    touched = written(touched.distinct(), "touched")
+    records = fresh
+    if table_exists(spark, state):
+        old = read_table(spark, state, fresh.schema).join(touched, "facility_id", "left_semi")
+        records = fresh.unionByName(old.join(loaded, "source_file", "left_anti").select(*columns))
+    records = written(records, "records")
+    if old_files is not None:
+        kept = old_files.join(touched, "facility_id", "left_semi").join(loaded, "source_file", "left_anti")
+        files = written(files.unionByName(kept), "files")
+
+    hospitals = written(Q.check_hospitals(I.latest_of_files(files, options.clock())), "hospitals")
+    sound = Q.passing(hospitals)
+    operations = I.to_operations(I.best_operations(records, options.dedup), options.clock())
+    checked = Q.check_operations(operations).join(
+        sound.select("facility_id", F.lit(True).alias("sound")), "facility_id", "left"
+    )
+    rules = F.when(F.col("sound"), F.col("broken_rules")).otherwise(F.array_append("broken_rules", F.lit(ORPHANED)))
+    checked = checked.withColumn("broken_rules", rules).drop("sound")
+    checked = written(checked.withColumn("passes", F.size("broken_rules") == 0), "checked", ("passes",))
+    passing = checked.where("passes").drop("passes", "broken_rules")
+    failing = checked.where("NOT passes").drop("passes")
+
+    hot_facilities_split(records).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("facility_id").parquet(state)
+    _drop_emptied(spark, state, touched, records)
+    write_operations(passing, f"{folder}/medical_operations")
+    _drop_emptied(spark, f"{folder}/medical_operations", touched, passing)
+    write_quarantine(failing, f"{folder}/quarantine/medical_operations")
+    _drop_emptied(spark, f"{folder}/quarantine/medical_operations", touched, failing)
+    write_hospitals(sound, f"{folder}/hospitals", now, touched)
+    broken = Q.failing(hospitals)
+    write_quarantine(broken, f"{folder}/quarantine/hospitals")
+    _drop_emptied(spark, f"{folder}/quarantine/hospitals", touched, broken)
+    _replace(files, touched, files_path)
 
 
 def export_text(df: DataFrame) -> DataFrame:
@@ -130,15 +218,22 @@ def export_text(df: DataFrame) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """One JSON object per line, a folder per facility."""
-    hot_facilities_split(df).write.mode("overwrite").partitionBy("facility_id").json(path)
+    """One JSON object per line, a folder per facility; folders of other facilities stay."""
+    (
+        hot_facilities_split(df)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("facility_id")
+        .json(path)
+    )
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with header, a folder per facility."""
+    """CSV with header, a folder per facility; folders of other facilities stay."""
     (
         hot_facilities_split(export_text(df))
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("facility_id")
         .option("header", True)
         .option("escape", '"')
@@ -158,23 +253,32 @@ def write_ndjson(df: DataFrame, path: str) -> int:
 def purge_tables(spark: SparkSession, folder: str, facility_ids: list[str] | None = None) -> dict:
     """Delete facilities (all when None) from both stored tables; rows deleted per table.
 
-    Facilities are partitions, so their folders are removed and no row is
-    rewritten; operations go first.
+    What is kept beside the tables goes too, so a later run does not bring the
+    rows back.  Facilities are partitions, whose folders are removed; of the
+    small tables the parts at hand are rewritten.
     """
-    deleted = {}
     schemas = {"medical_operations": STORED_OPERATIONS, "hospitals": STORED_HOSPITALS}
+    deleted = {}
     for table, schema in schemas.items():
-        path = f"{folder}/{table}"
-        if not table_exists(spark, path):
-            deleted[table] = 0
-            continue
-        rows = read_table(spark, path, schema)
-        if facility_ids is not None:
-            rows = rows.where(F.col("facility_id").isin(*facility_ids))
-        per_facility = rows.groupBy("facility_id").agg(F.count(F.lit(1)).alias("n"))
         deleted[table] = 0
-        for r in per_facility.toLocalIterator():
-            deleted[table] += r.n
-            target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/facility_id={r.facility_id}")
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if table_exists(spark, f"{folder}/{table}"):
+            rows = read_table(spark, f"{folder}/{table}", schema)
+            if facility_ids is not None:
+                rows = rows.where(F.col("facility_id").isin(*facility_ids))
+            deleted[table] = rows.count()
+    by_facility = ("medical_operations", "state", "quarantine/medical_operations", "quarantine/hospitals")
+    if facility_ids is None:
+        for table in (*by_facility, "hospitals", "files"):
+            delete_folder(spark, f"{folder}/{table}")
+        return deleted
+    for table in by_facility:
+        for facility_id in facility_ids:
+            delete_folder(spark, f"{folder}/{table}/facility_id={facility_id}")
+    with scratch(spark):
+        gone = spark.createDataFrame([(f,) for f in facility_ids], "facility_id string")
+        for table in ("hospitals", "files"):
+            path = f"{folder}/{table}"
+            if table_exists(spark, path):
+                rows = spark.read.parquet(path).drop("bucket")
+                _replace(rows.limit(0), gone, path)
     return deleted

@@ -14,16 +14,23 @@ METADATA = ("facility_name", "city", "state", "address", "file_version", "last_u
 SUPPORTED = ("csv", "json", "ndjson")
 
 
-def build_catalog(files: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+def build_catalog(
+    files: DataFrame, metadata: DataFrame | None = None, stored: DataFrame | None = None
+) -> DataFrame:
     """Catalog of ``files`` (as listed by ``sniff.manifest``).
 
     ``metadata`` optionally gives facility fields per ``path``; where a row
     exists it replaces what the file tells.  ``status`` says why a file cannot
-    be loaded: 'unsupported_format', 'missing_metadata', 'invalid_metadata' or
-    'ok'.
+    be loaded: 'unreadable' (see ``error``), 'unsupported_format',
+    'missing_metadata', 'invalid_metadata', 'id_collision' or 'ok'.
+
+    ``stored`` are hospitals (facility_id, facility_name) of earlier runs.  A
+    facility id stands for one hospital: files are not loaded if others of the
+    run, or the stored row, have the same id under another name.
     """
     heads = written(_describe(files), "heads")
-    known = _with_facility(_read_late_headers(heads), metadata)
+    known = written(_with_facility(_read_late_headers(heads), metadata), "known")
+    known = _without_collisions(known, stored)
     mapping = M.column_mapping(known.where(F.col("format") == "csv").select("file", "columns"))
     return known.join(
         mapping.withColumn("missing_fields", M.missing_fields()), "file", "left"
@@ -55,17 +62,23 @@ def _describe(files: DataFrame) -> DataFrame:
         F.transform(F.element_at("top", -1), lambda c: F.trim(c)).alias("columns"),
         F.array_max(F.transform("top", lambda r: F.size(r))).alias("width"),
         F.slice("row_texts", F.lit(1), F.col("header_row") + 1).alias("top_texts"),
-        F.when(is_json, S.has_nested_items(F.col("head"))).alias("nested"),
         F.when(is_json, F.col("head").rlike(r"^\s*\{")).alias("is_object"),
+        F.when(is_json & F.col("head").rlike(r"^\s*\{"), S.json_facility(S.late_json_header(F.col("tail")))).alias("late"),
+        "error",
+        "head_seconds",
     )
 
 
 def _read_late_headers(heads: DataFrame) -> DataFrame:
-    """Read JSON documents whose head did not tell name and address.
+    """Header fields of JSON documents whose head did not tell name and address.
 
-    Their header fields may follow the items, so the documents themselves are
-    read, with nothing but the header fields in the schema.
+    They may follow the items: the end of the document tells them then.  Where
+    it does not either, the document itself is read, with nothing but the
+    header fields in the schema.
     """
+    whole = F.col("late.hospital_name").isNotNull() & F.col("late.hospital_address").isNotNull()
+    short = F.col("told.hospital_name").isNull() | F.col("told.hospital_address").isNull()
+    heads = heads.withColumn("told", F.when(short & whole, F.col("late")).otherwise(F.col("told"))).drop("late")
     lacking = heads.where(
         F.col("is_object")
         & (F.col("told.hospital_name").isNull() | F.col("told.hospital_address").isNull())
@@ -124,7 +137,8 @@ def _with_facility(heads: DataFrame, metadata: DataFrame | None) -> DataFrame:
         .withColumn("missing_metadata", Q.missing_file_metadata())
         .withColumn(
             "status",
-            F.when(~F.col("format").isin(*SUPPORTED), F.lit("unsupported_format"))
+            F.when(F.col("error").isNotNull(), F.lit("unreadable"))
+            .when(~F.col("format").isin(*SUPPORTED), F.lit("unsupported_format"))
             .when(F.size("missing_metadata") > 0, F.lit("missing_metadata"))
             .when(
                 ~F.col("facility_id").rlike("^[a-z0-9-]+$") | ~F.col("state").rlike("^[A-Z]{2}$"),
@@ -135,6 +149,26 @@ def _with_facility(heads: DataFrame, metadata: DataFrame | None) -> DataFrame:
     )
 
 
+def _without_collisions(known: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """``known`` with status 'id_collision' where an id stands for hospitals of different names."""
+    named = known.where(F.col("status") == "ok").select("facility_id", "facility_name")
+    if stored is not None:
+        named = named.unionByName(stored.select("facility_id", "facility_name"))
+    same = F.lower(F.regexp_replace(F.trim("facility_name"), r"\s+", " "))
+    colliding = (
+        named.groupBy("facility_id")
+        .agg(F.min(same).alias("first"), F.max(same).alias("last"))
+        .where(F.col("first") != F.col("last"))
+        .select("facility_id", F.lit(True).alias("colliding"))
+    )
+    collides = (F.col("status") == "ok") & F.coalesce("colliding", F.lit(False))
+    return (
+        known.join(colliding, "facility_id", "left")
+        .withColumn("status", F.when(collides, F.lit("id_collision")).otherwise(F.col("status")))
+        .select(*known.columns)
+    )
+
+
 def glob_safe(path: str) -> str:
     """Path whose glob characters stand for themselves."""
     return "".join("\\" + c if c in "[]{}*?\\" else c for c in path)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pricelake.operators import match as M
-from pricelake.schemas import JSON_HEADER, JSON_ITEM, JSON_ITEMS_KEY, RAW_CHARGES
+from pricelake.operators.normalize import FAULT
+from pricelake.schemas import JSON_ITEM, RAW_CHARGES
 from pricelake.sources.catalog import glob_safe
 from pricelake.sources.documents import document_items
-from pricelake.sources.records import has_open_quote, whole_records
+from pricelake.sources.records import UNCLOSED_QUOTE, opens_quote, whole_records
 
 RAW_FIELDS = (
     "description",
@@ -22,10 +23,10 @@ RAW_FIELDS = (
 )
 
 MIN_WIDTH = 16
-# Larger JSON documents are split; smaller ones are parsed by a task each.
-DOCUMENT_BYTES = 512 * 1024 * 1024
-PLAIN, NESTED, LARGE_OBJECT, LARGE_LIST = "plain", "nested", "large object", "large list"
-OPEN_QUOTE = "open_quote"
+#: Distinct layouts, and files, whose descriptions are sent to all tasks at once.
+SENT_LAYOUTS, SENT_FILES = 20_000, 200_000
+OPEN_QUOTE, MAYBE_TOP = "open_quote", "maybe_top"
+INCOMPLETE_ITEM = "incomplete_item"
 
 
 def width_class(width: int) -> int:
@@ -33,28 +34,25 @@ def width_class(width: int) -> int:
     return max(MIN_WIDTH, 1 << (max(width, 1) - 1).bit_length())
 
 
-def raw_charges(catalog: DataFrame, document_bytes: int = DOCUMENT_BYTES) -> DataFrame:
+def raw_charges(catalog: DataFrame) -> DataFrame:
     """Raw charge lines of all loadable files of ``catalog``.
 
     CSV files are read by width class and JSON files by shape, so the plan has
     a handful of scans however many layouts the files have.  Every CSV line is
     taken for a record; where ``open_quote`` is set, that was wrong and the
-    file has to be read by ``quoted_charges``.  JSON documents of more than
-    ``document_bytes`` are split.
+    file has to be read by ``quoted_charges``.  Lines that may be the header or
+    stand above it are marked ``maybe_top``.  JSON documents are split.
     """
     loadable = catalog.where(F.col("status") == "ok")
     parts = []
-    for (kind, variant), paths in _paths(loadable, document_bytes).items():
+    for (kind, variant), paths in _paths(loadable).items():
         if kind == "csv":
-            parts.append(_csv_charges(_csv_lines(loadable, paths), loadable, variant))
+            lines = _csv_lines(loadable, paths).withColumn("unclosed", F.lit(False))
+            parts.append(_csv_charges(lines, loadable, variant))
         elif kind == "ndjson":
             parts.append(_ndjson_items(loadable, paths))
-        elif variant == NESTED:
-            parts.append(_nested_items(loadable, paths))
-        elif variant in (LARGE_OBJECT, LARGE_LIST):
-            parts.append(_split_items(loadable, paths, variant == LARGE_OBJECT))
         else:
-            parts.append(_json_items(loadable, paths))
+            parts.append(_document_items(loadable, paths, variant))
     return _union(catalog, parts)
 
 
@@ -67,18 +65,11 @@ def quoted_charges(catalog: DataFrame) -> DataFrame:
     return _union(catalog, parts)
 
 
-def _paths(catalog: DataFrame, document_bytes: int = DOCUMENT_BYTES) -> dict[tuple, list[str]]:
-    """Paths by format and how they are read: CSV by width class, JSON by shape."""
-    shape = (
-        F.when(F.col("format") != "json", PLAIN)
-        .when((F.col("size_bytes") > document_bytes) & F.col("is_object"), LARGE_OBJECT)
-        .when(F.col("size_bytes") > document_bytes, LARGE_LIST)
-        .when(F.col("nested"), NESTED)
-        .otherwise(PLAIN)
-    )
+def _paths(catalog: DataFrame) -> dict[tuple, list[str]]:
+    """Paths by format and how they are read: CSV by width class, JSON by its root."""
     groups = defaultdict(list)
-    for r in catalog.select("path", "format", "width", shape.alias("shape")).toLocalIterator():
-        variant = width_class(r.width or 1) if r.format == "csv" else r.shape
+    for r in catalog.select("path", "format", "width", "is_object").toLocalIterator():
+        variant = width_class(r.width or 1) if r.format == "csv" else bool(r.is_object)
         groups[r.format, variant].append(glob_safe(r.path))
     return dict(sorted(groups.items()))
 
@@ -86,7 +77,7 @@ def _paths(catalog: DataFrame, document_bytes: int = DOCUMENT_BYTES) -> dict[tup
 def _union(catalog: DataFrame, parts: list[DataFrame]) -> DataFrame:
     if not parts:
         empty = catalog.sparkSession.createDataFrame([], RAW_CHARGES)
-        return empty.withColumn(OPEN_QUOTE, F.lit(False))
+        return empty.withColumns({OPEN_QUOTE: F.lit(False), MAYBE_TOP: F.lit(False), FAULT: F.lit(None).cast("string")})
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -107,17 +98,22 @@ def _csv_lines(catalog: DataFrame, paths: list[str]) -> DataFrame:
     )
 
 
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` for the small side of a join: sent to all tasks if it is known to have few rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def _csv_charges(lines: DataFrame, catalog: DataFrame, width: int) -> DataFrame:
-    """CSV records to raw charge lines, cells picked by the mapping of their file."""
+    """CSV records to raw charge lines, cells picked by the mapping of their file.
+
+    Lines meet two small tables, one row per file and one per distinct layout;
+    the text of the lines is not shuffled.
+    """
     names = [f"c{i}" for i in range(width)]
-    known = catalog.select(
-        "file",
-        "facility_id",
-        "width",
-        "top_texts",
-        "code_columns",
-        *[f"{f}_pos" for f in M.FIELDS],
-    )
+    layout = ["width", "top_texts", "code_columns", *[f"{f}_pos" for f in M.FIELDS]]
+    keyed = catalog.where(F.col("format") == "csv").withColumn("layout", F.xxhash64(F.to_json(F.struct(*layout))))
+    files = _sent(keyed.select("file", "facility_id", "layout"), SENT_FILES)
+    layouts = _sent(keyed.select("layout", *layout).dropDuplicates(["layout"]), SENT_LAYOUTS)
     # Rows are filled up to the width of their class: a row of the expected
     # length is then never malformed to the parser.
     filled = F.concat("value", F.repeat(F.lit(","), F.lit(width) - F.col("width")))
@@ -126,12 +122,9 @@ def _csv_charges(lines: DataFrame, catalog: DataFrame, width: int) -> DataFrame:
         ", ".join(f"{n} string" for n in names),
         {"escape": '"', "maxColumns": str(max(20480, 4 * width)), "maxCharsPerColumn": "-1"},
     )
-    # The header and what is above it are told by their text: a condition on
-    # cells would be moved below the parser and parse every line once more.
-    above_data = (F.col("source_block") == 0) & F.array_contains("top_texts", F.col("value"))
     rows = (
-        lines.join(known, "file")
-        .where(~above_data)
+        lines.join(files, "file")
+        .join(layouts, "layout")
         .withColumn("row", parsed)
         .withColumn("cells", F.array(*[F.col(f"row.{n}") for n in names]))
     )
@@ -153,7 +146,9 @@ def _csv_charges(lines: DataFrame, catalog: DataFrame, width: int) -> DataFrame:
         "source_row",
         *[cell(F.col(f"{f}_pos")).alias(f) for f in RAW_FIELDS],
         F.coalesce(pairs, F.array().cast(RAW_CHARGES["code_pairs"].dataType)).alias("code_pairs"),
-        has_open_quote(F.col("value")).alias(OPEN_QUOTE),
+        opens_quote(F.col("value")).alias(OPEN_QUOTE),
+        F.array_contains("top_texts", F.col("value")).alias(MAYBE_TOP),
+        F.when(F.col("unclosed"), F.lit(UNCLOSED_QUOTE)).alias(FAULT),
     )
 
 
@@ -177,10 +172,11 @@ def item_fields(item: Column) -> dict[str, Column]:
     }
 
 
-def _charges(items: DataFrame, catalog: DataFrame) -> DataFrame:
+def _charges(items: DataFrame, catalog: DataFrame, fault: Column | None = None) -> DataFrame:
     """(file, source_block, source_row, item) to raw charge lines."""
+    files = _sent(catalog.where(F.col("format") != "csv").select("file", "facility_id"), SENT_FILES)
     return (
-        items.join(catalog.select("file", "facility_id"), "file")
+        items.join(files, "file")
         .withColumnRenamed("file", "source_file")
         .select(
             "facility_id",
@@ -189,59 +185,18 @@ def _charges(items: DataFrame, catalog: DataFrame) -> DataFrame:
             F.col("source_row").cast("long"),
             *[c.alias(n) for n, c in item_fields(F.col("item")).items()],
             F.lit(False).alias(OPEN_QUOTE),
+            F.lit(False).alias(MAYBE_TOP),
+            (F.lit(None).cast("string") if fault is None else fault).alias(FAULT),
         )
     )
 
 
-def _json_items(catalog: DataFrame, paths: list[str]) -> DataFrame:
-    """Items of wrapped documents and of root arrays, which give a row per item."""
-    items_type = T.ArrayType(JSON_ITEM)
-    schema = T.StructType(
-        [*JSON_HEADER.fields, T.StructField(JSON_ITEMS_KEY, items_type), *JSON_ITEM.fields]
-    )
-    documents = catalog.sparkSession.read.schema(schema).option("multiLine", True).json(paths)
-    own = F.struct(*JSON_ITEM.names)
-    is_item = F.col(JSON_ITEMS_KEY).isNull() & (
-        F.coalesce(
-            *[F.col(n).cast("string") for n in JSON_HEADER.names]
-        ).isNull()
-    )
-    items = F.when(is_item, F.array(own)).otherwise(F.col(JSON_ITEMS_KEY))
-    return _charges(
-        documents.select(
-            F.col("_metadata.file_path").alias("file"),
-            F.monotonically_increasing_id().alias("source_block"),
-            F.posexplode(items).alias("source_row", "item"),
-        ),
-        catalog,
-    )
+def _document_items(catalog: DataFrame, paths: list[str], in_object: bool) -> DataFrame:
+    """Items of documents, which are split at closing braces whatever their size.
 
-
-def _nested_items(catalog: DataFrame, paths: list[str]) -> DataFrame:
-    """Items of documents that list items, or lists of items, side by side."""
-    texts = F.coalesce(
-        F.from_json("value", f"{JSON_ITEMS_KEY} array<string>")[JSON_ITEMS_KEY],
-        F.from_json("value", "array<string>"),
-    )
-    elements = (
-        catalog.sparkSession.read.text(paths, wholetext=True)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.posexplode(texts).alias("source_block", "text"),
-        )
-    )
-    is_list = F.ltrim("text").startswith("[")
-    items = F.when(is_list, F.from_json("text", T.ArrayType(JSON_ITEM))).otherwise(
-        F.array(F.from_json("text", JSON_ITEM))
-    )
-    return _charges(
-        elements.select("file", "source_block", F.posexplode(items).alias("source_row", "item")),
-        catalog,
-    )
-
-
-def _split_items(catalog: DataFrame, paths: list[str], in_object: bool) -> DataFrame:
-    """Items of documents that are split at closing braces."""
+    A document that breaks off gives its complete items and a faulty line for
+    the one it breaks off in.
+    """
     pieces = catalog.sparkSession.read.text(paths, lineSep="}").select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("source_block"),
@@ -249,7 +204,8 @@ def _split_items(catalog: DataFrame, paths: list[str], in_object: bool) -> DataF
         "value",
     )
     items = document_items(pieces, in_object)
-    return _charges(items.withColumn("item", F.from_json("item", JSON_ITEM)), catalog)
+    fault = F.when(F.col("incomplete"), F.lit(INCOMPLETE_ITEM))
+    return _charges(items.withColumn("item", F.from_json("item", JSON_ITEM)), catalog, fault)
 
 
 def _ndjson_items(catalog: DataFrame, paths: list[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Items of JSON documents too large for one task.
+"""Items of JSON documents of any size, without reading one in one task.
 
 A document is read in pieces that end with a closing brace, split freely like
 lines.  Whether a piece starts inside a string, and how deep it is nested,
@@ -33,7 +33,10 @@ def _count(text: Column, char: str) -> Column:
 
 
 def document_items(pieces: DataFrame, in_object: bool) -> DataFrame:
-    """(file, source_block, source_row, item) with the JSON text of each item.
+    """(file, source_block, source_row, item, incomplete) with the JSON text of each item.
+
+    An item at which the document breaks off is NULL and ``incomplete``; the
+    complete ones before it count.
 
     ``pieces`` has (file, source_block, source_row, value), each value the text
     up to the next closing brace.  Items are the objects of a root list, lists
@@ -53,8 +56,10 @@ def document_items(pieces: DataFrame, in_object: bool) -> DataFrame:
         closes = F.when((_count(F.col("bare"), '"') + p) % 2 == 0, 1).otherwise(0)
         opens = _count(_outside_strings(F.col("bare"), bool(p)), "{")
         bare = bare.withColumns({f"opens_{p}": opens, f"closes_{p}": closes})
-    quoted = bare.withColumn("quotes", (_count(F.col("bare"), '"') % 2).cast("long")).withColumn(
-        "inside", before("quotes", in_block) % 2
+    quoted = (
+        bare.withColumn("quotes", (_count(F.col("bare"), '"') % 2).cast("long"))
+        .withColumn("inside", before("quotes", in_block) % 2)
+        .withColumn("block_end", F.lead("source_row").over(in_block).isNull())
     )
     # Depth inside the block, should the block start outside (0) or inside (1) a string.
     for p in (0, 1):
@@ -70,7 +75,8 @@ def document_items(pieces: DataFrame, in_object: bool) -> DataFrame:
             "step", F.when(F.col("block_inside") == 1, F.col("step_1")).otherwise(F.col("step_0"))
         )
         .withColumn("block_depth", before("step", in_file))
-        .select("file", "source_block", "block_inside", "block_depth")
+        .withColumn("file_end", F.lead("source_block").over(in_file).isNull())
+        .select("file", "source_block", "block_inside", "block_depth", "file_end")
     )
     starts_inside = (F.col("inside") + F.col("block_inside")) % 2 == 1
     chosen = lambda k: F.when(starts_inside, F.col(f"{k}_1")).otherwise(F.col(f"{k}_0"))
@@ -88,6 +94,8 @@ def document_items(pieces: DataFrame, in_object: bool) -> DataFrame:
             chosen("opens").alias("opens"),
             chosen("closes").alias("closes"),
             plain.alias("plain"),
+            # What is behind the last brace of a document ends no item.
+            (F.col("block_end") & F.col("file_end")).alias("is_last"),
         )
         # The wrapping object may open in the piece that starts its first item.
         .withColumns(
@@ -101,7 +109,9 @@ def document_items(pieces: DataFrame, in_object: bool) -> DataFrame:
         )
         .withColumn(
             "ends",
-            ((F.col("closes") == 1) & (F.col("depth") + F.col("opens") - 1 == base)).cast("long"),
+            (
+                (F.col("closes") == 1) & (F.col("depth") + F.col("opens") - 1 == base) & ~F.col("is_last")
+            ).cast("long"),
         )
         .withColumn(
             "key",
@@ -143,13 +153,14 @@ def document_items(pieces: DataFrame, in_object: bool) -> DataFrame:
             F.max(F.when(F.col("starts"), F.col("list_key"))).alias("list_key"),
             F.max("ends").alias("ended"),
         )
-        .where(F.col("ended") == 1)
     )
     if in_object:
         items = items.where(F.col("list_key") == JSON_ITEMS_KEY)
+    complete = F.col("ended") == 1
     return items.select(
         "file",
         F.get("l", F.lit(0))["source_block"].alias("source_block"),
         F.get("l", F.lit(0))["source_row"].alias("source_row"),
-        F.concat(F.array_join("l.text", "}"), F.lit("}")).alias("item"),
+        F.when(complete, F.concat(F.array_join("l.text", "}"), F.lit("}"))).alias("item"),
+        (~complete).alias("incomplete"),
     )

@@ -1,89 +1,114 @@
 """CSV records of files whose cells hold line breaks, without reading a file in one task.
 
-A line belongs to the record before it when the number of quotes in front of
-it is odd.  That number is summed up inside each file block and over the
-blocks of a file, so blocks are worked on in parallel and a record may cross
-any number of them.
+A quote opens a cell only where the cell starts; elsewhere in a plain cell it
+is a character like any other.  So a line has one of two effects on what
+follows, depending on whether it starts a record or lies inside a quoted cell,
+and effects of lines that follow each other combine to one effect.  They are
+combined inside each file block and then over the blocks of a file, so blocks
+are worked on in parallel and a record may cross any number of them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# A longer record comes from a quote that is never closed; its lines are then
-# taken for records of their own.
-MAX_RECORD = 16 * 1024 * 1024
+UNCLOSED_QUOTE = "unclosed_quote"
 
+# What is inside quotes: anything but quotes, and pairs of them.
+_INSIDE = r'[^"]*+(?:""[^"]*+)*+'
+# What may follow the closing quote of a cell.
+_AFTER = r'(?:[^,"][^,]*+)?+'
+# From the start of a cell: whole cells, then one that opens and doesn't close.
+_OPENS = rf'(?:(?:"{_INSIDE}"{_AFTER}|[^",][^,]*+)?+,)*+"{_INSIDE}\z'
+_OPEN_FROM_CLOSED = rf"^{_OPENS}"
+_OPEN_FROM_OPEN = rf'^{_INSIDE}(?:\z|"{_AFTER},{_OPENS})'
 
-def has_open_quote(line: Column) -> Column:
-    """True when a line holds an odd number of quotes."""
-    return (F.length(line) - F.length(F.translate(line, '"', ""))) % 2 == 1
 
+def opens_quote(line: Column) -> Column:
+    """True when a line that starts a record ends inside a quoted cell."""
+    return F.contains(line, F.lit('"')) & line.rlike(_OPEN_FROM_CLOSED)
 
-def whole_records(lines: DataFrame, max_record: int = MAX_RECORD) -> DataFrame:
-    """(file, source_block, source_row, value) with one row per record.
 
-    ``lines`` has the same columns with one row per line; a record has the
-    position of its first line.
+def stays_open(line: Column) -> Column:
+    """True when a line that starts inside a quoted cell ends inside one."""
+    return ~F.contains(line, F.lit('"')) | line.rlike(_OPEN_FROM_OPEN)
+
+
+def whole_records(lines: DataFrame) -> DataFrame:
+    """(file, source_block, source_row, value, unclosed) with one row per record.
+
+    ``lines`` has the same columns but the last, with one row per line; a
+    record has the position of its first line.  Where a file ends inside a
+    quoted cell, the line that opened it is ``unclosed``, and the lines after
+    it are records of their own.
     """
     in_block = Window.partitionBy("file", "source_block").orderBy("source_row")
     in_file = Window.partitionBy("file").orderBy("source_block")
     up_to = lambda w, last: w.rowsBetween(Window.unboundedPreceding, last)
+    total = lambda c, w, last: F.coalesce(F.sum(c).over(up_to(w, last)), F.lit(0))
 
-    counted = lines.withColumn("odd", has_open_quote(F.col("value")).cast("long")).withColumn(
-        "before", F.coalesce(F.sum("odd").over(up_to(in_block, -1)), F.lit(0)) % 2
+    # A line either ends the same way however it starts (``fixed``), turns the
+    # state round (``turns``), or leaves it.  The state after some lines is that
+    # of the last fixed one, or else the first, turned by the turns since:
+    # ``mark`` is the fixed state with all turns before it taken back.
+    opens, stays = F.col("opens"), F.col("stays")
+    stated = (
+        lines.withColumns({"opens": opens_quote(F.col("value")).cast("long"), "stays": stays_open(F.col("value")).cast("long")})
+        .withColumn("turns", F.when((opens == 1) & (stays == 0), 1).otherwise(0))
+        .withColumn("turned", total("turns", in_block, -1))
+        .withColumn("mark", F.when(opens == stays, (opens + F.col("turned")) % 2))
+        .withColumn("marked", F.last("mark", ignorenulls=True).over(up_to(in_block, -1)))
+        .withColumns(
+            {f"open_{s}": (F.coalesce("marked", F.lit(s)) + F.col("turned")) % 2 for s in (0, 1)}
+        )
     )
-    # One row per block: is a quote open at its start, how many records start
-    # in it, and which is the last record of the blocks before.
+    # One row per block: how it ends, how many records start in it, the last record before it.
+    latest = lambda order, end: F.last(order, ignorenulls=True).over(up_to(in_file, end))
     blocks = (
-        counted.groupBy("file", "source_block")
+        stated.groupBy("file", "source_block")
         .agg(
-            F.sum("odd").alias("odd"),
-            F.count_if(F.col("before") == 0).alias("starts_if_closed"),
-            F.count_if(F.col("before") == 1).alias("starts_if_open"),
+            (F.sum("turns") % 2).alias("turns"),
+            F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("source_row"))).alias("own"),
+            F.count_if(F.col("open_0") == 0).alias("starts_0"),
+            F.count_if(F.col("open_1") == 0).alias("starts_1"),
         )
-        .withColumn("open", F.coalesce(F.sum("odd").over(up_to(in_file, -1)), F.lit(0)) % 2)
+        .withColumn("fixed", (F.col("own") + F.col("turns")) % 2)
+        .withColumn("turning", F.when(F.col("own").isNull(), F.col("turns")).otherwise(0))
+        .withColumn("turned", total("turning", in_file, -1))
+        .withColumn("mark", (F.col("fixed") + F.col("turned")) % 2)
+        .withColumn("open", (F.coalesce(latest("mark", -1), F.lit(0)) + F.col("turned")) % 2)
         .withColumn(
-            "starts",
-            F.when(F.col("open") == 0, F.col("starts_if_closed")).otherwise(
-                F.col("starts_if_open")
-            ),
+            "after",
+            F.when(F.col("own").isNotNull(), F.col("fixed")).otherwise((F.col("open") + F.col("turning")) % 2),
         )
+        .withColumn("starts", F.when(F.col("open") == 0, F.col("starts_0")).otherwise(F.col("starts_1")))
         .withColumn(
-            "carried",
-            F.last(
-                F.when(
-                    F.col("starts") > 0,
-                    F.struct(F.col("source_block").alias("block"), F.col("starts").alias("number")),
-                ),
-                ignorenulls=True,
-            ).over(up_to(in_file, -1)),
+            "latest",
+            F.when(F.col("starts") > 0, F.struct(F.col("source_block").alias("block"), F.col("starts").alias("number"))),
         )
-        .select("file", "source_block", "open", "carried")
+        .withColumn("carried", latest("latest", -1))
+    )
+    ends = blocks.groupBy("file").agg(
+        F.max_by("after", "source_block").alias("file_open"), F.max("latest").alias("last_record")
     )
     numbered = (
-        counted.join(blocks, ["file", "source_block"])
-        .withColumn("is_start", (F.col("before") + F.col("open")) % 2 == 0)
-        .withColumn(
-            "number",
-            F.sum(F.col("is_start").cast("long")).over(up_to(in_block, Window.currentRow)),
-        )
+        stated.join(blocks.select("file", "source_block", "open", "carried"), ["file", "source_block"])
+        .withColumn("is_start", F.when(F.col("open") == 0, F.col("open_0")).otherwise(F.col("open_1")) == 0)
+        .withColumn("number", total(F.col("is_start").cast("long"), in_block, Window.currentRow))
         .withColumn(
             "record",
-            F.when(
-                F.col("number") > 0,
-                F.struct(F.col("source_block").alias("block"), "number"),
-            ).otherwise(F.col("carried")),
+            F.when(F.col("number") > 0, F.struct(F.col("source_block").alias("block"), "number")).otherwise(
+                F.col("carried")
+            ),
         )
     )
     position = ("file", "source_block", "source_row")
-    complete = F.col("is_start") & (F.col("odd") == 0)
-    single = numbered.where(complete).select(*position, "value")
-    parts = numbered.where(~complete).select(*position, "value", "record")
-    sizes = parts.groupBy("file", "record").agg(F.sum(F.length("value") + 1).alias("size"))
-    sized = parts.join(sizes, ["file", "record"])
+    complete = F.col("is_start") & (F.col("opens") == 0)
+    single = numbered.where(complete).select(*position, "value", F.lit(False).alias("unclosed"))
+    parts = numbered.where(~complete).select(*position, "value", "record", "is_start").join(ends, "file")
+    lost = (F.col("file_open") == 1) & (F.col("record") == F.col("last_record"))
     joined = (
-        sized.where(F.col("size") <= max_record)
+        parts.where(~lost)
         .groupBy("file", "record")
         .agg(F.array_sort(F.collect_list(F.struct("source_block", "source_row", "value"))).alias("l"))
         .select(
@@ -91,7 +116,8 @@ def whole_records(lines: DataFrame, max_record: int = MAX_RECORD) -> DataFrame:
             F.get("l", F.lit(0))["source_block"].alias("source_block"),
             F.get("l", F.lit(0))["source_row"].alias("source_row"),
             F.array_join("l.value", "\n").alias("value"),
+            F.lit(False).alias("unclosed"),
         )
     )
-    loose = sized.where(F.col("size") > max_record).select(*position, "value")
+    loose = parts.where(lost).select(*position, "value", F.col("is_start").alias("unclosed"))
     return single.unionByName(joined).unionByName(loose)

@@ -7,7 +7,9 @@ Column expressions over that row.
 from __future__ import annotations
 
 import csv
+import re
 import sys
+import time
 from collections.abc import Iterator
 
 from pyspark import cloudpickle
@@ -19,10 +21,10 @@ from pricelake.schemas import JSON_HEADER, JSON_ITEMS_KEY
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 HEAD_BYTES = 64 * 1024
-# A first line longer than this is taken for a one-line document.
-LINE_BYTES = 4 * 1024 * 1024
-# A header may span many lines but not more than this.
+# A header that is longer is an error of its file; it comes from a quote that is never closed.
 HEADER_BYTES = 32 * 1024 * 1024
+# Heads go back to Spark in frames of about this size.
+FRAME_BYTES = 4 * 1024 * 1024
 HEADER_ROWS = 5
 
 # Words that mark a header cell.
@@ -53,9 +55,12 @@ _FILE_SCHEMA = (
     "file string, path string, size_bytes bigint, size_mb double, modified_at timestamp"
 )
 _HEAD_SCHEMA = (
-    "head string, line_1 string, line_2 string, rows array<array<string>>, row_texts array<string>"
+    "head string, tail string, line_1 string, line_2 string, rows array<array<string>>,"
+    " row_texts array<string>, error string, head_seconds double"
 )
-_HEAD_COLUMNS = ["head", "line_1", "line_2", "rows", "row_texts"]
+_HEAD_COLUMNS = ["head", "tail", "line_1", "line_2", "rows", "row_texts"]
+# Names that Hadoop has for file systems which the reader of heads knows by another.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 
 def manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -74,18 +79,24 @@ def file_info(found: DataFrame) -> DataFrame:
     )
 
 
+def arrow_uri(path: str) -> str:
+    """``path`` with the scheme under which the reader of heads knows its file system."""
+    scheme, _, rest = path.partition("://")
+    return f"{SCHEMES.get(scheme, scheme)}://{rest}" if rest else path
+
+
 def _open(path: str):
     from pyarrow import fs
 
     if "://" in path:
-        system, inner = fs.FileSystem.from_uri(path)
+        system, inner = fs.FileSystem.from_uri(arrow_uri(path))
     else:
         system, inner = fs.LocalFileSystem(), path
-    return system.open_input_stream(inner)
+    return system.open_input_file(inner)
 
 
 def _text(data: bytes) -> str:
-    return data.decode("utf-8-sig", errors="ignore").replace("\r\n", "\n")
+    return data.decode("utf-8-sig", errors="ignore").replace("\r\n", "\n").replace("\r", "\n")
 
 
 def _read_head(path: str) -> tuple:
@@ -93,31 +104,61 @@ def _read_head(path: str) -> tuple:
         data = stream.read(HEAD_BYTES)
         head = _text(data)
         if head.lstrip()[:1] in ("{", "[") and not path.lower().endswith(".csv"):
-            while data.count(b"\n") < 2 and len(data) < LINE_BYTES:
-                more = stream.read(HEAD_BYTES)
-                if not more:
-                    break
-                data += more
-            lines = _text(data).split("\n") + [""]
-            second = lines[1].strip()
-            first = lines[0].strip() if second else lines[0].strip()[:HEAD_BYTES]
-            return head, first, second, None, None
-        while len(data) < HEADER_BYTES:
+            stream.seek(0)
+            first = _json_line(stream)
+            second = _json_line(stream) if first else ""
+            size = stream.size()
+            stream.seek(max(0, size - HEAD_BYTES))
+            return head, _text(stream.read(HEAD_BYTES)), first, second, None, None
+        while True:
             # Enough once a row follows the ones looked at: quotes may hide line ends.
-            rows, _ = _first_rows(_text(data[: data.rfind(b"\n") + 1]))
+            rows, _ = _first_rows(_text(data[: max(data.rfind(b"\n"), data.rfind(b"\r")) + 1]))
             if len(rows) > HEADER_ROWS:
                 break
+            if len(data) > HEADER_BYTES:
+                raise ValueError(f"no end of the header in {HEADER_BYTES} bytes")
             more = stream.read(len(data) or HEAD_BYTES)
             if not more:
                 break
             data += more
         rows, texts = _first_rows(_text(data))
-        return head, None, None, rows[:HEADER_ROWS], texts[:HEADER_ROWS]
+        return head, None, None, None, rows[:HEADER_ROWS], texts[:HEADER_ROWS]
+
+
+def _json_line(stream) -> str:
+    """The next line; of one longer than a head only '{}' if it is a JSON text of its own, else '{'.
+
+    A long line is followed in pieces: whether it starts and ends on the
+    outermost level needs no memory of what is between.
+    """
+    kept, depth, inside, size = [], 0, False, 0
+    while True:
+        start = stream.tell()
+        data = stream.read(HEAD_BYTES)
+        cut = data.find(b"\n")
+        part = data if cut < 0 else data[:cut]
+        if size < HEAD_BYTES:
+            kept.append(part)
+        size += len(part)
+        for sign in re.findall(rb'\\.|["{}\[\]]', part, re.S):
+            if sign == b'"':
+                inside = not inside
+            elif not inside and sign in b"{[":
+                depth += 1
+            elif not inside and sign in b"}]":
+                depth -= 1
+        if cut >= 0:
+            stream.seek(start + cut + 1)
+        if cut >= 0 or not data:
+            break
+    if size <= HEAD_BYTES:
+        return _text(b"".join(kept)).strip()
+    return "{}" if depth == 0 and not inside else "{"
 
 
 def _first_rows(text: str) -> tuple[list[list[str]], list[str]]:
     """First rows as cells and as they are written."""
-    csv.field_size_limit(HEADER_BYTES)
+    csv.field_size_limit(HEADER_BYTES * 4)
     lines = text.split("\n")
     if lines[-1] == "":
         lines.pop()
@@ -132,12 +173,29 @@ def _first_rows(text: str) -> tuple[list[list[str]], list[str]]:
     return rows, texts
 
 
+def _described(path: str) -> tuple:
+    """Head of a file, or what went wrong, and the seconds that took."""
+    start = time.perf_counter()
+    try:
+        found, error = _read_head(path), None
+    except Exception as problem:  # one file must not end the run of all others
+        found, error = (None,) * len(_HEAD_COLUMNS), f"{type(problem).__name__}: {problem}"[:500]
+    return *found, error, time.perf_counter() - start
+
+
 def _read_heads(batches: Iterator) -> Iterator:
     import pandas as pd
 
+    columns = [*_HEAD_COLUMNS, "error", "head_seconds"]
     for batch in batches:
-        heads = [_read_head(p) for p in batch["path"]]
-        yield batch.join(pd.DataFrame(heads, columns=_HEAD_COLUMNS, index=batch.index))
+        heads, size, start = [], 0, 0
+        for i, path in enumerate(batch["path"]):
+            heads.append(_described(path))
+            size += sum(len(x) for x in heads[-1] if isinstance(x, str)) * 2
+            if size > FRAME_BYTES or i == len(batch) - 1:
+                part = batch.iloc[start : i + 1]
+                yield part.join(pd.DataFrame(heads, columns=columns, index=part.index))
+                heads, size, start = [], 0, i + 1
 
 
 def read_heads(files: DataFrame) -> DataFrame:
@@ -243,6 +301,7 @@ def json_facility(header: Column) -> Column:
     )
 
 
-def has_nested_items(head: Column) -> Column:
-    """True when the first item of the document is itself a list."""
-    return head.rlike(r"^\s*\[\s*\[") | head.rlike(f'"{JSON_ITEMS_KEY}"' + r"\s*:\s*\[\s*\[")
+def late_json_header(tail: Column) -> Column:
+    """Facility header of a wrapped document that tells it after its items: what follows the last object inside it."""
+    after = F.regexp_extract(tail, r"(?s)\}\s*\]\s*,([^{}]*)\}\s*$", 1)
+    return F.from_json(F.concat(F.lit("{"), after, F.lit("}")), JSON_HEADER)

@@ -1,20 +1,19 @@
 """Continuous ingestion: files that appear in a folder are merged into the tables.
 
 The stream carries file names only; what a file holds is read by the batch
-plan, which copes with a different layout per file.  Every micro-batch writes
-its own partial results under its batch number, so repeating a batch after a
-failure replaces them, and the tables are rebuilt for the facilities at hand
-from all partials, which makes the result independent of how files arrive.
+plan, which copes with a different layout per file.  Every micro-batch is
+stored as a batch run is: what a file gave before is replaced, and the tables
+are rebuilt for the facilities at hand.  So repeating a batch after a failure
+changes nothing, and the result does not depend on how files arrive.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from pricelake.operators import dedup as D, quality as Q
 from pricelake.plans import ingest as I
-from pricelake.runtime import written
+from pricelake.runtime import scratch, written
 from pricelake.sinks import tables as W
 from pricelake.sources import sniff as S
 
@@ -31,34 +30,18 @@ def new_files(spark: SparkSession, folder: str, pattern: str = "*", max_files: i
 
 def merge_batch(
     files: DataFrame,
-    batch_id: int,
     target: str,
     options: I.Options = I.Options(),
     metadata: DataFrame | None = None,
 ) -> None:
-    """Ingest ``files`` as batch ``batch_id`` and refresh the facilities they belong to."""
+    """Ingest ``files`` and refresh the facilities they belong to."""
     spark = files.sparkSession
-    result = I.ingest_files(written(files, "batch"), options, metadata)
-    accepted = result.lines.where(F.col("accepted")).drop("accepted", "reasons")
-    partial = D.best_records(accepted).withColumn("batch_id", F.lit(batch_id))
-    log = f"{target}/log"
-    (
-        W.hot_facilities_split(partial)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id", "facility_id")
-        .parquet(log)
-    )
-    touched = result.hospitals.select("facility_id")
-    if not W.table_exists(spark, log):
-        return
-    history = W.read_table(spark, log, partial.schema).join(touched, "facility_id", "left_semi")
-    operations = I.to_operations(D.best_records(history.drop("batch_id")), options.clock())
-    checked = Q.check_operations(operations)
-    W.write_operations(Q.passing(checked), f"{target}/medical_operations")
-    W.write_quarantine(checked, f"{target}/quarantine/medical_operations")
-    hospitals = Q.check_hospitals(result.hospitals)
-    W.write_hospitals(Q.passing(hospitals), f"{target}/hospitals", options.clock())
+    with scratch(spark):
+        stored = None
+        if W.table_exists(spark, f"{target}/hospitals"):
+            stored = W.read_hospitals(spark, target)
+        result = I.ingest_files(written(files, "batch"), options, metadata, stored)
+        W.store(result, target, options.clock())
 
 
 def watch(
@@ -75,7 +58,7 @@ def watch(
     """Start ingesting ``folder``; stops at the files present unless ``interval`` is given."""
     stream = new_files(spark, folder, pattern, max_files)
     writer = stream.writeStream.foreachBatch(
-        lambda files, batch_id: merge_batch(files, batch_id, target, options, metadata)
+        lambda files, batch_id: merge_batch(files, target, options, metadata)
     ).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return writer.trigger(**trigger).start()

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import fixtures as X
+import rough as U
 from pricelake.functions import codes as C, names as NM, prices as P
 from pricelake.operators import (
     dedup as D,
@@ -417,9 +418,13 @@ def file_headers(spark, sf):
 
 @query
 def file_manifest(spark, sf):
-    """Files of the test folder; there is no table to compare with."""
-    return S.manifest(spark, sf, "*.parquet").select(
-        NM.file_stem(F.col("path")).alias("name"), "size_bytes", "size_mb", "modified_at"
+    """Files of the derived price files: how many per nation, and that their sizes and times are known."""
+    found = S.manifest(spark, X.price_files(spark, sf, "csv"))
+    nation = F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("int")
+    return found.groupBy(nation.alias("nation")).agg(
+        F.bool_and((F.col("size_bytes") > 0) & (F.col("size_mb") > 0)).alias("sized"),
+        F.bool_and(F.col("modified_at").isNotNull()).alias("dated"),
+        F.bool_and(NM.file_extension(F.col("path")) == ".csv").alias("named"),
     )
 
 
@@ -467,13 +472,13 @@ def ingested_nested(spark, sf):
 
 @query
 def ingested_split_json(spark, sf):
-    """Every document is split, as large ones are."""
-    return op_rows(ingested(spark, sf, "json", document_bytes=0).operations)
+    """Documents are split whatever their size."""
+    return op_rows(ingested(spark, sf, "json").operations)
 
 
 @query
 def ingested_split_array(spark, sf):
-    return op_rows(ingested(spark, sf, "nested", document_bytes=0).operations)
+    return op_rows(ingested(spark, sf, "nested").operations)
 
 
 @query
@@ -614,3 +619,149 @@ def cache_append(spark, sf):
         "confidence_score",
         F.size("query_embedding").alias("dimension"),
     )
+
+
+# Files as they come
+
+
+def _rough(spark: SparkSession, sf: str, kind: str, metadata: bool = False, **options) -> I.Ingested:
+    files = S.manifest(spark, U.files(spark, sf, kind))
+    return I.ingest_files(files, I.Options(ingested_at=THEN, **options), U.given(files) if metadata else None)
+
+
+def _status(report: DataFrame, *columns: str) -> DataFrame:
+    r = F.regexp_extract("path", "r=([0-9]+)", 1).cast("int").alias("r")
+    return report.select(r, "status", *columns)
+
+
+@query
+def ingested_inch_marks(spark, sf):
+    """Unquoted inch marks, doubled quotes, line breaks in cells, and a quote that is never closed."""
+    return op_rows(_rough(spark, sf, "inch").operations)
+
+
+@query
+def ingest_report_inch_marks(spark, sf):
+    return _status(_rough(spark, sf, "inch").report, "read_records", "failed_records", "broken_records")
+
+
+@query
+def ingested_mixed_json(spark, sf):
+    return op_rows(_rough(spark, sf, "mixed").operations)
+
+
+@query
+def ingested_truncated_json(spark, sf):
+    return op_rows(_rough(spark, sf, "truncated").operations)
+
+
+@query
+def ingest_report_json(spark, sf):
+    return _status(_rough(spark, sf, "truncated").report, "read_records", "failed_records", "broken_records")
+
+
+@query
+def ingested_long_line_ndjson(spark, sf):
+    done = _rough(spark, sf, "long", metadata=True)
+    return op_rows(done.operations)
+
+
+@query
+def overridden_hospitals(spark, sf):
+    """Explicit facility fields over files that tell their own."""
+    return _hospital_rows(_rough(spark, sf, "plain", metadata=True).hospitals)
+
+
+@query
+def colliding_files(spark, sf):
+    """Files whose names share an id are named in the report and not loaded."""
+    done = _rough(spark, sf, "colliding")
+    loaded = done.operations.groupBy("facility_id").agg(F.count("*").alias("rows"))
+    return _status(done.report.join(loaded, "facility_id", "left"), F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
+@query
+def unreadable_files(spark, sf):
+    """A file that is gone when it is read does not end the run."""
+    found = S.manifest(spark, U.files(spark, sf, "plain"))
+    gone = F.when(F.col("path").contains("r=0"), F.concat("path", F.lit(".gone"))).otherwise(F.col("path"))
+    done = I.ingest_files(found.withColumn("path", gone), I.Options(ingested_at=THEN))
+    return _status(done.report, "read_records", F.col("error").isNotNull().alias("failed"))
+
+
+@query
+def ingested_file(spark, sf):
+    """One file alone, with the time of the run as text."""
+    path = U.files(spark, sf, "plain").replace("r=*", "r=1/prices.csv")
+    done = I.ingest_file(spark, path, I.Options(ingested_at=THEN))
+    at = F.date_format("ingested_at", "yyyy-MM-dd'T'HH:mm:ss").alias("ingested_at")
+    return done.operations.select("facility_id", "description", "hcpcs_code", at)
+
+
+@query
+def ingested_with_duplicates(spark, sf):
+    """Without de-duplication every accepted line counts."""
+    done = _rough(spark, sf, "plain", dedup=False)
+    return done.operations.groupBy("facility_id").agg(F.count("*").alias("rows"))
+
+
+def _delivered(spark, sf, target, inbox, kind, where="true"):
+    U.write(spark, sf, kind, inbox, where)
+    result = I.ingest_files(S.manifest(spark, inbox + "/r=*"), I.Options(ingested_at=THEN))
+    W.store(result, target, F.lit(THEN))
+
+
+@query
+def stored_two_files(spark, sf):
+    """A second file of a facility, in a later run, adds to the first."""
+    target = new_folder(spark, "tables")
+    _delivered(spark, sf, target, new_folder(spark, "in"), "plain", "p_partkey % 2 = 0")
+    _delivered(spark, sf, target, new_folder(spark, "in"), "plain", "p_partkey % 2 = 1")
+    return op_rows(W.read_operations(spark, target))
+
+
+@query
+def stored_correction(spark, sf):
+    """Rows set aside by their price come in by a corrected file, and leave the quarantine."""
+    target, inbox = new_folder(spark, "tables"), new_folder(spark, "in")
+    _delivered(spark, sf, target, inbox, "faulty")
+    aside = spark.read.parquet(f"{target}/quarantine/medical_operations").count()
+    _delivered(spark, sf, target, inbox, "plain")
+    left = len(list(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{target}/quarantine").select("path").toLocalIterator()))
+    rows = op_rows(W.read_operations(spark, target))
+    return rows.agg(F.count("*").alias("rows"), F.sum("cash_price").alias("cash")).withColumns(
+        {"were_aside": F.lit(aside), "still_aside": F.lit(left)}
+    )
+
+
+@query
+def stored_purge(spark, sf):
+    """A purged facility does not come back with the next file of another."""
+    target = new_folder(spark, "tables")
+    _delivered(spark, sf, target, new_folder(spark, "in"), "plain", "p_partkey % 2 = 0")
+    W.purge_tables(spark, target, ["roug-r0-hosp", "roug-r1-hosp"])
+    _delivered(spark, sf, target, new_folder(spark, "in"), "plain", "p_partkey % 2 = 1 and r > 0")
+    return op_rows(W.read_operations(spark, target))
+
+
+@query
+def streamed_hospitals(spark, sf):
+    """Newer files first, older ones later: the hospital rows are those of the newest."""
+    target, inbox = new_folder(spark, "stream"), new_folder(spark, "in")
+    for where in ("r >= 2", "r < 2"):
+        U.write(spark, sf, "plain", inbox, where)
+        L.watch(spark, inbox + "/r=*", target, target + "/checkpoint", options=I.Options(ingested_at=THEN)).awaitTermination()
+    return _hospital_rows(W.read_hospitals(spark, target)).drop("created_at", "updated_at")
+
+
+@query
+def exported_hospitals(spark, sf):
+    """Hospital rows as JSON and CSV, two exports into one folder side by side."""
+    hospitals = X.hospitals(spark, sf).drop("ingested_at")
+    found = []
+    for write, read in ((W.write_json, spark.read.json), (W.write_csv, spark.read.option("header", True).csv)):
+        path = new_folder(spark, "export")
+        for where in ("state = 'TX'", "state <> 'TX'"):
+            write(hospitals.where(where), path)
+        found.append(read(path).select(*[F.col(c).cast("string") for c in hospitals.columns]))
+    return found[0].withColumn("kind", F.lit("json")).unionByName(found[1].withColumn("kind", F.lit("csv")))

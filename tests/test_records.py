@@ -48,6 +48,31 @@ def test_records_cross_lines_and_blocks(spark, tmp_path, block):
 
 def test_a_quote_never_closed_does_not_swallow_the_file(spark, tmp_path):
     (tmp_path / "x.csv").write_text('a,1\nb,"2\n' + "c,3\n" * 50)
-    records = whole_records(read(spark, str(tmp_path)), max_record=60)
-    values = [r.value for r in records.orderBy("source_block", "source_row").collect()]
-    assert values == ["a,1", 'b,"2'] + ["c,3"] * 50
+    records = whole_records(read(spark, str(tmp_path))).orderBy("source_block", "source_row").collect()
+    assert [r.value for r in records] == ["a,1", 'b,"2'] + ["c,3"] * 50
+    assert [r.unclosed for r in records] == [False, True] + [False] * 50
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_stray_quotes_are_read_as_a_csv_reader_does(spark, tmp_path, seed):
+    """A quote opens a cell only at its start, and closes it only before a comma or line end."""
+    rng = random.Random(seed)
+    lines = []
+    for i in range(200):
+        cells = [
+            rng.choice(['CATH 5" LONG', '6"', 'a""b', '"q"', '"x, y"', '"two\nlines"', '"d""q"', 'plain', '', ' "s"', '"a"b'])
+            for _ in range(4)
+        ]
+        lines.append(",".join([f"r{i}", *cells]).replace("\\n", "\n"))
+    text = "\n".join(lines) + "\n"
+    (tmp_path / "x.csv").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100" if seed % 2 else "1000000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        records = whole_records(read(spark, str(tmp_path))).orderBy("source_block", "source_row").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = list(csv.reader(io.StringIO(text, newline="")))
+    assert [next(csv.reader(io.StringIO(r.value, newline=""))) for r in records] == want
+    assert not any(r.unclosed for r in records)
