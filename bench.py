@@ -15,7 +15,7 @@ import fixtures as X
 import registry as Q
 from pricelake.operators import dedup as D, normalize as N
 from pricelake.plans import ingest as I
-from pricelake.runtime import build_session, written
+from pricelake.runtime import build_session, new_folder, written
 from pricelake.sources import sniff as S
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -34,6 +34,17 @@ def ingest(kind):
     return run
 
 
+def stored(kind):
+    """Ingest as above, and both tables written."""
+
+    def run(spark):
+        files = S.manifest(spark, X.price_files(spark, SF_DIR, kind))
+        result = I.ingest_files(files, I.Options(ingested_at=Q.THEN))
+        Q.W.store(result, new_folder(spark, "bench-tables"))
+
+    return run
+
+
 def over_stored(query):
     """A serving query over stored tables, as users run it."""
     return lambda spark: consume(query(spark, _stored(spark), X.hospitals(spark, SF_DIR)))
@@ -67,6 +78,7 @@ def queries():
         "raw_to_top_operations": lambda s: consume(Q.top_operations(s, SF_DIR)),
         "ingest_csv": ingest("csv"),
         "ingest_json": ingest("json"),
+        "store_csv": stored("csv"),
     }
 
 

@@ -3,8 +3,41 @@
 from __future__ import annotations
 
 import fixtures as X
-from pricelake.functions.names import NAME_WORDS
-from pricelake.operators.match import FIELD_PATTERNS
+
+# Fixed values, on their own here so that an error in those of the package shows:
+# short forms of words in hospital names, and column name patterns by field in their order.
+NAME_WORDS = {'baylor': 'bsw',
+ 'scott': 'bsw',
+ 'white': 'bsw',
+ 'ascension': 'asc',
+ 'seton': 'asc',
+ 'cedar': 'cp',
+ 'park': 'cp',
+ 'regional': 'reg',
+ 'medical': 'med',
+ 'center': 'ctr',
+ 'hospital': 'hosp',
+ 'health': 'hlth',
+ 'system': 'sys',
+ 'emergency': 'er',
+ 'campus': 'campus',
+ 'georgetown': 'gtown'}
+FIELD_PATTERNS = {'description': ('description', 'service_description', 'procedure_description',
+                 'item_description', 'charge_description', 'cpt_description', 'service',
+                 'procedure'),
+ 'cash_price': ('standard_charge|discounted_cash', 'discounted_cash', 'cash_price', 'self_pay',
+                'selfpay', 'cash_discount', 'discounted_price',
+                'standard_charge_discounted_cash', 'cash', 'de_identified_minimum'),
+ 'gross_charge': ('standard_charge|gross', 'gross', 'gross_charge', 'standard_charge',
+                  'charge_amount', 'list_price', 'standard_charge_gross', 'gross_price'),
+ 'negotiated_min': ('standard_charge|min', 'min', 'minimum', 'negotiated_min', 'min_negotiated',
+                    'deidentified_min', 'de_identified_min', 'standard_charge_min',
+                    'min_price'),
+ 'negotiated_max': ('standard_charge|max', 'max', 'maximum', 'negotiated_max', 'max_negotiated',
+                    'deidentified_max', 'de_identified_max', 'standard_charge_max',
+                    'max_price'),
+ 'setting': ('setting', 'patient_setting', 'care_setting', 'service_setting', 'location',
+             'place_of_service')}
 
 FACILITY_OF_SUPPLIER = "concat('bsw-', substr(concat('s', cast(s_suppkey as varchar)), 1, 4), '-med-ctr')"
 
@@ -461,6 +494,7 @@ def sql() -> dict[str, str]:
     valid = """where gross_charge is not null and
       (negotiated_min is null or negotiated_max is null or negotiated_min <= negotiated_max)"""
     out["stored_operations"] = f"{file_ops} {valid}"
+    out["stored_code_lookup"] = f"""{file_ops} {valid} and contains(codes_key, '"0476"')"""
     out["streamed_operations"] = f"{file_ops} {valid}"
     out["quarantined_operations"] = f"""{FILE_BEST} select facility_id, description, codes_key,
         'negotiated_range' as broken_rules from best where negotiated_min > negotiated_max"""

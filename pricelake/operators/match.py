@@ -77,9 +77,10 @@ FIELD_PATTERNS = {
 FIELDS = tuple(FIELD_PATTERNS)
 FUZZY_THRESHOLD = 80
 
-# Code column names; the first group is the instance.
-NUMBERED_CODE = r"^code(?:\||_)(\d+)$"
-NUMBERED_TYPE = r"^code(?:\|(\d+)\||_(\d+)_)type$"
+# Code columns with a number, as in code|1 and code|1|type or code_1 and code_1_type.
+NUMBERED_CODE = r"^code[|_](\d+)$"
+NUMBERED_TYPE = r"^code([|_])(\d+)\1type$"
+# Other code column names; the last group is the instance.
 BILLING_CODE = r"^billing_code(_\d+)?$"
 BILLING_TYPE = r"^billing_code_type(_\d+)?$"
 TYPED_CODE = r"^(cpt|hcpcs|drg|icd10|rev|ndc)_code(_\d+)?$"
@@ -208,7 +209,7 @@ def code_role(column: Column) -> Column:
         F.when(name.rlike(NUMBERED_CODE), role(group(NUMBERED_CODE), no))
         .when(
             name.rlike(NUMBERED_TYPE),
-            role(F.concat(group(NUMBERED_TYPE, 1), group(NUMBERED_TYPE, 2)), yes),
+            role(group(NUMBERED_TYPE, 2), yes),
         )
         .when(name.rlike(BILLING_CODE), role(suffix_or_null(BILLING_CODE), no))
         .when(name.rlike(BILLING_TYPE), role(suffix_or_null(BILLING_TYPE), yes))

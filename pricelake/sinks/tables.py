@@ -42,6 +42,37 @@ def write_operations(operations: DataFrame, path: str) -> None:
     )
 
 
+def write_by_code(operations: DataFrame, path: str) -> None:
+    """A row for every code of every operation, sorted by code inside each facility.
+
+    A lookup of any code then skips row groups by their statistics and opens no
+    map.  ``is_first`` marks one row of an operation that lists a code under
+    several types.
+    """
+    listed = to_table_types(operations).select("*", F.explode("codes").alias("code_type", "listed"))
+    listed = listed.select("*", F.explode(F.array_distinct("listed")).alias("code")).drop("listed")
+    first = F.array_min(
+        F.filter(F.map_keys("codes"), lambda t: F.array_contains(F.element_at("codes", t), F.col("code")))
+    )
+    (
+        hot_facilities_split(listed.withColumn("is_first", F.col("code_type") == first))
+        .sortWithinPartitions("facility_id", "code", "code_type")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("facility_id")
+        .parquet(path)
+    )
+
+
+def read_by_code(spark: SparkSession, folder: str, code: str, code_type: str | None = None) -> DataFrame:
+    """Stored operations that list ``code``, under ``code_type`` if given; the filters reach the scan."""
+    extra = [T.StructField("code_type", T.StringType()), T.StructField("code", T.StringType()), T.StructField("is_first", T.BooleanType())]
+    rows = read_table(spark, f"{folder}/operations_by_code", T.StructType([*STORED_OPERATIONS.fields, *extra]))
+    rows = rows.where(F.col("code") == code)
+    rows = rows.where(F.col("is_first") if code_type is None else F.col("code_type") == code_type)
+    return rows.select(*STORED_OPERATIONS.names)
+
+
 def write_quarantine(failing: DataFrame, path: str) -> None:
     """Rows that break table rules, with the names of the rules."""
     failing.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
@@ -201,6 +232,8 @@ def _store(spark: SparkSession, result, folder: str, now: Column | None) -> None
     _drop_emptied(spark, state, touched, records)
     write_operations(passing, f"{folder}/medical_operations")
     _drop_emptied(spark, f"{folder}/medical_operations", touched, passing)
+    write_by_code(passing, f"{folder}/operations_by_code")
+    _drop_emptied(spark, f"{folder}/operations_by_code", touched, passing)
     write_quarantine(failing, f"{folder}/quarantine/medical_operations")
     _drop_emptied(spark, f"{folder}/quarantine/medical_operations", touched, failing)
     write_hospitals(sound, f"{folder}/hospitals", now, touched)
@@ -266,7 +299,7 @@ def purge_tables(spark: SparkSession, folder: str, facility_ids: list[str] | Non
             if facility_ids is not None:
                 rows = rows.where(F.col("facility_id").isin(*facility_ids))
             deleted[table] = rows.count()
-    by_facility = ("medical_operations", "state", "quarantine/medical_operations", "quarantine/hospitals")
+    by_facility = ("medical_operations", "operations_by_code", "state", "quarantine/medical_operations", "quarantine/hospitals")
     if facility_ids is None:
         for table in (*by_facility, "hospitals", "files"):
             delete_folder(spark, f"{folder}/{table}")

@@ -705,6 +705,14 @@ def ingested_with_duplicates(spark, sf):
     return done.operations.groupBy("facility_id").agg(F.count("*").alias("rows"))
 
 
+@query
+def stored_code_lookup(spark, sf):
+    """A code of any type, looked up in what is stored by code."""
+    target = new_folder(spark, "tables")
+    W.store(ingested(spark, sf, "csv"), target, F.lit(THEN))
+    return op_rows(W.read_by_code(spark, target, "0476"))
+
+
 def _delivered(spark, sf, target, inbox, kind, where="true"):
     U.write(spark, sf, kind, inbox, where)
     result = I.ingest_files(S.manifest(spark, inbox + "/r=*"), I.Options(ingested_at=THEN))

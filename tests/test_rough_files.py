@@ -212,6 +212,19 @@ def test_operations_of_a_quarantined_hospital_are_set_aside(spark, tmp_path):
     assert aside.description == "a" and W.ORPHANED in aside.broken_rules
 
 
+def test_codes_of_any_type_are_looked_up_in_the_scan(spark, tmp_path):
+    lake, inbox = str(tmp_path / "lake"), tmp_path / "in"
+    inbox.mkdir()
+    both = "description,code|1,code|1|type,code|2,code|2|type,setting,standard_charge|gross,standard_charge|discounted_cash\n"
+    (inbox / "a.csv").write_text(meta("Home Clinic") + both + "x,1,CPT,1,RC,,9,5\ny,2,CPT,3,RC,,9,5\nz,4,CPT,1,RC,,9,5\n")
+    W.store(ingest(spark, inbox), lake)
+    assert [r for r in W.read_by_code(spark, lake, "9").collect()] == []
+    names = lambda *a: sorted(r.description for r in W.read_by_code(spark, lake, *a).collect())
+    assert (names("1"), names("1", "HCPCS"), names("3")) == (["x", "z"], ["x"], ["y"])
+    plan = W.read_by_code(spark, lake, "1")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(code,1)" in plan
+
+
 def test_purged_rows_stay_away(spark, tmp_path):
     lake, inbox = str(tmp_path / "lake"), tmp_path / "in"
     inbox.mkdir()
