@@ -14,7 +14,8 @@ SAMPLE = 5_000
 BUCKETS, DIMENSION = 17, 8
 #: Bytes in character n-grams.
 GRAMS = (3, 4)
-EPOCHS, RATE = 6, 0.5
+#: Passes over the training rows: six, and more over few rows, so that there are as many steps.
+EPOCHS, STEPS, RATE = 6, 12_000, 0.5
 SEED = 7
 
 
@@ -58,8 +59,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, f
     vectors = draw.uniform(-1 / DIMENSION, 1 / DIMENSION, (1 << BUCKETS, DIMENSION)).astype(np.float32)
     outputs = np.zeros((2, DIMENSION), np.float32)
     bias = np.zeros(2, np.float32)
-    steps, step = EPOCHS * max(1, len(rows)), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, STEPS // max(1, len(rows)))
+    steps, step = epochs * max(1, len(rows)), 0
+    for _ in range(epochs if rows else 0):
         for i in draw.permutation(len(rows)).tolist():
             buckets, counts, label = rows[i]
             rate = RATE * (1 - step / steps)
