@@ -44,10 +44,12 @@ ENDS = {
 SCOPES = frozenset("ul ol dl table div article section body".split())
 DROPPED = frozenset("head nav footer aside form button dialog menu script style".split())
 MAIN = frozenset(["article", "main"])
+#: Around the main text when outside it; an article's own header holds its title.
+HEADERS = frozenset("header masthead".split())
 #: Words of class, id and role that mark parts around the main text.
 AROUND = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies "
-    "disqus footer form header masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup "
+    "disqus footer form menu modal nav navbar navigation newsletter notice notices pagination pager popup "
     "promo promotion related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 
@@ -192,9 +194,11 @@ def wrapper_of(page: Node) -> Node:
     return Node(page.label, folded([wrapper_of(c) for c in page.children]))
 
 
-def around(label: str) -> bool:
+def around(label: str, inside: bool = False) -> bool:
+    """Whether a part is not main text by its element or names; ``inside`` an article headers are."""
     name, *marks = label.split(" ")
-    return name in DROPPED or any(w in AROUND for m in marks for w in re.split(r"[-_]+", m))
+    dropped, words = (DROPPED, AROUND) if inside else (DROPPED | HEADERS, AROUND | HEADERS)
+    return name in dropped or any(w in words for m in marks for w in re.split(r"[-_]+", m))
 
 
 def main_slots(wrapper: Node) -> set[int]:
@@ -206,20 +210,19 @@ def main_slots(wrapper: Node) -> set[int]:
     innermost part with most of the free text is main.
     """
 
-    def slots(node: Node, inside=lambda node: True) -> list[Node]:
+    def slots(node: Node, inside: bool = False) -> list[Node]:
         if node.label == "#":
             return [node]
-        return [s for c in node.children if not around(c.label) for s in slots(c)]
+        return [s for c in node.children if not around(c.label, inside) for s in slots(c, inside)]
 
     def outermost(node: Node) -> list[Node]:
         if node.label.split(" ")[0] in MAIN:
             return [node]
-        # a page's own header, not one of an article
         return [m for c in node.children if not around(c.label) for m in outermost(c)]
 
     articles = outermost(wrapper)
     if articles:
-        return {id(s) for a in articles for s in slots(a)}
+        return {id(s) for a in articles for s in slots(a, True)}
     free = lambda node: [s for s in slots(node) if s.same is None or s.pages < CONSTANT_PAGES]
     node = wrapper
     while True:

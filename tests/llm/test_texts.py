@@ -293,7 +293,7 @@ def test_main_text_of_a_host(spark):
     def page(title, paragraphs, extra=""):
         return (
             f"<html><head><title>{title}</title><style>p{{}}</style></head><body><header>Site</header><nav><ul><li>Home<li>News</ul></nav>"
-            f"<div class='cookie-notice'>We use cookies</div><article class=post><h1>{title}</h1>"
+            f"<div class='cookie-notice'>We use cookies</div><article class=post><header><h1>{title}</h1></header>"
             + "".join(f"<p>{p}</p>" for p in paragraphs)
             + f"{extra}</article><aside>Side</aside><section id=comments><p>Nice!</p></section><form>Mail <input></form><footer>&copy; x</footer></body></html>"
         )
