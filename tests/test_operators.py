@@ -152,9 +152,19 @@ def test_store_is_idempotent_and_keeps_other_facilities(spark):
     rows = [("007", "x", 1.0, 2.0, None, None), ("b", "y", 1.0, 2.0, 5.0, 4.0), ("b", "z", 1.0, 3.0, 1.0, 4.0)]
 
     class Result:
+        """What a run read: one file per facility, and its accepted lines."""
+
+        options = I.Options(ingested_at=DAY_1)
+
         def __init__(self, rows, ids, version):
-            self.operations = operations(spark, rows)
-            self.hospitals = hospitals(spark, ids, version)
+            told = hospitals(spark, ids, version).drop("ingested_at", "source_url")
+            self.catalog = told.withColumns(
+                {"file": F.col("facility_id"), "path": F.col("facility_id"), "status": F.lit("ok")}
+            )
+            lines = [(r[0], r[0], 0, i, r[1], '{"RC":["1"]}', *r[2:]) for i, r in enumerate(rows)]
+            self.lines = spark.createDataFrame(lines, LINES).withColumns(
+                {"setting": F.lit(""), "accepted": F.lit(True), "reasons": F.array().cast("array<string>")}
+            )
 
     W.store(Result(rows, ["007", "b"], "1"), target, F.lit(DAY_1))
     W.store(Result(rows[1:], ["b"], "2"), target, F.lit(DAY_2))
@@ -214,6 +224,6 @@ def test_stream_equals_batch_and_survives_repeats(spark, tmp_path):
     assert rows == [("X", 7.0, 8.0, 1, 9), ("Y", 1.0, 9.0, None, None)]
     batch = I.ingest_directory(spark, str(source), options=options)
     assert stored.count() == batch.operations.count() == 2
-    L.merge_batch(S.manifest(spark, str(source)), 2, target, options)
+    L.merge_batch(S.manifest(spark, str(source)), target, options)
     again = W.read_operations(spark, target)
     assert sorted((r.description, float(r.cash_price)) for r in again.collect()) == [("X", 7.0), ("Y", 1.0)]
