@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer text is a chunk of its own.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

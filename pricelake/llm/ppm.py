@@ -19,9 +19,9 @@ SHARE = 2.0**-20
 #: (context, symbol) pairs of 16 bytes that are sent to all tasks at most; with more the share is doubled.
 MOST_PAIRS = 4_000_000
 #: Slots for scores of byte runs that a task remembers.
-SLOTS = 21
+SLOTS = 20
 #: Distinct keys a task gathers before it sends them on.
-GATHERED = 1_500_000
+GATHERED = 700_000
 
 END = np.uint64(0xE27B4C7F2D9A1351)
 
