@@ -375,7 +375,7 @@ def sql() -> dict[str, str]:
         accepted_records - coalesce(successful_records, 0) as duplicate_records,
         coalesce(successful_records, 0) + failed_records as total_records
         from counts c left join wins w using (source_file))"""
-    out["run_counts"] = f"{CHARGES_TO_BEST}, {report} select * from report"
+    out["run_counts"] = f"{CHARGES_TO_BEST}, {report} select *, 0 as broken_records from report"
     totals = """select count(*) as files, cast(sum(total_records) as bigint) as total_records,
       cast(sum(successful_records) as bigint) as successful_records,
       cast(sum(failed_records) as bigint) as failed_records"""
@@ -485,9 +485,9 @@ def sql() -> dict[str, str]:
     out["ingest_report"] = f"""{FILE_BEST}, {report}
       select concat('bsw-n', source_file, '-med-ctr') as facility_id, 'ok' as status,
         'csv' as format, read_records, accepted_records, failed_records, no_standard_code,
-        missing_cash_price, not_outpatient, successful_records, duplicate_records, total_records
-      from report"""
-    out["ingest_totals"] = f"{FILE_BEST}, {report} {totals} from report"
+        missing_cash_price, not_outpatient, 0 as broken_records, successful_records, duplicate_records,
+        total_records from report"""
+    out["ingest_totals"] = f"{FILE_BEST}, {report} {totals}, 0 as file_errors from report"
     out["files_without_metadata"] = """select concat('bsw-n', cast(s_nationkey as varchar)) as nation,
         'missing_metadata' as status, 'city,state,address' as missing, 0 as read_records
       from supplier group by s_nationkey"""
