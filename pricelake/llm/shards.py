@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from pricelake.llm import ranks
 from pricelake.runtime import written
 
-#: Rows that are numbered together, about.
-CELL = 20_000
+#: Rows that are numbered together, about; more where there are more than its square, so that cells stay few too.
+CELL = 1_000
 
 
 def stratified_shards(
@@ -32,19 +32,19 @@ def stratified_shards(
         F.col(source).cast("string").alias("source"),
         (F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.md5(F.concat_ws("/", F.lit(seed), F.col(id).cast("string")).cast("binary")).alias("draw"),
+        F.unhex(F.md5(F.concat_ws("/", F.lit(seed), F.col(id).cast("string")).cast("binary"))).alias("draw"),
     )
     rows = written(plain, "shard-rows")
-    total = rows.count()
-    cells = max(1, total // CELL)
+    sizes = rows.groupBy("source").agg(F.count("*").alias("rows")).withColumnRenamed("source", "of")
+    rows = rows.join(sizes, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     order = [F.col("draw"), F.col("id"), F.col("text_crc32"), F.col("size")]
-    drawn = F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") * cells / F.lit(1 << 32)
-    ranked = ranks.positions(rows, F.floor(drawn), order, "rank", ["source"])
-    per_source = rows.groupBy("source").agg(F.count("*").alias("rows")).withColumnRenamed("source", "of")
-    placed = ranked.join(per_source, F.col("source").eqNullSafe(F.col("of"))).withColumn(
-        "fraction", (F.col("rank") * 2 + 1) / (F.col("rows") * 2)
-    )
+    drawn = F.conv(F.substring(F.hex("draw"), 1, 8), 16, 10).cast("long") / F.lit(1 << 32)
+    cell = F.floor(drawn * F.ceil(F.col("rows") / F.greatest(F.lit(float(CELL)), F.sqrt("rows"))))
+    ranked = ranks.positions(rows, cell, order, "rank", ["source"])
+    placed = ranked.withColumn("fraction", (F.col("rank") * 2 + 1) / (F.col("rows") * 2))
     placed = written(placed.select("id", "size", "text_crc32", "draw", "fraction", "source"), "shard-ranks")
+    total = placed.count()
+    cells = max(1, int(total / max(CELL, total**0.5)))
     order = [F.col("fraction"), F.col("source"), *order]
     placed = ranks.positions(placed, F.floor(F.col("fraction") * cells), order, "position")
     n = F.lit(max(1, total))
