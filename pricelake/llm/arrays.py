@@ -12,15 +12,27 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text handled at once; a longer text is a chunk of its own.
 CHUNK = 1 << 19
 
+#: Rows in a batch that Spark hands to a task; texts are long, so fewer than its default.
+BATCH_ROWS = 500
+
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+def with_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session is told to hand rows to Python in small batches, unless it was told another number."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads every bit of 64-bit integers over all others."""
     x = x ^ (x >> U64(32))

@@ -215,7 +215,7 @@ def leaks(
     a chance of about one in a thousand at the limit of edits.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    plain = A.with_small_batches(docs).select(F.col(id).alias("id"), F.col(text).alias("text"))
     items = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("item_text")).where("item_text IS NOT NULL")
     kinds = plain.schema["id"].dataType.simpleString(), items.schema["item"].dataType.simpleString()
     schema = f"id {kinds[0]}, item {kinds[1]}, item_words int, distance int, first_word long"

@@ -216,7 +216,7 @@ def near_duplicates(
     (chance 1e-8 at the threshold) or its estimate is five standard errors off.
     """
     threshold = share / whole
-    plain = docs.select(
+    plain = A.with_small_batches(docs).select(
         F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(text).alias("text_key")
     )
     found = written(sketches(plain, "text", words, threshold), "sketches")

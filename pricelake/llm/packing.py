@@ -16,7 +16,7 @@ CAPACITY = 1024
 #: Pieces leave at most this share of their bin empty, or are cut to fit exactly.
 SLACK = 1 / 48
 #: Distinct words whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 #: Bytes after which a text may be cut before white space, because no token reaches over: ASCII signs, and the
 #: ends of two-byte letters.
@@ -152,7 +152,7 @@ def pack(
     length is cut; repeated rows and NULL ids are packed like all others; an
     empty table gives no rows; extra columns are ignored.
     """
-    plain = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    plain = A.with_small_batches(docs).select(F.col(id).alias("id"), F.col(text).alias("text"))
     cut = written(pieces(plain, ranks_path, pattern, end, capacity), "pieces")
     counts = cut.groupBy("class", "worker").agg(F.count("*").alias("n"))
     before = Window.partitionBy("class").orderBy("worker").rowsBetween(Window.unboundedPreceding, -1)

@@ -246,7 +246,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int =
     """
     spark = docs.sparkSession
     fold = F.crc32(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary")) % folds
-    plain = docs.select(F.col(id).alias("id"), (fold == held).alias("held_out"), F.col(text).alias("text"))
+    plain = A.with_small_batches(docs).select(F.col(id).alias("id"), (fold == held).alias("held_out"), F.col(text).alias("text"))
     counts = written(counted(plain.where("NOT held_out").select("text")), "counts", ("kind",))
     words = counts.where("kind = 1").select("key", "n")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pricelake.llm import arrays as A
 
 #: Labelled rows the classifier is trained on at most; the ones with the least hashes of their ids.
-SAMPLE = 5_000
+SAMPLE = 4_000
 #: Bits of a bucket of n-grams, numbers in its vector.
 BUCKETS, DIMENSION = 17, 8
 #: Bytes in character n-grams.
@@ -85,7 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, fold
     train_rows = labels.where(_fold(id, folds) != held).where(F.col(label).isin(0, 1))
     train_rows = train_rows.groupBy(F.col(id).alias("id")).agg(F.max(label).cast("int").alias("label"))
     chosen = train_rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    texts = A.with_small_batches(docs).select(F.col(id).alias("id"), F.col(text).alias("text"))
     sample = texts.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), F.crc32(F.col("text").cast("binary"))).limit(SAMPLE)
 
     def run(batches):
@@ -152,7 +152,7 @@ def classify(
                 names=["id", "held_out", "score"],
             )
 
-    plain = docs.select(F.col(id).alias("id"), (_fold(id, folds) == held).alias("held_out"), F.col(text).alias("text"))
+    plain = A.with_small_batches(docs).select(F.col(id).alias("id"), (_fold(id, folds) == held).alias("held_out"), F.col(text).alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
     scored = plain.mapInArrow(run, f"id {kind}, held_out boolean, score double")
     return scored.select(F.col("id").alias(id), "held_out", "score", (F.col("score") >= least).cast("int").alias("predicted"))

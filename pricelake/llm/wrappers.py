@@ -10,6 +10,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from pricelake.llm import arrays as A
 from pricelake.llm.url_filter import host_of
 from pricelake.runtime import written
 
@@ -309,7 +310,7 @@ def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", page: str
     page is read to its end, an open tag at the end dropped; repeated rows are
     extracted each; an empty table gives no rows; extra columns are ignored.
     """
-    plain = pages.select(
+    plain = A.with_small_batches(pages).select(
         F.col(id).alias("id"), F.col(url).alias("url"), F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"), F.col(page).alias("html")
     )
     wrappers = written(infer(plain), "wrappers")
