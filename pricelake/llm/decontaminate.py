@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -226,16 +227,23 @@ def leaks(
     for block in range(blocks):
         rows = dealt.where(F.col("block") == block).select("item", "item_text").toArrow()
         sent = spark.sparkContext.broadcast((rows.column("item").to_pylist(), rows.column("item_text").to_pylist()))
-        found = plain.mapInArrow(_searching(sent, share, rows.schema.field("item").type), schema)
+        found = plain.mapInArrow(_searching(sent, uuid.uuid4().hex, share, rows.schema.field("item").type), schema)
         out = found if out is None else out.union(found)
     return out.select(
         F.col("id").alias(id), F.col("item").alias(item), "item_words", "distance", "first_word"
     )
 
 
-def _searching(sent, share, kind):
+#: The items a worker process prepared last, by the search they belong to.
+_prepared: dict = {}
+
+
+def _searching(sent, name: str, share: float, kind):
     def run(batches):
-        items = Items(*sent.value, share)
+        if name not in _prepared:
+            _prepared.clear()
+            _prepared[name] = Items(*sent.value, share)
+        items = _prepared[name]
         for part in A.chunks(batches, "text"):
             lowered = pa.array([t.lower() if t else "" for t in part.column("text").to_pylist()], pa.large_string())
             found = A.words(*A.text_bytes(lowered), A.LETTERS)
