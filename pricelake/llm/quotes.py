@@ -8,7 +8,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pricelake.llm import graph, ranks
+from pricelake.llm import ranks
 from pricelake.runtime import written
 
 MARK = re.compile(r"^(?:\s{0,3}>)+")
@@ -118,10 +118,7 @@ def reply_order(
     parent = F.when(F.col("quotes") > 0, F.col("linked")).otherwise(F.col("before"))
     tied = parsed.drop("said", "quoted").join(parents, ["conv", "turn"], "left").join(before, ["conv", "turn"], "left")
     tied = written(tied.withColumn("parent_turn", parent).drop("linked", "before"), "replies")
-    edges = tied.where("parent_turn IS NOT NULL").select(
-        F.struct("conv", "turn").alias("a"), F.struct("conv", F.col("parent_turn").alias("turn")).alias("b")
-    )
-    roots = graph.components(edges).select("node.conv", "node.turn", F.col("root.turn").alias("root"))
+    roots = roots_of(tied.where("parent_turn IS NOT NULL").select("conv", "turn", F.col("parent_turn").alias("up")))
     threads = tied.join(roots, ["conv", "turn"], "left").withColumn("root_turn", F.coalesce("root", "turn")).drop("root")
     return _in_order(written(threads, "threads")).select(
         F.col("conv").alias(conversation),
@@ -135,6 +132,28 @@ def reply_order(
     )
 
 
+def roots_of(ups: DataFrame) -> DataFrame:
+    """(conv, turn, root) for messages with a turn ``up`` that they reply to.
+
+    Every round a message that is on its way takes over the ``up`` of its own
+    ``up``, so the way left is halved, and one that arrives is set aside: rows
+    never multiply, few threads need more than a few rounds, and the rounds
+    follow the logarithm of the longest thread.
+    """
+    moving, done = written(ups.select("conv", "turn", "up"), "ups"), None
+    while True:
+        known = moving.withColumn("arrived", F.lit(False))
+        if done is not None:
+            known = known.unionByName(done.select("conv", "turn", F.col("root").alias("up"), F.lit(True).alias("arrived")))
+        further = known.select("conv", F.col("turn").alias("up"), F.col("up").alias("next"), "arrived")
+        moved = written(moving.join(further, ["conv", "up"], "left"), "ups")
+        there = moved.where("next IS NULL OR arrived").select("conv", "turn", F.coalesce("next", "up").alias("root"))
+        done = there if done is None else done.unionByName(there)
+        moving = moved.where("next IS NOT NULL AND NOT arrived").select("conv", "turn", F.col("next").alias("up"))
+        if moving.isEmpty():
+            return done
+
+
 def latest_before(asking: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``asking`` that have an earlier turn of ``sources`` with the same keys, with the latest such turn as ``source``.
 
