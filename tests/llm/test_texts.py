@@ -190,6 +190,27 @@ def test_base_scores(spark):
     assert sum(s for s, _ in better) > sum(b for _, b in better)
 
 
+@pytest.mark.parametrize("hot", [None, 50])
+def test_scores_use_every_context(spark, monkeypatch, hot):
+    """Contexts seen once count in a corpus of any size, and it makes no difference which scores are sent to all tasks."""
+    if hot:
+        monkeypatch.setattr(ppm, "HOT", hot, raising=False)
+    rows = [(3, "the cat sat " * 200_000)] + [(i, f"zebra{i} quiz {i * i} jolly vixen été") for i in range(4, 80)]
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    read = lambda texts: ppm.runs(*ppm._read(pa.array(texts))[1])
+    run, pairs = read([t for d, t in rows if not held(d)]), []
+    assert len(run) * ppm.SHARE > 1.5
+    for k in range(ppm.ORDER + 1):
+        keys, n = np.unique(run & np.uint64((1 << 8 * (k + 1)) - 1), return_counts=True)
+        pairs.append((np.full(len(keys), k), keys, n))
+    model = ppm.Model(*map(np.concatenate, zip(*pairs)))
+    found = ppm.score(frame(spark, rows)).collect()
+    texts = dict(rows)
+    assert len(found) == len(rows) and any(r.held_out for r in found)
+    for r in found:
+        assert r.score == pytest.approx(model.log_probability(read([texts[r.doc_id]])).sum() / math.log(10), rel=1e-7)
+
+
 def test_scores_without_training_or_rows(spark):
     assert ppm.score(frame(spark, [])).count() == 0
     lone = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
