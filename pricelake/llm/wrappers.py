@@ -20,6 +20,8 @@ BROADCAST_BYTES = 32 << 20
 CONSTANT_PAGES = 5
 #: Share of the free text of a host that the main part of a page without article element holds.
 MAIN_SHARE = 0.7
+#: Share of a page's free text from which on its articles are the main text; with less they are cards beside it.
+ARTICLE_SHARE = 0.25
 
 # Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -202,29 +204,37 @@ def around(label: str, inside: bool = False) -> bool:
     return name in dropped or any(w in words for m in marks for w in re.split(r"[-_]+", m))
 
 
-def main_slots(wrapper: Node) -> set[int]:
-    """Ids (in Python) of the slots of a wrapper that hold main text.
+def slots_of(node: Node, inside: bool = False) -> list[Node]:
+    """The texts of a part, without those around the main text."""
+    if node.label == "#":
+        return [node]
+    return [s for c in node.children if not around(c.label, inside) for s in slots_of(c, inside)]
 
-    Parts that are around it by element or name are left out.  If an article
-    or main element is left, what is in it is main.  Otherwise slots whose
-    text never changes over several pages belong to the template, and the
-    innermost part with most of the free text is main.
-    """
 
-    def slots(node: Node, inside: bool = False) -> list[Node]:
-        if node.label == "#":
-            return [node]
-        return [s for c in node.children if not around(c.label, inside) for s in slots(c, inside)]
+def articles(node: Node) -> list[Node]:
+    """The outermost article and main elements that are not around the main text."""
+    if node.label.split(" ")[0] in MAIN:
+        return [node]
+    return [m for c in node.children if not around(c.label) for m in articles(c)]
+
 
-    def outermost(node: Node) -> list[Node]:
-        if node.label.split(" ")[0] in MAIN:
-            return [node]
-        return [m for c in node.children if not around(c.label) for m in outermost(c)]
+def kind_of(page: Node) -> str:
+    """Which alternative of its host's wrapper a page belongs to: ``article``, or ``free`` without one that holds its text."""
+    inside = sum(s.chars for a in articles(page) for s in slots_of(a, True))
+    return "article" if inside and inside >= ARTICLE_SHARE * sum(s.chars for s in slots_of(page)) else "free"
+
+
+def main_slots(wrapper: Node, kind: str) -> set[int]:
+    """Ids (in Python) of the slots of a wrapper that hold main text.
 
-    articles = outermost(wrapper)
-    if articles:
-        return {id(s) for a in articles for s in slots(a, True)}
-    free = lambda node: [s for s in slots(node) if s.same is None or s.pages < CONSTANT_PAGES]
+    Parts that are around it by element or name are left out.  In the wrapper
+    of pages with an article or main element what is in it is main.  Otherwise
+    slots whose text never changes over several pages belong to the template,
+    and the innermost part with most of the free text is main.
+    """
+    if kind == "article":
+        return {id(s) for a in articles(wrapper) for s in slots_of(a, True)}
+    free = lambda node: [s for s in slots_of(node) if s.same is None or s.pages < CONSTANT_PAGES]
     node = wrapper
     while True:
         mass = sum(s.chars for s in free(node))
@@ -253,35 +263,37 @@ def extract(page: Node, wrapper: Node, slots: set[int]) -> list[str]:
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """(host, wrapper): one wrapper per host, from all its pages.
+    """(host, wrapper): the wrappers of a host, one for each kind of page, from all its pages.
 
-    Each task merges the pages it reads into one wrapper per host and sends
+    Each task merges the pages it reads into one row per host and sends
     those on, so a host with a third of all pages sends one row per task.
     """
 
+    def add(found: dict[str, Node], kind: str, own: Node):
+        found[kind] = merged(found[kind], own) if kind in found else own
+
     def in_task(batches):
-        found: dict[str, Node] = {}
+        found: dict[str, dict[str, Node]] = {}
         for batch in batches:
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                own = wrapper_of(parse(page))
-                found[host] = merged(found[host], own) if host in found else own
+                tree = parse(page)
+                add(found.setdefault(host, {}), kind_of(tree), wrapper_of(tree))
             if len(found) > 20_000:
                 yield _rows(found)
                 found = {}
         yield _rows(found)
 
     def over_tasks(batches):
-        host, own = None, None
+        host, own = None, {}
         for batch in batches:
             for name, packed in zip(batch.column("host").to_pylist(), batch.column("wrapper").to_pylist()):
-                node = Node.unpacked(json.loads(packed))
                 if name != host:
-                    if own is not None:
+                    if own:
                         yield _rows({host: own})
-                    host, own = name, node
-                else:
-                    own = merged(own, node)
-        if own is not None:
+                    host, own = name, {}
+                for kind, node in _unpacked(packed).items():
+                    add(own, kind, node)
+        if own:
             yield _rows({host: own})
 
     schema = "host string, wrapper string"
@@ -289,17 +301,20 @@ def infer(pages: DataFrame) -> DataFrame:
     return parts.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(over_tasks, schema)
 
 
-def _rows(found: dict[str, Node]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(found), pa.string()), pa.array([json.dumps(n.packed(), separators=(",", ":")) for n in found.values()], pa.string())],
-        names=["host", "wrapper"],
-    )
+def _unpacked(found: str) -> dict[str, Node]:
+    return {kind: Node.unpacked(node) for kind, node in json.loads(found).items()}
+
+
+def _rows(found: dict[str, dict[str, Node]]) -> pa.RecordBatch:
+    packed = [json.dumps({k: n.packed() for k, n in sorted(kinds.items())}, separators=(",", ":")) for kinds in found.values()]
+    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(packed, pa.string())], names=["host", "wrapper"])
 
 
 def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """A row per page: id, url, text (blocks joined by empty lines), n_chars.
 
-    Pages become trees of blocks.  The trees of a host are aligned one by one:
+    Pages become trees of blocks.  The trees of a host, those with and those
+    without an article by themselves, are aligned one by one:
     texts that differ become slots, parts that only some have optional groups,
     neighbours of one kind repeated groups.  The wrapper, a union-free regular
     expression over all pages of the host, tells which slots hold main text,
@@ -318,16 +333,16 @@ def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", page: str
     wrapped = plain.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host")
 
     def run(batches):
-        known: dict[str, tuple[Node, set[int]]] = {}
+        known: dict[str, dict[str, tuple[Node, set[int]]]] = {}
         for batch in batches:
             texts = []
             for host, packed, own in zip(*(batch.column(k).to_pylist() for k in ("host", "wrapper", "html"))):
                 if host not in known:
                     if len(known) > 1000:
                         known.clear()
-                    node = Node.unpacked(json.loads(packed))
-                    known[host] = node, main_slots(node)
-                texts.append("\n\n".join(extract(parse(own), *known[host])))
+                    known[host] = {kind: (node, main_slots(node, kind)) for kind, node in _unpacked(packed).items()}
+                tree = parse(own)
+                texts.append("\n\n".join(extract(tree, *known[host][kind_of(tree)])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"]
             )

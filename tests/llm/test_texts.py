@@ -345,6 +345,21 @@ def test_template_without_article(spark):
         assert found[i].startswith(f"Story {i} word") and "Welcome" not in found[i] and ("more" in found[i]) == bool(i % 2)
 
 
+def main_texts(spark, pages):
+    rows = [(i, "http://m.example/", p) for i, p in enumerate(pages)]
+    found = wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(found, key=lambda r: r.page_id)]
+
+
+def test_host_of_mixed_templates(spark):
+    """A page without an article keeps its text where others of its host have one, and a card beside the text is not all of it."""
+    card = "<div class=content><p>" + "long text " * 30 + "</p></div><article><p>Read on</p></article>"
+    found = main_texts(spark, [
+        "<body><article><p>first</p></article><div>beside</div></body>", "<body><div class=content><p>second</p></div></body>",
+        "<body><main><p>third</p></main></body>", card])
+    assert found[:3] == ["first", "second", "third"] and found[3].startswith("long text long")
+
+
 def test_wrappers_are_aligned():
     label = lambda node: (node.label, node.many, node.maybe, [label(c) for c in node.children])
     one = wrappers.wrapper_of(wrappers.parse("<ul><li>a<li>b</ul><p>x</p>"))
