@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -16,10 +17,8 @@ from pricelake.runtime import written
 
 #: Bytes of all wrappers that may be sent to every task; with more, pages are joined with the wrapper of their host.
 BROADCAST_BYTES = 32 << 20
-#: Pages from which on a text that never changes is taken for a part of the template.
+#: Pages of different texts from which on a text that never changes is taken for a part of the template.
 CONSTANT_PAGES = 5
-#: Share of the free text of a host that the main part of a page without article element holds.
-MAIN_SHARE = 0.7
 #: Share of a page's free text from which on its articles are the main text; with less they are cards beside it.
 ARTICLE_SHARE = 0.25
 
@@ -66,18 +65,18 @@ class Node:
     """A part of a page or of a wrapper.
 
     In a wrapper ``many`` says that it may be repeated, ``maybe`` that it may
-    be missing, and a text slot sums up the texts it stood for: characters,
-    pages, and the checksum of the text where it is always the same.
+    be missing, and a text slot has the checksum of its text where that is
+    always the same, with those of up to ``CONSTANT_PAGES`` different pages.
     """
 
-    __slots__ = ("label", "children", "many", "maybe", "chars", "pages", "same", "text")
+    __slots__ = ("label", "children", "many", "maybe", "pages", "same", "text")
 
-    def __init__(self, label, children=(), many=False, maybe=False, chars=0, pages=0, same=None, text=None):
+    def __init__(self, label, children=(), many=False, maybe=False, same=None, pages=(), text=None):
         self.label, self.children, self.many, self.maybe = label, list(children), many, maybe
-        self.chars, self.pages, self.same, self.text = chars, pages, same, text
+        self.same, self.pages, self.text = same, pages, text
 
     def packed(self) -> list:
-        rest = [self.chars, self.pages, self.same] if self.label == "#" else [c.packed() for c in self.children]
+        rest = [self.same, self.pages] if self.label == "#" else [c.packed() for c in self.children]
         return [self.label, int(self.many), int(self.maybe), rest]
 
     @classmethod
@@ -98,7 +97,7 @@ def parse(page: str | None) -> Node:
         joined = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if joined:
-            stack[-1].children.append(Node("#", chars=len(joined), pages=1, same=zlib.crc32(joined.encode("utf-8", "replace")), text=joined))
+            stack[-1].children.append(Node("#", same=zlib.crc32(joined.encode("utf-8", "replace")), text=joined))
 
     at = 0
     while True:
@@ -146,7 +145,8 @@ def merged(a: Node, b: Node) -> Node:
     """The least wrapper of both: texts become slots, parts that only one has become optional, neighbours of one label are repeated."""
     if a.label == "#":
         same = a.same if a.same == b.same else None
-        return Node("#", (), a.many or b.many, a.maybe or b.maybe, a.chars + b.chars, a.pages + b.pages, same)
+        pages = () if same is None else sorted({*a.pages, *b.pages})[:CONSTANT_PAGES]
+        return Node("#", (), a.many or b.many, a.maybe or b.maybe, same, pages)
     children, i, j = [], 0, 0
     for x, y in [*_common([c.label for c in a.children], [c.label for c in b.children]), (len(a.children), len(b.children))]:
         for rest in (a.children[i:x], b.children[j:y]):
@@ -190,11 +190,18 @@ def folded(children: list[Node]) -> list[Node]:
     return out
 
 
-def wrapper_of(page: Node) -> Node:
-    """The wrapper of a single page: repeated neighbours folded from the leaves up."""
+def texts_of(node: Node) -> list[str]:
+    return [node.text] if node.label == "#" else [t for c in node.children for t in texts_of(c)]
+
+
+def wrapper_of(page: Node, of: int | None = None) -> Node:
+    """The wrapper of a single page: repeated neighbours folded from the leaves up; copies of a page have one checksum ``of``."""
+    if of is None:
+        whole = "\n".join(texts_of(page)).encode("utf-8", "replace")
+        of = int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "big")
     if page.label == "#":
-        return Node("#", chars=page.chars, pages=page.pages, same=page.same)
-    return Node(page.label, folded([wrapper_of(c) for c in page.children]))
+        return Node("#", same=page.same, pages=(of,))
+    return Node(page.label, folded([wrapper_of(c, of) for c in page.children]))
 
 
 def around(label: str, inside: bool = False) -> bool:
@@ -220,8 +227,8 @@ def articles(node: Node) -> list[Node]:
 
 def kind_of(page: Node) -> str:
     """Which alternative of its host's wrapper a page belongs to: ``article``, or ``free`` without one that holds its text."""
-    inside = sum(s.chars for a in articles(page) for s in slots_of(a, True))
-    return "article" if inside and inside >= ARTICLE_SHARE * sum(s.chars for s in slots_of(page)) else "free"
+    inside = sum(len(s.text) for a in articles(page) for s in slots_of(a, True))
+    return "article" if inside and inside >= ARTICLE_SHARE * sum(len(s.text) for s in slots_of(page)) else "free"
 
 
 def main_slots(wrapper: Node, kind: str) -> set[int]:
@@ -229,20 +236,12 @@ def main_slots(wrapper: Node, kind: str) -> set[int]:
 
     Parts that are around it by element or name are left out.  In the wrapper
     of pages with an article or main element what is in it is main.  Otherwise
-    slots whose text never changes over several pages belong to the template,
-    and the innermost part with most of the free text is main.
+    it is all the rest but slots whose text never changes over pages of
+    different texts, which belong to the template.
     """
     if kind == "article":
         return {id(s) for a in articles(wrapper) for s in slots_of(a, True)}
-    free = lambda node: [s for s in slots_of(node) if s.same is None or s.pages < CONSTANT_PAGES]
-    node = wrapper
-    while True:
-        mass = sum(s.chars for s in free(node))
-        inner = [c for c in node.children if c.label != "#" and not around(c.label)]
-        best = max(inner, key=lambda c: sum(s.chars for s in free(c)), default=None)
-        if best is None or sum(s.chars for s in free(best)) < MAIN_SHARE * mass:
-            return {id(s) for s in free(node)}
-        node = best
+    return {id(s) for s in slots_of(wrapper) if s.same is None or len(s.pages) < CONSTANT_PAGES}
 
 
 def extract(page: Node, wrapper: Node, slots: set[int]) -> list[str]:

@@ -360,6 +360,13 @@ def test_host_of_mixed_templates(spark):
     assert found[:3] == ["first", "second", "third"] and found[3].startswith("long text long")
 
 
+def test_copies_of_a_page_and_texts_beside_the_body(spark):
+    """Copies of a page and equal neighbours in it make no template, and a title beside the body stays."""
+    page = "<body><h1>Title</h1><div>" + "<p>again</p>" * 6 + "<p>" + "body " * 40 + "</p></div></body>"
+    found = main_texts(spark, [page] * 7)
+    assert found == ["Title\n\n" + "again\n\n" * 6 + ("body " * 40).strip()] * 7
+
+
 def test_wrappers_are_aligned():
     label = lambda node: (node.label, node.many, node.maybe, [label(c) for c in node.children])
     one = wrappers.wrapper_of(wrappers.parse("<ul><li>a<li>b</ul><p>x</p>"))
