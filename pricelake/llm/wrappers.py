@@ -46,6 +46,8 @@ ENDS = {
 SCOPES = frozenset("ul ol dl table div article section body".split())
 DROPPED = frozenset("head nav footer aside form button dialog menu script style".split())
 MAIN = frozenset(["article", "main"])
+#: Elements whose names tell of the page.
+WHOLE = frozenset(["html", "body"])
 #: Around the main text when outside it; an article's own header holds its title.
 HEADERS = frozenset("header masthead".split())
 #: Words of class, id and role that mark parts around the main text.
@@ -54,6 +56,9 @@ AROUND = frozenset(
     "disqus footer form menu modal nav navbar navigation newsletter notice notices pagination pager popup "
     "promo promotion related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: First words of marks that tell of a page or what it is about, and last words of those that name a layout or a state.
+ABOUT = frozenset("has no not with without is category tag type format status".split())
+STATES = frozenset("page open closed on off enabled disabled layout template content".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S
@@ -133,7 +138,7 @@ def parse(page: str | None) -> Node:
             at = end.end() if end else len(page)
             continue
         marks = sorted({w for m in MARKS.finditer(found.group(3)) for w in next(filter(None, m.groups()), "").lower().split()})
-        node = Node(" ".join([name, *(m for m in marks if not any(c.isdigit() for c in m))]))
+        node = Node(" ".join([name, *sorted({m for m in map(without_digits, marks) if m})]))
         stack[-1].children.append(node)
         if name not in VOID and not found.group(3).endswith("/"):
             stack.append(node)
@@ -204,11 +209,28 @@ def wrapper_of(page: Node, of: int | None = None) -> Node:
     return Node(page.label, folded([wrapper_of(c, of) for c in page.children]))
 
 
+def named(mark: str, names: frozenset) -> str:
+    """The first or last word of a mark where it is one of ``names`` and the mark names the part by it, otherwise nothing."""
+    first, *rest = [w for w in re.split(r"[-_]+", mark) if w] or [""]
+    last = rest[-1] if rest else first
+    if first in ABOUT or rest and last in STATES:
+        return ""
+    return next((w for w in (first, last) if w in names), "")
+
+
 def around(label: str, inside: bool = False) -> bool:
     """Whether a part is not main text by its element or names; ``inside`` an article headers are."""
     name, *marks = label.split(" ")
     dropped, words = (DROPPED, AROUND) if inside else (DROPPED | HEADERS, AROUND | HEADERS)
-    return name in dropped or any(w in words for m in marks for w in re.split(r"[-_]+", m))
+    return name in dropped or name not in WHOLE and any(named(m, words) for m in marks)
+
+
+def without_digits(mark: str) -> str:
+    """A mark with digits as the name of a part around the main text that it holds; others number parts and are left out."""
+    if not any(c.isdigit() for c in mark):
+        return mark
+    words = [w.strip("0123456789") for w in re.split(r"[-_]+", mark)]
+    return named("-".join(w for w in words if w and not any(c.isdigit() for c in w)), AROUND | HEADERS)
 
 
 def slots_of(node: Node, inside: bool = False) -> list[Node]:
@@ -218,17 +240,31 @@ def slots_of(node: Node, inside: bool = False) -> list[Node]:
     return [s for c in node.children if not around(c.label, inside) for s in slots_of(c, inside)]
 
 
-def articles(node: Node) -> list[Node]:
-    """The outermost article and main elements that are not around the main text."""
+def articles(node: Node, through: bool = False) -> list[Node]:
+    """The outermost article and main elements that are not around the main text.
+
+    ``through`` passes parts that are around it by their names alone, not by
+    their element, so that a layout container hides no article.
+    """
     if node.label.split(" ")[0] in MAIN:
         return [node]
-    return [m for c in node.children if not around(c.label) for m in articles(c)]
+    shut = lambda c: around(c.label) and (not through or c.label.split(" ")[0] in DROPPED | HEADERS | MAIN)
+    return [m for c in node.children if not shut(c) for m in articles(c, through)]
 
 
 def kind_of(page: Node) -> str:
-    """Which alternative of its host's wrapper a page belongs to: ``article``, or ``free`` without one that holds its text."""
-    inside = sum(len(s.text) for a in articles(page) for s in slots_of(a, True))
-    return "article" if inside and inside >= ARTICLE_SHARE * sum(len(s.text) for s in slots_of(page)) else "free"
+    """Which alternative of its host's wrapper a page belongs to.
+
+    ``article`` if one holds its text, ``through`` if one in a part named like
+    those around the main text does and holds more than is left without such
+    parts, otherwise ``free``.
+    """
+    free = sum(len(s.text) for s in slots_of(page))
+    size = lambda through: sum(len(s.text) for a in articles(page, through) for s in slots_of(a, True))
+    inside = size(False)
+    if inside and inside >= ARTICLE_SHARE * free:
+        return "article"
+    return "through" if size(True) > free else "free"
 
 
 def main_slots(wrapper: Node, kind: str) -> set[int]:
@@ -239,8 +275,8 @@ def main_slots(wrapper: Node, kind: str) -> set[int]:
     it is all the rest but slots whose text never changes over pages of
     different texts, which belong to the template.
     """
-    if kind == "article":
-        return {id(s) for a in articles(wrapper) for s in slots_of(a, True)}
+    if kind != "free":
+        return {id(s) for a in articles(wrapper, kind == "through") for s in slots_of(a, True)}
     return {id(s) for s in slots_of(wrapper) if s.same is None or len(s.pages) < CONSTANT_PAGES}
 
 

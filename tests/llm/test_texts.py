@@ -367,6 +367,20 @@ def test_copies_of_a_page_and_texts_beside_the_body(spark):
     assert found == ["Title\n\n" + "again\n\n" * 6 + ("body " * 40).strip()] * 7
 
 
+def test_names_of_layouts_hide_nothing(spark):
+    """Names of the page, of layouts and of containers of an article hide no text; numbered names of parts around it do."""
+    text, rest = "<p>main text of the page</p>", "<div class='sidebar-1'>side</div><div id=ad-300>buy</div><div class=related-posts>more</div>"
+    found = main_texts(spark, [
+        f"<body class='single has-sidebar comments-open no-sidebar'><article>{text}</article>{rest}</body>",
+        f"<body class='form-page sidebar'><div class='content with-sidebar'>{text}</div>{rest}</body>",
+        f"<body><div class='form-page'>{text}</div>{rest}</body>",
+        f"<body><div class='sidebar social'><article class='post category-social'>{text}</article></div>{rest}</body>",
+        f"<body><div class=content>{text}</div><div class=related><article><p>more</p></article></div>{rest}</body>",
+        f"<body><article>{text}</article><section id=comments><article class=comment><p>Nice</p></article></section>{rest}</body>",
+    ])
+    assert found == ["main text of the page"] * 6
+
+
 def test_wrappers_are_aligned():
     label = lambda node: (node.label, node.many, node.maybe, [label(c) for c in node.children])
     one = wrappers.wrapper_of(wrappers.parse("<ul><li>a<li>b</ul><p>x</p>"))
