@@ -51,19 +51,33 @@ def _parts(passage: str) -> set[int]:
     return {h for h in (_hash(passage), *map(_hash, passage.split("\n"))) if h is not None}
 
 
+def _asked(passages: list[tuple[int, str]]) -> list[dict]:
+    """What quoted passages are looked up by: the whole, with its number of lines, and each line of a longer one."""
+    found = set()
+    for level, passage in passages:
+        whole, lines = _hash(passage), {h for h in map(_hash, passage.split("\n")) if h is not None}
+        if whole is not None:
+            found.add((level, whole, True, len(lines)))
+            found |= {(level, h, False, 1) for h in lines - {whole}}
+    return [dict(zip(("level", "hash", "whole", "lines"), f)) for f in sorted(found)]
+
+
 def reply_order(
     messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
     """A row per message: conversation, position, turn, parent_turn, root_turn, quotes, role, text (without quotes).
 
     Every quoted passage is hashed whole and by lines, after white space and
-    case are made alike, and joined to the latest earlier message of its
-    conversation that says it unquoted.  A message replies to the one that its
-    least nested linked quote names (of several the latest); one that quotes
-    nothing known replies to the turn before it only where it quotes nothing
-    at all, otherwise it starts a thread.  Threads follow each other by their
-    first turn, and inside a thread every message comes after the one it
-    replies to.
+    case are made alike, and joined to the earlier messages of its
+    conversation that say it unquoted.  A message replies to the one that its
+    least nested linked quote names; of several to one that says a passage
+    whole, then to the one with most of the lines, then to the latest.  Lines
+    are counted in every earlier message, so messages that quote a line often
+    said, and no passage whole, meet each message that says it.  A message
+    that quotes nothing known replies to the turn before it only where it
+    quotes nothing at all, otherwise it starts a thread.  Threads follow each
+    other by their first turn, and inside a thread every message comes after
+    the one it replies to.
 
     Cases: a NULL or empty text quotes nothing and stays as an empty message;
     a quote of a later or of no message is dropped without a link; rows with a
@@ -76,17 +90,14 @@ def reply_order(
         for batch in batches:
             found = [parse(t) for t in batch.column("text").to_pylist()]
             said = [sorted(_parts(own)) for own, _ in found]
-            quoted = [
-                [{"level": level, "hash": h} for level, passage in passages for h in sorted(_parts(passage))]
-                for _, passages in found
-            ]
+            quoted = [_asked(passages) for _, passages in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(k) for k in ("conv", "turn", "role")],
                     pa.array([own for own, _ in found], pa.string()),
                     pa.array([len(p) for _, p in found], pa.int32()),
                     pa.array(said, pa.list_(pa.int64())),
-                    pa.array(quoted, pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64())]))),
+                    pa.array(quoted, pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("whole", pa.bool_()), ("lines", pa.int32())]))),
                 ],
                 names=["conv", "turn", "role", "text", "quotes", "said", "quoted"],
             )
@@ -99,18 +110,27 @@ def reply_order(
     parsed = written(
         plain.mapInArrow(
             run,
-            f"conv {kind}, turn long, role string, text string, quotes int, said array<long>, quoted array<struct<level int, hash long>>",
+            f"conv {kind}, turn long, role string, text string, quotes int, said array<long>, quoted array<struct<level: int, hash: long, whole: boolean, lines: int>>",
         ),
         "messages",
     )
     quoted = parsed.where("quotes > 0").select("conv", "turn", F.explode("quoted").alias("q"))
-    quoted = quoted.select("conv", "turn", "q.hash", "q.level")
+    quoted = quoted.select("conv", "turn", "q.*")
     said = parsed.select("conv", "turn", F.explode("said").alias("hash"))
     said = said.join(quoted.select("conv", "hash").distinct(), ["conv", "hash"], "left_semi")
+    best = F.max(F.struct((-F.col("level")).alias("near"), "n", "source")).alias("best")
+    of_one = lambda hits: hits.groupBy("conv", "turn", "level", "source").agg(F.sum("lines").alias("n")).groupBy("conv", "turn").agg(best)
+    wholes = latest_before(quoted.where("whole").drop("whole"), said, ["conv", "hash"])
+    wholes = written(of_one(wholes).select("conv", "turn", "best"), "wholes")
+    # lines count where no passage as near is said whole
+    lines = quoted.where("NOT whole").join(wholes.select("conv", "turn", F.col("best.near").alias("near")), ["conv", "turn"], "left")
+    lines = lines.where("near IS NULL OR level < -near").select("conv", "turn", "level", "hash", "lines")
+    hits = lines.join(said.select("conv", "hash", F.col("turn").alias("source")), ["conv", "hash"]).where("source < turn")
     parents = (
-        latest_before(quoted, said, ["conv", "hash"])
+        wholes.withColumn("whole", F.lit(True))
+        .unionByName(of_one(hits).withColumn("whole", F.lit(False)))
         .groupBy("conv", "turn")
-        .agg(F.max(F.struct((-F.col("level")).alias("near"), "source")).alias("best"))
+        .agg(F.max(F.struct("best.near", "whole", "best.n", "best.source")).alias("best"))
         .select("conv", "turn", F.col("best.source").alias("linked"))
     )
     turns = parsed.select("conv", "turn")

@@ -308,6 +308,18 @@ def test_conversations_in_reply_order(spark, monkeypatch):
     assert quotes.reply_order(df.where("false")).count() == 0
 
 
+def test_repeated_lines_do_not_move_a_quote(spark):
+    """The whole passage comes before its lines, and most of the lines before the latest of them."""
+    rows = [
+        (1, 0, "Hi\nplease send it\nThanks"), (1, 1, "Sure\nThanks"), (1, 2, "> Hi\n> please send it\n> Thanks\n\nDone"),
+        (1, 3, "> Thanks\n> please send it\nAgain"), (1, 4, ">> Sure\n>> Thanks\n> Done\n> unknown\nOk"),
+        (2, 0, "A\nB\nC"), (2, 1, "A"), (2, 2, "C\nx"), (2, 3, "> C\n> B\n> A\ny"),
+    ]
+    df = spark.createDataFrame([(c, n, "r", t) for c, n, t in rows], "conv_id long, turn long, role string, text string")
+    found = {(r.conv_id, r.turn): r.parent_turn for r in quotes.reply_order(df).collect()}
+    assert [found[(1, n)] for n in range(5)] == [None, 0, 0, 0, 2] and found[(2, 3)] == 0
+
+
 # pages
 
 def test_main_text_of_a_host(spark):
