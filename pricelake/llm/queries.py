@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricelake.llm import decontaminate, exact_dedup, near_dedup, packing, ppm, quality, quotes, shards, url_filter, wrappers
+from pricelake.llm import decontaminate, exact_dedup, manifest, near_dedup, packing, ppm, quality, quotes, shards, url_filter, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,13 @@ def op10_wrapper_extraction(spark, sf_dir):
     return wrappers.main_text(table(spark, sf_dir, "pages"))
 
 
+def op12_merkle_manifest(spark, sf_dir):
+    changed = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 0
+    return manifest.manifest(
+        table(spark, sf_dir, "documents"), changed=changed, changes={"n_chars": F.col("n_chars") + F.lit(1)}
+    )
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -111,6 +118,7 @@ QUERIES = {
         op8_ppm_scores,
         op9_subword_quality,
         op10_wrapper_extraction,
+        op12_merkle_manifest,
         pipeline,
     )
 }
@@ -205,9 +213,64 @@ select conv_id, row_number() over (partition by conv_id order by turn) - 1 as po
 from asked
 """
 
+#: CRC-32 of a decimal number, bit by bit.
+_CRC = """xor(4294967295, list_reduce([4294967295::bigint] || [ascii(x)::bigint for x in string_split(cast(doc_id as varchar), '')],
+    lambda c, b: list_reduce([xor(c, b)] || [x::bigint for x in range(8)],
+        lambda a, y: xor(a >> 1, case when a & 1 = 1 then 3988292384 else 0 end))))"""
+
+
+def _told(value: str) -> str:
+    return f"coalesce(strlen(cast({value} as varchar)) || ':' || cast({value} as varchar), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_told, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+_OP12 = f"""
+with recursive leaves as (
+    select row_number() over () as k, doc_id, lang, {_leaf('n_chars')} as leaf, {_leaf('n_chars + 1')} as other,
+        coalesce({_CRC} % 7 = 0, false) as changed
+    from documents
+), placed as (
+    select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as n from leaves
+), tree as (
+    select lang, 0 as level, i, n, leaf as h from placed
+    union all
+    select lang, level + 1, i // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' order by i)) from tree where n > 1 group by lang, level, i // 2
+), subroots as (
+    select lang, h as subroot, row_number() over (order by lang nulls first) - 1 as i, count(*) over () as n from tree where n = 1
+), tops as (
+    select 0 as level, i, n, subroot as h from subroots
+    union all
+    select level + 1, i // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' order by i)) from tops where n > 1 group by level, i // 2
+), inner_steps as (
+    select k, t.level, t.n, s.i as si, p.i >> t.level as own, s.h
+    from placed p join (select distinct lang, level, n from tree where n > 1) t on t.lang is not distinct from p.lang
+    left join tree s on s.lang is not distinct from p.lang and s.level = t.level and s.i = xor(p.i >> t.level, 1)
+), outer_steps as (
+    select k, 1000 + t.level as level, t.n, s.i as si, r.i >> t.level as own, s.h
+    from placed p join subroots r on r.lang is not distinct from p.lang
+    join (select distinct level, n from tops where n > 1) t on true
+    left join tops s on s.level = t.level and s.i = xor(r.i >> t.level, 1)
+), steps as (
+    select k, list(case when h is null then 'N' when si < own then 'L' || h else 'R' || h end order by level) as steps
+    from (select * from inner_steps union all select * from outer_steps) group by k
+), folded as (
+    select p.*, r.subroot, (select h from tops where n = 1) as root, coalesce(steps, []) as steps,
+        list_reduce([case when changed then coalesce(other, leaf) else leaf end] || coalesce(steps, []),
+            lambda a, s: sha256(case s[1] when 'N' then a when 'L' then s[2:] || a else a || s[2:] end)) as folded_root
+    from placed p join subroots r on r.lang is not distinct from p.lang left join steps using (k)
+)
+select doc_id, leaf, subroot, root, sha256(coalesce(array_to_string([s[2:] for s in steps if s <> 'N'], ''), '')) as proof_sha256,
+    folded_root, folded_root = root as verified
+from folded
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_hyperminhash_near_dedup": _OP1,
     "op2_temporal_url_filter": _OP2,
     "op4_extendible_hash_dedup": _OP4,
     "op7_quotation_linking": _OP7,
+    "op12_merkle_manifest": _OP12,
 }
