@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricelake.llm import decontaminate, exact_dedup, manifest, near_dedup, packing, ppm, quality, quotes, shards, url_filter, wrappers
+from pricelake.llm import collocations, decontaminate, exact_dedup, licenses, manifest, near_dedup, packing, ppm, quality, quotes, shards, url_filter, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,10 @@ def op10_wrapper_extraction(spark, sf_dir):
     return wrappers.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_signature_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op12_merkle_manifest(spark, sf_dir):
     changed = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 0
     return manifest.manifest(
@@ -99,6 +103,10 @@ def op12_merkle_manifest(spark, sf_dir):
     )
 
 
+def op13_suffix_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -118,7 +126,9 @@ QUERIES = {
         op8_ppm_scores,
         op9_subword_quality,
         op10_wrapper_extraction,
+        op11_signature_licenses,
         op12_merkle_manifest,
+        op13_suffix_collocations,
         pipeline,
     )
 }
@@ -267,10 +277,48 @@ select doc_id, leaf, subroot, root, sha256(coalesce(array_to_string([s[2:] for s
 from folded
 """
 
+_OP13 = r"""
+with pieces as (
+    select coalesce(lang, 'und') as lang,
+        unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents
+), worded as (
+    select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+), grams as (
+    select lang, size, unnest([w[i : i + size - 1] for i in range(1, len(w) - size + 2)]) as w
+    from worded, (select unnest(range(1, 6)) as size) where len(w) >= size
+), counts as (
+    select lang, size, w, array_to_string(w, ' ') as phrase, count(*) as n from grams group by lang, size, w
+), totals as (
+    select lang, sum(n) as total from counts where size = 1 group by lang
+), frequent as (
+    select * from counts where n >= 100
+), inside as (
+    select lang, w[1 : size - 1] as w, n from frequent where size > 2
+    union all select lang, w[2 : size] as w, n from frequent where size > 2
+), kept as (
+    select f.* from frequent f left join (select lang, w, max(n) as longer from inside group by lang, w) i using (lang, w)
+    where size > 1 and (longer is null or 100 * longer < 100 * n)
+), cuts as (
+    select lang, phrase, size, w, n as a, unnest(range(1, size)) as k from kept
+), scored as (
+    select c.lang, c.phrase, c.a, k, l.n as l, r.n as r, cast(total as bigint) as n,
+        cast((1000::hugeint * c.a * total::hugeint) // (l.n::hugeint * r.n) as bigint) as score
+    from cuts c join totals t on t.lang = c.lang
+    join frequent l on l.lang = c.lang and l.w = c.w[1 : k]
+    join frequent r on r.lang = c.lang and r.w = c.w[k + 1 : c.size]
+), lowest as (
+    select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from lowest qualify rank <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_hyperminhash_near_dedup": _OP1,
     "op2_temporal_url_filter": _OP2,
     "op4_extendible_hash_dedup": _OP4,
     "op7_quotation_linking": _OP7,
     "op12_merkle_manifest": _OP12,
+    "op13_suffix_collocations": _OP13,
 }
