@@ -136,7 +136,7 @@ def test_leaks_in_odd_rows(spark):
 
 
 def test_leaks_in_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 1)
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 1)
     benchmark = spark.createDataFrame([(i, f"one two three four five six seven eight nine {i}") for i in range(5)], "item_id long, text string")
     rows = [(i, f"start one two three four five six seven eight nine {i} stop") for i in range(5)]
     found = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.leaks(frame(spark, rows), benchmark).collect()}
@@ -145,6 +145,60 @@ def test_leaks_in_blocks_of_items(spark, monkeypatch):
 
 # language model
 
+@pytest.mark.parametrize("words", [6, 10, 15, 25, 40, 60, 100, 150, 200, 300, 400])
+def test_recall_at_the_limit_of_edits(words):
+    """Changes, deletions, insertions and all of them apart, spread evenly and at random, by the exact matcher."""
+    rnd = random.Random(words)
+    vocabulary = [f"w{i}" for i in range(400)]
+    passage = lambda n: rnd.choices(vocabulary, [1 / (i + 1) for i in range(400)], k=n)
+    edits = decontaminate.edits_allowed(words)
+
+    def edited(found, kind, even):
+        found = list(found)
+        for at in reversed([int((j + 0.5) * words / edits) for j in range(edits)] if even else sorted(rnd.sample(range(words), edits))):
+            do, new = rnd.choice("cdi") if kind == "all" else kind, f"n{rnd.randrange(10**9)}"
+            found[at : at + (do != "i")] = [] if do == "d" else [new]
+        return found
+
+    count = 40 if words <= 100 else 20
+    items = [passage(words) for _ in range(count)]
+    search = decontaminate.Items(list(range(count)), [" ".join(w) for w in items], decontaminate.EDITS)
+    for kind in ("c", "d", "i", "all"):
+        for even in (True, False):
+            texts = [" ".join(passage(40) + edited(w, kind, even) + passage(40)) for w in items]
+            found = arrays.words(*arrays.text_bytes(decontaminate.lowered(pa.array(texts))), arrays.LETTERS)
+            hits = {h[:2] for h in search.search(found)}
+            text = lambda j: found.hashes[found.of[j] : found.of[j + 1]].tolist()
+            there = [j for j in range(count) if decontaminate.best_match(search.words[j].tolist(), text(j))[0] <= edits]
+            assert len(there) >= 0.9 * count
+            assert sum((j, j) in hits for j in there) >= 0.95 * len(there), (kind, even)
+
+
+def test_items_of_ten_thousand_words_in_bounded_memory():
+    import tracemalloc
+
+    rnd = random.Random(2)
+    words = [f"w{rnd.randrange(3000)}" for _ in range(10_000)]
+    changed = [w if rnd.random() > 0.15 else "x" for w in words]
+    tracemalloc.start()
+    search = decontaminate.Items([1], [" ".join(words)], decontaminate.EDITS)
+    texts = pa.array(["a b c " * 5 + " ".join(changed) + " d" * 9, "w1 w2 " * 5000])
+    found = search.search(arrays.words(*arrays.text_bytes(decontaminate.lowered(texts)), arrays.LETTERS))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [h[:2] for h in found] == [(0, 0)] and found[0][2] <= 2000 and most < 200e6
+
+
+def test_common_runs_are_not_expanded():
+    """A run in every item and thousands of places names no items by itself."""
+    rnd = random.Random(4)
+    items = [f"the end of {' '.join(f'a{rnd.randrange(10**6)}' for _ in range(30))}" for _ in range(500)]
+    search = decontaminate.Items(list(range(500)), items, decontaminate.EDITS)
+    text = " ".join(f"the end of b{i} c{i}" for i in range(20_000)) + " " + items[7]
+    found = arrays.words(*arrays.text_bytes(decontaminate.lowered(pa.array([text]))), arrays.LETTERS)
+    assert len(search.candidates(found)[0]) < 2_000 and [h[:3] for h in search.search(found)] == [(0, 7, 0)]
+
+
 def test_probabilities_sum_to_one():
     rnd = np.random.default_rng(0)
     texts = pa.array([" ".join(rnd.choice(["ab", "abc", "b", "ca", "cab"], 20)) for _ in range(50)])
