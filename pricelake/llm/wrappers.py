@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html
 import json
 import re
 import zlib
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -17,17 +19,26 @@ from pricelake.runtime import written
 
 #: Bytes of all wrappers that may be sent to every task; with more, pages are joined with the wrapper of their host.
 BROADCAST_BYTES = 32 << 20
-#: Pages of different texts from which on a text that never changes is taken for a part of the template.
-CONSTANT_PAGES = 5
 #: Share of a page's free text from which on its articles are the main text; with less they are cards beside it.
 ARTICLE_SHARE = 0.25
+#: A text that never changes is the template's if it stands on this share of its host's different pages, and if texts that
+#: change on every other page would stay the same over so many pages with a chance under this level.
+TEMPLATE_SHARE, LEVEL = 0.5, 0.05
+#: Pages, those with the least hashes, by which shares of a host's pages are told.
+SAMPLE = 16
+#: Parts in which the shapes of a host's pages are merged side by side.
+BUCKETS = 64
+#: Distinct shapes a task gathers before it sends them on.
+GATHERED = 5_000
 
 # Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math select object".split())
+RAW = frozenset("script style template textarea title iframe select".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
+    "span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace semantics annotation "
+    "svg g text tspan path rect circle line object param noscript".split()
 )
 #: Elements that end where another of the listed ones begins beside them.
 ENDS = {
@@ -56,12 +67,15 @@ AROUND = frozenset(
     "disqus footer form menu modal nav navbar navigation newsletter notice notices pagination pager popup "
     "promo promotion related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
-#: First words of marks that tell of a page or what it is about, and last words of those that name a layout or a state.
-ABOUT = frozenset("has no not with without is category tag type format status".split())
-STATES = frozenset("page open closed on off enabled disabled layout template content".split())
+#: Words that may stand beside those in a mark; with any other word the mark is about something else.
+BESIDE = frozenset(
+    "area aside bar block bottom box button buttons column container content contents form group icons inner items left links list main "
+    "outer panel post posts right section side site slot thread top unit wrap wrapper".split()
+)
 
+# A quote opens a value only behind an equals sign.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)(>|\Z)", re.S
 )
 MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
@@ -70,33 +84,86 @@ class Node:
     """A part of a page or of a wrapper.
 
     In a wrapper ``many`` says that it may be repeated, ``maybe`` that it may
-    be missing, and a text slot has the checksum of its text where that is
-    always the same, with those of up to ``CONSTANT_PAGES`` different pages.
+    be missing, and a text slot has the checksum of its text (of all its texts
+    on a page) where that is always the same, and the least hashes of the pages it stands on.
     """
 
-    __slots__ = ("label", "children", "many", "maybe", "pages", "same", "text")
+    __slots__ = ("label", "children", "many", "maybe", "pages", "same", "text", "places")
 
     def __init__(self, label, children=(), many=False, maybe=False, same=None, pages=(), text=None):
         self.label, self.children, self.many, self.maybe = label, list(children), many, maybe
-        self.same, self.pages, self.text = same, pages, text
+        self.same, self.pages, self.text, self.places = same, tuple(pages), text, None
 
-    def packed(self) -> list:
-        rest = [self.same, self.pages] if self.label == "#" else [c.packed() for c in self.children]
-        return [self.label, int(self.many), int(self.maybe), rest]
+    def preorder(self) -> list[Node]:
+        out, stack = [], [self]
+        while stack:
+            node = stack.pop()
+            out.append(node)
+            stack.extend(reversed(node.children))
+        return out
+
+    def shape(self) -> str:
+        """The part without its texts, as flat JSON: labels, flags and numbers of children from the root on."""
+        return json.dumps([[n.label, n.many + 2 * n.maybe, len(n.children)] for n in self.preorder()], separators=(",", ":"))
+
+    def slots(self) -> list[Node]:
+        return [n for n in self.preorder() if n.label == "#"]
+
+    def stats(self) -> list[tuple]:
+        return [(n.same, list(n.pages)) for n in self.slots()]
+
+    def place_of(self, label: str, at: int) -> int | None:
+        """The child of that label at or behind ``at``, or else the first one."""
+        if self.places is None:
+            self.places = {}
+            for k, child in enumerate(self.children):
+                self.places.setdefault(child.label, []).append(k)
+        found = self.places.get(label)
+        if not found:
+            return None
+        k = bisect.bisect_left(found, at)
+        return found[k] if k < len(found) else found[0]
+
+
+def unpacked(shape: str, stats: list) -> Node:
+    """The wrapper of a shape and what is known of its slots."""
+    slots, root, open_ = iter(stats), None, []
+    for label, flags, children in json.loads(shape):
+        node = Node(label, (), bool(flags & 1), bool(flags & 2), *(next(slots) if label == "#" else (None, ())))
+        if root is None:
+            root = node
+        else:
+            open_[-1][0].children.append(node)
+            open_[-1][1] -= 1
+        if children:
+            open_.append([node, children])
+        while open_ and not open_[-1][1]:
+            open_.pop()
+    return root
 
-    @classmethod
-    def unpacked(cls, found: list) -> Node:
-        label, many, maybe, rest = found
-        if label == "#":
-            return cls(label, (), bool(many), bool(maybe), *rest)
-        return cls(label, map(cls.unpacked, rest), bool(many), bool(maybe))
+
+def run_steps(call):
+    """Runs a generator that yields the calls it waits for, so that deep trees need no deep stack."""
+    stack, value = [call], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
 
 
 def parse(page: str | None) -> Node:
-    """Tree of the blocks of a page; inline markup is part of the text, comments and raw elements are left out."""
+    """Tree of the blocks of a page; inline markup is part of the text, comments and raw elements are left out.
+
+    A form that holds most of the page's text is a container like others.
+    """
     page = page or ""
     root = Node("")
-    stack, text = [root], []
+    stack, text, opened = [root], [], {}
+    names = [""]
 
     def flush():
         joined = " ".join(html.unescape("".join(text)).split())
@@ -104,6 +171,11 @@ def parse(page: str | None) -> Node:
         if joined:
             stack[-1].children.append(Node("#", same=zlib.crc32(joined.encode("utf-8", "replace")), text=joined))
 
+    def close(i):
+        for name in names[i:]:
+            opened[name] -= 1
+        del stack[i:], names[i:]
+
     at = 0
     while True:
         found = TOKEN.search(page, at)
@@ -121,17 +193,14 @@ def parse(page: str | None) -> Node:
             continue
         flush()
         if found.group(1):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].label.split(" ")[0] == name:
-                    del stack[i:]
-                    break
+            if opened.get(name):
+                close(len(names) - 1 - names[::-1].index(name))
             continue
         for i in range(len(stack) - 1, 0, -1):
-            above = stack[i].label.split(" ")[0]
-            if name in ENDS.get(above, ()):
-                del stack[i:]
+            if name in ENDS.get(names[i], ()):
+                close(i)
                 break
-            if above in SCOPES:
+            if names[i] in SCOPES:
                 break
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -142,82 +211,127 @@ def parse(page: str | None) -> Node:
         stack[-1].children.append(node)
         if name not in VOID and not found.group(3).endswith("/"):
             stack.append(node)
+            names.append(name)
+            opened[name] = opened.get(name, 0) + 1
     flush()
+    if "form" in opened:
+        order, size = root.preorder(), {}
+        for node in reversed(order):
+            size[id(node)] = len(node.text or "") + sum(size[id(c)] for c in node.children)
+        for node in order:
+            if node.label.split(" ")[0] == "form" and 2 * size[id(node)] > size[id(root)]:
+                node.label = "div" + node.label[4:]
     return root
 
 
 def merged(a: Node, b: Node) -> Node:
     """The least wrapper of both: texts become slots, parts that only one has become optional, neighbours of one label are repeated."""
+    return run_steps(_merged(a, b))
+
+
+def _merged(a: Node, b: Node, along: bool = False):
+    """``along`` one page texts are strung together: a slot repeated on a page is the same where all its texts are."""
     if a.label == "#":
-        same = a.same if a.same == b.same else None
-        pages = () if same is None else sorted({*a.pages, *b.pages})[:CONSTANT_PAGES]
+        same = zlib.crc32(f"{a.same} {b.same}".encode()) if along else a.same if a.same == b.same else None
+        pages = sorted({*a.pages, *b.pages})[:SAMPLE]
         return Node("#", (), a.many or b.many, a.maybe or b.maybe, same, pages)
     children, i, j = [], 0, 0
-    for x, y in [*_common([c.label for c in a.children], [c.label for c in b.children]), (len(a.children), len(b.children))]:
+    pairs = common([c.label for c in a.children], [c.label for c in b.children])
+    for x, y in [*pairs, (len(a.children), len(b.children))]:
         for rest in (a.children[i:x], b.children[j:y]):
             for node in rest:
                 node.maybe = True
                 children.append(node)
         if x < len(a.children):
-            children.append(merged(a.children[x], b.children[y]))
+            children.append((yield _merged(a.children[x], b.children[y], along)))
         i, j = x + 1, y + 1
-    return Node(a.label, folded(children), a.many or b.many, a.maybe or b.maybe)
-
-
-def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence."""
-    lengths = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            lengths[i][j] = lengths[i + 1][j + 1] + 1 if a[i] == b[j] else max(lengths[i + 1][j], lengths[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
+    return Node(a.label, (yield _folded(children, along)), a.many or b.many, a.maybe or b.maybe)
+
+
+def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, in space that is linear in both.
+
+    Equal ends are paired first.  What is left is cut in the middle of ``a``
+    and where ``b`` splits best, by the lengths of common subsequences that
+    one integer of as many bits as ``b`` has entries holds per half.
+    """
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i, x, j, y = todo.pop()
+        while i < x and j < y and a[i] == b[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif lengths[i + 1][j] >= lengths[i][j + 1]:
-            i += 1
-        else:
-            j += 1
+        while i < x and j < y and a[x - 1] == b[y - 1]:
+            x, y = x - 1, y - 1
+            out.append((x, y))
+        if i == x or j == y:
+            continue
+        if x - i == 1:
+            k = next((k for k in range(j, y) if b[k] == a[i]), None)
+            if k is not None:
+                out.append((i, k))
+            continue
+        mid = (i + x) // 2
+        head, tail = _lengths(a[i:mid], b[j:y]), _lengths(a[mid:x][::-1], b[j:y][::-1])
+        n = y - j
+        cut = max(range(n + 1), key=lambda k: head[k] + tail[n - k])
+        todo += [(i, mid, j, j + cut), (mid, x, j + cut, y)]
+    return sorted(out)
+
+
+def _lengths(a: list[str], b: list[str]) -> list[int]:
+    """Lengths of the longest common subsequences of ``a`` and every prefix of ``b``."""
+    where: dict[str, int] = {}
+    for k, label in enumerate(b):
+        where[label] = where.get(label, 0) | 1 << k
+    full = (1 << len(b)) - 1
+    row = full
+    for label in a:
+        hit = row & where.get(label, 0)
+        row = ((row + hit) | (row - hit)) & full
+    out, n = [0], 0
+    for bit in reversed(f"{row:0{len(b)}b}"):
+        n += bit == "0"
+        out.append(n)
     return out
 
 
-def folded(children: list[Node]) -> list[Node]:
+def _folded(children: list[Node], along: bool):
     """Neighbours of one label as one repeated group."""
     out: list[Node] = []
     for node in children:
         if out and out[-1].label == node.label:
-            out[-1] = merged(out[-1], node)
-            out[-1].many = True
-            out[-1].maybe = out[-1].maybe and node.maybe
+            maybe = out[-1].maybe and node.maybe
+            out[-1] = yield _merged(out[-1], node, along)
+            out[-1].many, out[-1].maybe = True, maybe
         else:
             out.append(node)
     return out
 
 
-def texts_of(node: Node) -> list[str]:
-    return [node.text] if node.label == "#" else [t for c in node.children for t in texts_of(c)]
+def wrapper_of(page: Node) -> Node:
+    """The wrapper of a single page: repeated neighbours folded from the leaves up."""
+    whole = "\n".join(s.text for s in page.slots()).encode("utf-8", "replace")
+    of = int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "big") >> 1
+    return run_steps(_wrapper_of(page, of))
 
 
-def wrapper_of(page: Node, of: int | None = None) -> Node:
-    """The wrapper of a single page: repeated neighbours folded from the leaves up; copies of a page have one checksum ``of``."""
-    if of is None:
-        whole = "\n".join(texts_of(page)).encode("utf-8", "replace")
-        of = int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "big")
+def _wrapper_of(page: Node, of: int):
     if page.label == "#":
         return Node("#", same=page.same, pages=(of,))
-    return Node(page.label, folded([wrapper_of(c, of) for c in page.children]))
+    children = []
+    for child in page.children:
+        children.append((yield _wrapper_of(child, of)))
+    return Node(page.label, (yield _folded(children, True)))
 
 
-def named(mark: str, names: frozenset) -> str:
-    """The first or last word of a mark where it is one of ``names`` and the mark names the part by it, otherwise nothing."""
-    first, *rest = [w for w in re.split(r"[-_]+", mark) if w] or [""]
-    last = rest[-1] if rest else first
-    if first in ABOUT or rest and last in STATES:
-        return ""
-    return next((w for w in (first, last) if w in names), "")
+def named(mark: str, names: frozenset) -> bool:
+    """Whether a mark names a part by one of ``names``: it has no words but these and those that may stand beside them."""
+    words = [w for w in re.split(r"[-_]+", mark) if w]
+    return any(w in names for w in words) and all(w in names or w in BESIDE for w in words)
 
 
+@lru_cache(1 << 16)
 def around(label: str, inside: bool = False) -> bool:
     """Whether a part is not main text by its element or names; ``inside`` an article headers are."""
     name, *marks = label.split(" ")
@@ -226,30 +340,40 @@ def around(label: str, inside: bool = False) -> bool:
 
 
 def without_digits(mark: str) -> str:
-    """A mark with digits as the name of a part around the main text that it holds; others number parts and are left out."""
+    """A mark; of one with digits only the name of a part around the main text that is left without them, others number parts."""
     if not any(c.isdigit() for c in mark):
         return mark
     words = [w.strip("0123456789") for w in re.split(r"[-_]+", mark)]
-    return named("-".join(w for w in words if w and not any(c.isdigit() for c in w)), AROUND | HEADERS)
+    plain = "-".join(w for w in words if w and not any(c.isdigit() for c in w))
+    return plain if named(plain, AROUND | HEADERS) else ""
 
 
-def slots_of(node: Node, inside: bool = False) -> list[Node]:
+def slots_of(part: Node, inside: bool = False) -> list[Node]:
     """The texts of a part, without those around the main text."""
-    if node.label == "#":
-        return [node]
-    return [s for c in node.children if not around(c.label, inside) for s in slots_of(c, inside)]
+    out, stack = [], [part]
+    while stack:
+        node = stack.pop()
+        if node.label == "#":
+            out.append(node)
+        stack.extend(c for c in reversed(node.children) if c.label == "#" or not around(c.label, inside))
+    return out
 
 
-def articles(node: Node, through: bool = False) -> list[Node]:
+def articles(part: Node, through: bool = False) -> list[Node]:
     """The outermost article and main elements that are not around the main text.
 
     ``through`` passes parts that are around it by their names alone, not by
     their element, so that a layout container hides no article.
     """
-    if node.label.split(" ")[0] in MAIN:
-        return [node]
-    shut = lambda c: around(c.label) and (not through or c.label.split(" ")[0] in DROPPED | HEADERS | MAIN)
-    return [m for c in node.children if not shut(c) for m in articles(c, through)]
+    out, stack = [], [part]
+    while stack:
+        node = stack.pop()
+        if node.label.split(" ")[0] in MAIN:
+            out.append(node)
+            continue
+        shut = lambda c: around(c.label) and (not through or c.label.split(" ")[0] in DROPPED | HEADERS | MAIN)
+        stack.extend(c for c in reversed(node.children) if c.label != "#" and not shut(c))
+    return out
 
 
 def kind_of(page: Node) -> str:
@@ -267,82 +391,167 @@ def kind_of(page: Node) -> str:
     return "through" if size(True) > free else "free"
 
 
+def template_parts(wrapper: Node) -> set[int]:
+    """Ids (in Python) of the parts of a wrapper of pages without articles that belong to the template.
+
+    Slots whose text never changes, over enough pages and a share of the
+    host's pages, are constant.  The varying part is the least part that
+    holds all slots that vary; beside it and the parts it lies in, and among
+    its own, those go that hold nothing but constant slots.
+    """
+    pages = sorted({p for s in wrapper.slots() for p in s.pages})[:SAMPLE]
+    inside = {id(s) for s in slots_of(wrapper)}
+
+    def constant(slot):
+        shared = len(set(slot.pages) & set(pages))
+        return slot.same is not None and shared >= TEMPLATE_SHARE * len(pages) and 2.0 ** (1 - len(slot.pages)) < LEVEL
+
+    vary, fixed = {}, {}
+    for node in reversed(wrapper.preorder()):
+        if node.label == "#":
+            fixed[id(node)] = id(node) not in inside or constant(node)
+            vary[id(node)] = not fixed[id(node)]
+        else:
+            fixed[id(node)] = all(fixed[id(c)] for c in node.children)
+            vary[id(node)] = any(vary[id(c)] for c in node.children)
+    out, node = set(), wrapper
+    while True:
+        out |= {id(c) for c in node.children if fixed[id(c)] and not vary[id(c)]}
+        down = [c for c in node.children if vary[id(c)]]
+        if len(down) != 1 or down[0].label == "#":
+            return out if vary[id(wrapper)] else set()
+        node = down[0]
+
+
 def main_slots(wrapper: Node, kind: str) -> set[int]:
     """Ids (in Python) of the slots of a wrapper that hold main text.
 
     Parts that are around it by element or name are left out.  In the wrapper
     of pages with an article or main element what is in it is main.  Otherwise
-    it is all the rest but slots whose text never changes over pages of
-    different texts, which belong to the template.
+    it is all the rest but the parts of the template.
     """
     if kind != "free":
         return {id(s) for a in articles(wrapper, kind == "through") for s in slots_of(a, True)}
-    return {id(s) for s in slots_of(wrapper) if s.same is None or len(s.pages) < CONSTANT_PAGES}
+    template = template_parts(wrapper)
+    gone = {id(s) for n in wrapper.preorder() if id(n) in template for s in n.slots()}
+    return {id(s) for s in slots_of(wrapper)} - gone
 
 
 def extract(page: Node, wrapper: Node, slots: set[int]) -> list[str]:
     """Texts of the page that stand in the given slots of its wrapper, in order."""
-    if page.label == "#":
-        return [page.text] if id(wrapper) in slots else []
-    out, at = [], 0
-    for child in page.children:
-        place = next((k for k in range(at, len(wrapper.children)) if wrapper.children[k].label == child.label), None)
-        if place is None:
-            place = next((k for k in range(len(wrapper.children)) if wrapper.children[k].label == child.label), None)
-            if place is None:
-                continue
-        else:
-            at = place
-        out += extract(child, wrapper.children[place], slots)
+    out, stack = [], [(page, wrapper)]
+    while stack:
+        node, model = stack.pop()
+        if node.label == "#":
+            if id(model) in slots:
+                out.append(node.text)
+            continue
+        below, at = [], 0
+        for child in node.children:
+            place = model.place_of(child.label, at)
+            if place is not None:
+                at = max(at, place)
+                below.append((child, model.children[place]))
+        stack.extend(reversed(below))
     return out
 
 
-def infer(pages: DataFrame) -> DataFrame:
-    """(host, wrapper): the wrappers of a host, one for each kind of page, from all its pages.
+class _Gathered:
+    """Shapes of pages or wrappers with what is known of their slots; equal shapes are put together."""
 
-    Each task merges the pages it reads into one row per host and sends
-    those on, so a host with a third of all pages sends one row per task.
-    """
+    def __init__(self):
+        self.found: dict[tuple, list] = {}
 
-    def add(found: dict[str, Node], kind: str, own: Node):
-        found[kind] = merged(found[kind], own) if kind in found else own
+    def add(self, key: tuple, shape: str, stats: list) -> None:
+        own = self.found.setdefault((*key, shape), stats)
+        if own is not stats:
+            for k, ((same, pages), (other, more)) in enumerate(zip(own, stats)):
+                own[k] = (same if same == other else None, sorted({*pages, *more})[:SAMPLE])
+
+    def rows(self):
+        keys = list(self.found)
+        for a in range(0, len(keys), 500):
+            part = keys[a : a + 500]
+            shapes = [k[-1] for k in part]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([k[0] for k in part], pa.string()),
+                    pa.array([k[1] for k in part], pa.string()),
+                    pa.array([zlib.crc32(s.encode()) % BUCKETS for s in shapes], pa.int32()),
+                    pa.array(shapes, pa.string()),
+                    pa.array([json.dumps(self.found[k]) for k in part], pa.string()),
+                ],
+                names=["host", "kind", "bucket", "shape", "stats"],
+            )
+        self.found = {}
+
+
+_SHAPES = "host string, kind string, bucket int, shape string, stats string"
+
+
+def _shapes_of_pages(batches):
+    found = _Gathered()
+    for batch in batches:
+        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+            tree = parse(page)
+            own = wrapper_of(tree)
+            found.add((host, kind_of(tree)), own.shape(), own.stats())
+            if len(found.found) > GATHERED:
+                yield from found.rows()
+    yield from found.rows()
 
-    def in_task(batches):
-        found: dict[str, dict[str, Node]] = {}
-        for batch in batches:
-            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                tree = parse(page)
-                add(found.setdefault(host, {}), kind_of(tree), wrapper_of(tree))
-            if len(found) > 20_000:
-                yield _rows(found)
-                found = {}
-        yield _rows(found)
-
-    def over_tasks(batches):
-        host, own = None, {}
-        for batch in batches:
-            for name, packed in zip(batch.column("host").to_pylist(), batch.column("wrapper").to_pylist()):
-                if name != host:
-                    if own:
-                        yield _rows({host: own})
-                    host, own = name, {}
-                for kind, node in _unpacked(packed).items():
-                    add(own, kind, node)
-        if own:
-            yield _rows({host: own})
 
-    schema = "host string, wrapper string"
-    parts = pages.select("host", "html").mapInArrow(in_task, schema)
-    return parts.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(over_tasks, schema)
+def _merging(keys: tuple[str, ...]):
+    """Wrappers of rows with equal ``keys``, which come in order of their shapes (or parts)."""
 
+    def run(batches):
+        now, same, node = None, _Gathered(), None
+
+        def joined():
+            """The wrapper so far with the shape that has been put together last."""
+            nonlocal node
+            for key, stats in same.found.items():
+                own = unpacked(key[-1], stats)
+                node = own if node is None else merged(node, own)
+            same.found = {}
+            return node
+
+        def row():
+            whole = joined()
+            return pa.RecordBatch.from_pydict(
+                {"host": [now[0]], "kind": [now[1]], "bucket": pa.array([now[2] if len(now) > 2 else 0], pa.int32()),
+                 "shape": [whole.shape()], "stats": [json.dumps(whole.stats())]}
+            )
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                key = tuple(r[k] for k in keys)
+                if now is not None and key != now:
+                    yield row()
+                    node = None
+                now = key
+                if same.found and (r["shape"],) not in same.found:
+                    joined()
+                same.add((), r["shape"], [tuple(s) for s in json.loads(r["stats"])])
+        if now is not None:
+            yield row()
 
-def _unpacked(found: str) -> dict[str, Node]:
-    return {kind: Node.unpacked(node) for kind, node in json.loads(found).items()}
+    return run
 
 
-def _rows(found: dict[str, dict[str, Node]]) -> pa.RecordBatch:
-    packed = [json.dumps({k: n.packed() for k, n in sorted(kinds.items())}, separators=(",", ":")) for kinds in found.values()]
-    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(packed, pa.string())], names=["host", "wrapper"])
+def infer(pages: DataFrame) -> DataFrame:
+    """(host, kind, shape, stats): the wrappers of a host, one for each kind of page, from all its pages.
+
+    Each task puts pages of one shape together, which no order matters for.
+    The shapes of a host are merged in parts, dealt by shape, and the parts in
+    turn, always in the same order: however the pages are dealt to tasks, the
+    wrappers are the same, and no task sees all shapes of a host.
+    """
+    shapes = pages.select("host", "html").mapInArrow(_shapes_of_pages, _SHAPES)
+    dealt = shapes.repartition("host", "kind", "bucket").sortWithinPartitions("host", "kind", "bucket", "shape")
+    parts = dealt.mapInArrow(_merging(("host", "kind", "bucket")), _SHAPES)
+    whole = parts.repartition("host", "kind").sortWithinPartitions("host", "kind", "bucket")
+    return whole.mapInArrow(_merging(("host", "kind")), _SHAPES).drop("bucket")
 
 
 def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -357,25 +566,30 @@ def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", page: str
 
     Cases: a NULL or empty page gives the empty text; pages without a host
     share a wrapper; a host of one page has that page as its wrapper; a cut-off
-    page is read to its end, an open tag at the end dropped; repeated rows are
-    extracted each; an empty table gives no rows; extra columns are ignored.
+    page is read to its end, an open tag at the end dropped; pages may be
+    nested to any depth and have any number of parts side by side; repeated
+    rows are extracted each; an empty table gives no rows; extra columns are
+    ignored.  The result does not depend on how pages are dealt to tasks.
     """
     plain = A.with_small_batches(pages).select(
         F.col(id).alias("id"), F.col(url).alias("url"), F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"), F.col(page).alias("html")
     )
-    wrappers = written(infer(plain), "wrappers")
-    size = wrappers.agg(F.coalesce(F.sum(F.octet_length("wrapper")), F.lit(0))).first()[0]
+    kinds = written(infer(plain), "wrappers")
+    wrappers = kinds.groupBy("host").agg(F.collect_list(F.struct("kind", "shape", "stats")).alias("wrapper"))
+    size = kinds.agg(F.coalesce(F.sum(F.octet_length("shape") + F.octet_length("stats")), F.lit(0))).first()[0]
     wrapped = plain.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host")
 
     def run(batches):
         known: dict[str, dict[str, tuple[Node, set[int]]]] = {}
         for batch in batches:
             texts = []
-            for host, packed, own in zip(*(batch.column(k).to_pylist() for k in ("host", "wrapper", "html"))):
+            packed = batch.column("wrapper")
+            for i, (host, own) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("host", "html")))):
                 if host not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[host] = {kind: (node, main_slots(node, kind)) for kind, node in _unpacked(packed).items()}
+                    nodes = {w["kind"]: unpacked(w["shape"], json.loads(w["stats"])) for w in packed[i].as_py()}
+                    known[host] = {kind: (node, main_slots(node, kind)) for kind, node in nodes.items()}
                 tree = parse(own)
                 texts.append("\n\n".join(extract(tree, *known[host][kind_of(tree)])))
             yield pa.RecordBatch.from_arrays(

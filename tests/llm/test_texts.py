@@ -454,5 +454,74 @@ def test_wrappers_are_aligned():
     slot = ("#", False, False, [])
     assert label(wrappers.merged(one, two)) == ("", False, False, [
         ("h2", False, True, [slot]), ("ul", False, False, [("li", True, False, [slot])]), ("p", False, False, [slot]), ("hr", False, True, [])])
-    again = wrappers.Node.unpacked(one.packed())
+    again = wrappers.unpacked(one.shape(), one.stats())
     assert label(again) == label(one)
+
+
+def test_common_is_a_longest_common_subsequence():
+    rnd = random.Random(6)
+    for _ in range(300):
+        a, b = ([rnd.choice("abcde"[: rnd.randrange(1, 6)]) for _ in range(rnd.randrange(14))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+        found = wrappers.common(a, b)
+        assert len(found) == table[-1][-1] and all(a[i] == b[j] for i, j in found)
+        assert all(x < y and i < j for (x, i), (y, j) in zip(found, found[1:]))
+
+
+def test_deep_and_wide_pages(spark):
+    """Thousands of open elements, and of alternating ones side by side, on two pages that differ."""
+    import time
+
+    deep = lambda t: "<div>" * 5000 + f"<p>{t}</p>"
+    wide = lambda n, t: "<body>" + "".join(f"<h2>{t}{i}</h2><p>p{i}</p>" + ("<hr>" if i % n == 0 else "") for i in range(10_000))
+    start = time.perf_counter()
+    found = main_texts(spark, [deep("one"), deep("two"), "<form>" * 3000 + "in forms", "</x>" * 100_000 + "ends"])
+    assert found == ["one", "two", "in forms", "ends"]
+    found = main_texts(spark, [wide(7, "a"), wide(11, "b")])
+    assert [len(t.split("\n\n")) for t in found] == [20_000, 20_000] and found[1].startswith("b0\n\np0\n\nb1")
+    assert time.perf_counter() - start < 120
+
+
+def test_marks_and_quotes_hide_no_text(spark):
+    found = main_texts(spark, [
+        "<article><p title=Bob's>Hello it's fine</p><p>second</p></article>",
+        '<article><p class="a"b" >y</p></article>',
+        "<body><form id=aspnet><div class=content><p>the whole page in a form</p></div><input></form></body>",
+        "<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><noscript>plain</noscript><object><p>inside</p></object></article>",
+        "<article><div class='share-price'>12.50</div><section class='social-policy'>policy</section><div class='share-buttons'>tweet</div></article>",
+        "<article><p data-x='a > b' title=\"c > d\">kept</p><p title=>also</p></article>",
+    ])
+    assert found == ["Hello it's fine\n\nsecond", "y", "the whole page in a form", "so x=2 holds\n\nplain\n\ninside", "12.50\n\npolicy", "kept\n\nalso"]
+
+
+def neutral_pages(n):
+    """Pages of a host whose parts have neutral names: a menu and a notice that never change around a text that does."""
+    return [
+        f"<body><div class=a><ul><li>Home<li>News<li>About</ul></div><div class=b>We care about your privacy</div><div class=c><div class=d>"
+        f"<h1>Story {i}</h1><p>text of it {i} {'word ' * (i % 5)}</p><p>Our usual closing line</p></div></div><div class=e>All rights are ours</div></body>"
+        for i in range(n)
+    ]
+
+
+def test_host_with_neutral_names(spark):
+    found = main_texts(spark, neutral_pages(14))
+    for i, text in enumerate(found):
+        assert text == f"Story {i}\n\ntext of it {i} {'word ' * (i % 5)}".strip() + "\n\nOur usual closing line"
+    # two pages tell nothing of a template
+    assert all("Home" in t for t in main_texts(spark, neutral_pages(2)))
+
+
+def test_any_partitioning_gives_one_wrapper(spark):
+    rnd = random.Random(9)
+    rows = []
+    for i in range(120):
+        blocks = "".join(rnd.choice(["<p>x</p>", f"<p>t{i}</p>", "<h2>h</h2>", "<ul><li>1<li>2</ul>", "<div class=q>q</div>"]) for _ in range(rnd.randrange(9)))
+        rows.append((i, f"http://h{i % 3}.example/", f"<body><div class=top>Same</div><div>{blocks}</div></body>" if i % 2 else f"<article>{blocks}</article>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    plain = lambda n: df.repartition(n).selectExpr("regexp_extract(url, '//([^/]*)', 1) as host", "html")
+    one, many = (sorted(map(tuple, wrappers.infer(plain(n)).collect())) for n in (1, 20))
+    assert one == many and len(one) == 6
+    assert sorted(map(tuple, wrappers.main_text(df.repartition(1)).collect())) == sorted(map(tuple, wrappers.main_text(df.repartition(20)).collect()))
