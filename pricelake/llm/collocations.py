@@ -25,7 +25,7 @@ LONGEST, LEAST = 5, 100
 #: Phrases returned per language.
 BEST = 2000
 #: Suffixes in a group: more of one word, or of one pair, are cut by longer prefixes.
-GROUP = 1 << 21
+GROUP = 1 << 19
 #: Words, and pairs, with this share of all words have longer prefixes in small tables too; in large ones at most 16 times as many do.
 SHARES = 4096
 #: Bits of a filter of words or pairs: 16 for each, up to 2^MOST_BITS.
@@ -33,7 +33,7 @@ LEAST_BITS, MOST_BITS = 16, 28
 #: Bytes of text, and rows of a subtree, handled at once.
 CHUNK, ROWS = 1 << 20, 100_000
 #: Rows of phrase counts that are sent to all tasks; more are shuffled.
-SENT = 1_000_000
+SENT = 200_000
 
 UNKNOWN = "und"
 _BREAKS = frozenset(b".,;:!?") | set(range(0x0A, 0x0E))
