@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 
 import numpy as np
@@ -43,14 +44,24 @@ def cuts(capacity: int = CAPACITY) -> list[tuple[int, ...]]:
 class Tokens:
     """Ids of texts by a byte-level BPE vocabulary, whole words remembered."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int]):
         import tiktoken
 
+        self.added = added
+        self.signs = re.compile("|".join(f"({re.escape(sign)})" for sign in added) or r"(?!)")
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.forget()
 
+    def word_ids(self, word: str) -> list[int]:
+        """Ids of a part of a text; an added token in it is one id, and what stands on its sides is encoded apart."""
+        out, at = [], 0
+        for found in self.signs.finditer(word):
+            out += [*self.encode(word[at : found.start()]), self.added[found.group()]]
+            at = found.end()
+        return [*out, *self.encode(word[at:])]
+
     def forget(self):
         self.known: dict[int, int] = {}
         self.starts = np.zeros(1, np.int64)
@@ -82,7 +93,7 @@ class Tokens:
         found = []
         for i, at in zip(fresh.tolist(), where[fresh].tolist()):
             self.known[int(distinct[i])] = slots[i] = len(self.known)
-            found.append(self.encode(raw[starts[at] : ends[at]].decode("utf-8", "replace")))
+            found.append(self.word_ids(raw[starts[at] : ends[at]].decode("utf-8", "replace")))
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         self.flat = np.concatenate([self.flat, np.fromiter((t for f in found for t in f), np.int32, int(lengths.sum()))])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
@@ -93,14 +104,14 @@ class Tokens:
         return self.flat[take], total[np.searchsorted(starts, offsets)]
 
 
-def pieces(docs: DataFrame, ranks_path: str, pattern: str, end: int, capacity: int) -> DataFrame:
+def pieces(docs: DataFrame, ranks_path: str, pattern: str, end: int, capacity: int, added: dict[str, int]) -> DataFrame:
     """Pieces (id, start, length, ids_crc32, doc_tokens, class, worker, nth) of all documents."""
 
     def run(batches):
         from pyspark import TaskContext
 
         worker = TaskContext.get().partitionId()
-        tokens, plan = Tokens(ranks_path, pattern), cuts(capacity)
+        tokens, plan = Tokens(ranks_path, pattern, added), cuts(capacity)
         used = np.zeros(capacity + 1, np.int64)
         for part in A.chunks(batches, "text"):
             ids, at = tokens.ids(*A.text_bytes(part.column("text")))
@@ -137,9 +148,13 @@ def pack(
     text: str = "text",
     end: int = 0,
     capacity: int = CAPACITY,
+    added: dict[str, int] | None = None,
 ) -> DataFrame:
     """A row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
+    Ids are those of the vocabulary's tokenizer; ``added`` are its tokens that
+    stand for a text as a whole (without white space), wherever it occurs.
+
     A document's ids and ``end`` are cut into pieces of ``capacity`` and a
     rest, cut by ``cuts``.  Every task numbers its pieces of each class by
     itself; how many pieces of a class earlier tasks have (one small row per
@@ -153,7 +168,7 @@ def pack(
     empty table gives no rows; extra columns are ignored.
     """
     plain = A.with_small_batches(docs).select(F.col(id).alias("id"), F.col(text).alias("text"))
-    cut = written(pieces(plain, ranks_path, pattern, end, capacity), "pieces")
+    cut = written(pieces(plain, ranks_path, pattern, end, capacity, added or {}), "pieces")
     counts = cut.groupBy("class", "worker").agg(F.count("*").alias("n"))
     before = Window.partitionBy("class").orderBy("worker").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("class", "worker", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))

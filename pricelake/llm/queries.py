@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -51,7 +53,9 @@ def op4_extendible_hash_dedup(spark, sf_dir):
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as file:
+        added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=added)
 
 
 def op5_harmonic_packing(spark, sf_dir):

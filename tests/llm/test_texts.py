@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pricelake.llm import arrays, decontaminate, packing, ppm, quality, quotes, url_filter, wrappers
+from pricelake.llm import arrays, decontaminate, packing, ppm, quality, queries, quotes, url_filter, wrappers
 from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
@@ -34,7 +34,7 @@ ODD = [
 # packing
 
 def packed(spark, rows):
-    return packing.pack(frame(spark, rows), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    return queries.packed(frame(spark, rows))
 
 
 def test_pieces_are_the_tokenizers_ids_and_sequences_are_whole(spark):
@@ -43,7 +43,7 @@ def test_pieces_are_the_tokenizers_ids_and_sequences_are_whole(spark):
     rnd = random.Random(0)
     rows = ODD + [(100 + i, " ".join(rnd.choice(["alpha", "Beta,", "gamma.\nDelta", "1234", "x"]) for _ in range(rnd.randrange(900)))) for i in range(80)]
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
+    rows += [(200 + i, t) for i, t in enumerate(["a  <|endoftext|>  b<|endoftext|><|endoftext|>c", "<|endoftext|>", "x\n\n<|endoftext|>\n y", "<|endoftext|", "été<|endoftext|> 日本"])]
     found = packed(spark, rows).collect()
     got = collections.defaultdict(list)
     for r in found:
@@ -344,16 +344,26 @@ def test_conversations_in_reply_order(spark, monkeypatch):
         (1, 0, "a", "How does it work?\nTell me."), (1, 1, "b", "Other topic entirely"),
         (1, 2, "c", "> how  does it WORK?\n> tell me.\n\nLike this."), (1, 3, "d", ">> How does it work?\n>> Tell me.\n> Like this.\nThanks"),
         (1, 4, "e", "> other topic\n> entirely\nYes"), (1, 5, "f", "> nobody said that\nHm"), (1, 6, "g", "plain"),
-        (2, 0, None, None), (2, 5, "b", ""), (None, 1, "x", "lost"), (3, None, "x", "lost"), (4, 1, "r", "b"), (4, 1, "r", "a"),
+        (2, 0, None, None), (2, 5, "b", ""), (None, 1, "x", "loose"), (3, None, "x", "> so\nloose"), (4, 1, "r", "b"), (4, 1, "r", "a"),
+        (4, 1, "r", "a"), (4, 2, "q", "> b\nto b"),
         (5, 0, "a", "later words"), (5, 1, "b", "> future\nnow"), (5, 2, "c", "future"),
     ]
     df = spark.createDataFrame([(*r, 7, "z") for r in rows], "conv_id long, turn long, role string, text string, n int, hash string")
-    found = {(r.conv_id, r.turn): r for r in quotes.reply_order(df).collect()}
+    every = quotes.reply_order(df).collect()
+    assert len(every) == len(rows)
+    # messages of one turn follow each other, those without a conversation or a turn stand alone
+    same = sorted((r.position, r.parent_turn, r.root_turn, r.text) for r in every if (r.conv_id, r.turn) == (4, 1))
+    assert [p[:3] for p in same] == [(0, None, 1), (1, 1, 1), (2, 1, 1)] and sorted(p[3] for p in same) == ["a", "a", "b"]
+    loose = {(r.conv_id, r.position, r.parent_turn, r.root_turn, r.quotes, r.text) for r in every if r.conv_id is None or r.turn is None}
+    assert loose == {(None, 0, None, 1, 0, "loose"), (3, 0, None, None, 1, "loose")}
+    (reply,) = [r for r in every if (r.conv_id, r.turn) == (4, 2)]
+    assert (reply.position, reply.parent_turn, reply.text) == (3, 1, "to b")
+    found = {(r.conv_id, r.turn): r for r in every if r.conv_id in (1, 2, 5) and r.turn is not None}
     parents = {k: r.parent_turn for k, r in found.items()}
     assert parents == {(1, 0): None, (1, 1): 0, (1, 2): 0, (1, 3): 2, (1, 4): 1, (1, 5): None, (1, 6): 5, (2, 0): None, (2, 5): 0,
-                       (4, 1): None, (5, 0): None, (5, 1): None, (5, 2): 1}
+                       (5, 0): None, (5, 1): None, (5, 2): 1}
     assert [found[(1, t)].position for t in range(7)] == list(range(7)) and found[(1, 6)].root_turn == 5
-    assert found[(1, 2)].text == "Like this." and found[(1, 3)].text == "Thanks" and found[(4, 1)].text == "a" and found[(2, 0)].text == ""
+    assert found[(1, 2)].text == "Like this." and found[(1, 3)].text == "Thanks" and found[(2, 0)].text == ""
     for c in (1, 2, 5):
         own = sorted((r.position, r.turn, r.parent_turn) for k, r in found.items() if k[0] == c)
         assert [p for p, _, _ in own] == list(range(len(own)))
