@@ -7,6 +7,8 @@ to pick cells, so the number of layouts never shows in the plan.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Known column names per field, best first.
@@ -111,17 +113,13 @@ def _words(name: Column) -> Column:
 
 
 def _patterns() -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(field).alias("field"),
-                F.lit(priority).alias("priority"),
-                F.lit(pattern).alias("pattern"),
-            )
-            for field, patterns in FIELD_PATTERNS.items()
-            for priority, pattern in enumerate(patterns)
-        ]
-    )
+    """All patterns as one literal: a session builds it in one step."""
+    rows = [
+        {"field": field, "priority": priority, "pattern": pattern}
+        for field, patterns in FIELD_PATTERNS.items()
+        for priority, pattern in enumerate(patterns)
+    ]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<field: string, priority: int, pattern: string>>")
 
 
 def header_columns(headers: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pricelake.functions import names as N
 from pricelake.operators import match as M, quality as Q
 from pricelake.runtime import written
-from pricelake.schemas import JSON_HEADER
 from pricelake.sources import sniff as S
+from pricelake.sources.documents import document_headers, document_pieces
 
 METADATA = ("facility_name", "city", "state", "address", "file_version", "last_updated")
 SUPPORTED = ("csv", "json", "ndjson")
@@ -73,8 +73,8 @@ def _read_late_headers(heads: DataFrame) -> DataFrame:
     """Header fields of JSON documents whose head did not tell name and address.
 
     They may follow the items: the end of the document tells them then.  Where
-    it does not either, the document itself is read, with nothing but the
-    header fields in the schema.
+    it does not either, they are looked for between the items, in the blocks
+    into which the document is split.
     """
     whole = F.col("late.hospital_name").isNotNull() & F.col("late.hospital_address").isNotNull()
     short = F.col("told.hospital_name").isNull() | F.col("told.hospital_address").isNull()
@@ -83,16 +83,11 @@ def _read_late_headers(heads: DataFrame) -> DataFrame:
         F.col("is_object")
         & (F.col("told.hospital_name").isNull() | F.col("told.hospital_address").isNull())
     )
-    paths = [r.path for r in lacking.select("path").toLocalIterator()]
+    paths = [glob_safe(r.path) for r in lacking.select("path").toLocalIterator()]
     if not paths:
         return heads
-    late = (
-        heads.sparkSession.read.schema(JSON_HEADER)
-        .option("multiLine", True)
-        .json([glob_safe(p) for p in paths])
-        .select(F.col("_metadata.file_path").alias("file"), F.struct(*JSON_HEADER.names).alias("h"))
-        .select("file", S.json_facility(F.col("h")).alias("late"))
-    )
+    headers = document_headers(document_pieces(heads.sparkSession, paths))
+    late = headers.select("file", S.json_facility(F.col("header")).alias("late"))
     return (
         heads.join(late, "file", "left")
         .withColumn("told", F.coalesce("late", "told"))

@@ -10,7 +10,7 @@ from pricelake.operators import match as M
 from pricelake.operators.normalize import FAULT
 from pricelake.schemas import JSON_ITEM, RAW_CHARGES
 from pricelake.sources.catalog import glob_safe
-from pricelake.sources.documents import document_items
+from pricelake.sources.documents import document_items, document_pieces
 from pricelake.sources.records import UNCLOSED_QUOTE, opens_quote, whole_records
 
 RAW_FIELDS = (
@@ -197,12 +197,7 @@ def _document_items(catalog: DataFrame, paths: list[str], in_object: bool) -> Da
     A document that breaks off gives its complete items and a faulty line for
     the one it breaks off in.
     """
-    pieces = catalog.sparkSession.read.text(paths, lineSep="}").select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("source_block"),
-        F.monotonically_increasing_id().alias("source_row"),
-        "value",
-    )
+    pieces = document_pieces(catalog.sparkSession, paths)
     items = document_items(pieces, in_object)
     fault = F.when(F.col("incomplete"), F.lit(INCOMPLETE_ITEM))
     return _charges(items.withColumn("item", F.from_json("item", JSON_ITEM)), catalog, fault)
