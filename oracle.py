@@ -570,6 +570,9 @@ def rough() -> dict[str, str]:
         "stored_two_files": _part_rows(),
         "stored_correction": """select count(*) as rows, sum(cast(p_size as decimal(12,2))) as cash,
             count_if(p_partkey % 7 = 0) as were_aside, 0 as still_aside from part""",
+        "stored_summary": f"""select facility_id, count(*) as total_operations, min(cast(p_size as decimal(10,2))) as min_cash_price,
+            max(cast(p_size as decimal(10,2))) as max_cash_price, round(cast(sum(p_size) as double) / count(*), 4) as avg_cash_price
+          from ({_PARTS}) where r > 0 group by facility_id""",
         "stored_purge": _part_rows(where="(p_partkey % 2 = 1 and r > 0) or (p_partkey % 2 = 0 and r > 1)"),
         "streamed_hospitals": f"""select distinct facility_id, concat('Rough R', cast(r as varchar), ' Hospital') as facility_name,
             'Austin' as city, 'TX' as state, '1 East St, Austin, TX 78613' as address, '2.0.0' as file_version,

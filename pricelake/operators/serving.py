@@ -123,39 +123,42 @@ def with_primary_code(
     return operations
 
 
-def average(price: Column) -> Column:
-    """Mean of a DECIMAL column from its exact sum, so it does not depend on row order."""
-    return F.sum(price).cast("double") / F.count(price)
-
-
-def pricing_summary(hospitals: DataFrame, operations: DataFrame) -> DataFrame:
-    """Counts and cash statistics per hospital; hospitals without operations stay.
-
-    Operations are aggregated before the join: each map task sends one row per
-    facility, so neither their number nor a hot facility matters to the join.
-    """
-    stats = operations.groupBy("facility_id").agg(
+def facility_stats(operations: DataFrame) -> DataFrame:
+    """Count, and exact sums, counts and extremes of the prices, per facility; each map task sends one row per facility."""
+    prices = ("cash_price", "gross_charge")
+    return operations.groupBy("facility_id").agg(
         F.count(F.lit(1)).alias("total_operations"),
-        average(F.col("cash_price")).alias("avg_cash_price"),
-        F.min("cash_price").alias("min_cash_price"),
-        F.max("cash_price").alias("max_cash_price"),
-        average(F.col("gross_charge")).alias("avg_gross_charge"),
+        *[getattr(F, how)(price).alias(f"{how}_{price}") for price in prices for how in ("sum", "min", "max", "count")],
     )
+
+
+def summary_of(hospitals: DataFrame, stats: DataFrame) -> DataFrame:
+    """Counts and cash statistics per hospital from ``facility_stats``; hospitals without operations stay."""
+    mean = lambda price: F.col(f"sum_{price}").cast("double") / F.col(f"count_{price}")
     return hospitals.join(stats, "facility_id", "left").select(
         "facility_id",
         "facility_name",
         "city",
         "state",
         F.coalesce("total_operations", F.lit(0)).alias("total_operations"),
-        "avg_cash_price",
+        mean("cash_price").alias("avg_cash_price"),
         "min_cash_price",
         "max_cash_price",
-        "avg_gross_charge",
+        mean("gross_charge").alias("avg_gross_charge"),
         "last_updated",
         "ingested_at",
     )
 
 
+def pricing_summary(hospitals: DataFrame, operations: DataFrame) -> DataFrame:
+    """Counts and cash statistics per hospital; hospitals without operations stay.
+
+    Operations are aggregated before the join, so neither their number nor a
+    hot facility matters to it.
+    """
+    return summary_of(hospitals, facility_stats(operations))
+
+
 def purge(
     operations: DataFrame, hospitals: DataFrame, facility_ids: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -48,12 +48,12 @@ def best_operations(accepted: DataFrame, dedup: bool = True) -> DataFrame:
     return D.best_records(accepted) if dedup else accepted
 
 
-def to_operations(rows: DataFrame, clock: Column) -> DataFrame:
-    """Rows in the shape of the operations table."""
+def to_operations(rows: DataFrame, clock: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows in the shape of the operations table, and the columns to ``keep`` beside it."""
     return (
         N.with_codes(rows)
         .withColumns({"currency": F.lit("USD"), "ingested_at": clock})
-        .select(*OPERATIONS.names)
+        .select(*OPERATIONS.names, *keep)
     )
 
 

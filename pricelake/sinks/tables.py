@@ -1,14 +1,17 @@
-"""The two tables on storage: reload by file, quarantine, upsert, exports."""
+"""The tables on storage: reload by file, quarantine, code lookups, summaries, upsert, exports."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from pricelake.functions import codes as C, prices as P
-from pricelake.operators import dedup as D, quality as Q
+from pricelake.operators import dedup as D, quality as Q, serving as V
 from pricelake.plans import ingest as I
 from pricelake.runtime import delete_folder, scratch, written
 from pricelake.schemas import POSITION, PRICE_FIELDS, STORED_HOSPITALS, STORED_OPERATIONS
+from pricelake.sinks import generations as G
 
 
 def hot_facilities_split(operations: DataFrame) -> DataFrame:
@@ -42,55 +45,53 @@ def write_operations(operations: DataFrame, path: str) -> None:
     )
 
 
-def write_by_code(operations: DataFrame, path: str) -> None:
-    """A row for every code of every operation, sorted by code inside each facility.
-
-    A lookup of any code then skips row groups by their statistics and opens no
-    map.  ``is_first`` marks one row of an operation that lists a code under
-    several types.
-    """
-    listed = to_table_types(operations).select("*", F.explode("codes").alias("code_type", "listed"))
+def by_code(operations: DataFrame) -> DataFrame:
+    """A row for every code of every operation; ``is_first`` marks one row of an operation that lists a code under several types."""
+    listed = operations.select("*", F.explode("codes").alias("code_type", "listed"))
     listed = listed.select("*", F.explode(F.array_distinct("listed")).alias("code")).drop("listed")
     first = F.array_min(
         F.filter(F.map_keys("codes"), lambda t: F.array_contains(F.element_at("codes", t), F.col("code")))
     )
-    (
-        hot_facilities_split(listed.withColumn("is_first", F.col("code_type") == first))
-        .sortWithinPartitions("facility_id", "code", "code_type")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("facility_id")
-        .parquet(path)
-    )
+    return listed.withColumn("is_first", F.col("code_type") == first)
 
 
 def read_by_code(spark: SparkSession, folder: str, code: str, code_type: str | None = None) -> DataFrame:
-    """Stored operations that list ``code``, under ``code_type`` if given; the filters reach the scan."""
-    extra = [T.StructField("code_type", T.StringType()), T.StructField("code", T.StringType()), T.StructField("is_first", T.BooleanType())]
-    rows = read_table(spark, f"{folder}/operations_by_code", T.StructType([*STORED_OPERATIONS.fields, *extra]))
-    rows = rows.where(F.col("code") == code)
+    """Stored operations that list ``code``, under ``code_type`` if given.
+
+    Rows are dealt to buckets by their code, and only the files of its bucket
+    are opened, however many facilities there are; inside them row groups are
+    skipped by the pushed filter.
+    """
+    rows = G.snapshot(spark, folder).read("operations_by_code", [code]).where(F.col("code") == code)
     rows = rows.where(F.col("is_first") if code_type is None else F.col("code_type") == code_type)
     return rows.select(*STORED_OPERATIONS.names)
 
 
-def write_quarantine(failing: DataFrame, path: str) -> None:
-    """Rows that break table rules, with the names of the rules."""
-    failing.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "facility_id"
-    ).parquet(path)
-
-
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Stored table; the given schema keeps ids that look like numbers text."""
     return spark.read.schema(schema).parquet(path)
 
 
-def read_operations(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, f"{folder}/medical_operations", STORED_OPERATIONS)
+def read_operations(spark: SparkSession, folder: str, facility_id: str | None = None) -> DataFrame:
+    """Stored operations; of one facility only the files of its bucket are opened."""
+    rows = G.snapshot(spark, folder).read("medical_operations", None if facility_id is None else [facility_id])
+    rows = rows if facility_id is None else rows.where(F.col("facility_id") == facility_id)
+    return rows.select(*STORED_OPERATIONS.names)
 
 
 def read_hospitals(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, f"{folder}/hospitals", STORED_HOSPITALS).select(*STORED_HOSPITALS.names)
+    return G.snapshot(spark, folder).read("hospitals")
+
+
+def read_quarantine(spark: SparkSession, folder: str, table: str = "operations") -> DataFrame:
+    """Operations or hospitals that break table rules, with the names of the rules."""
+    return G.snapshot(spark, folder).read(f"quarantine_{table}").drop("group_hash")
+
+
+def read_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and cash statistics per stored hospital, from what is kept per facility; no operations are read."""
+    found = G.snapshot(spark, folder)
+    return V.summary_of(found.read("hospitals"), found.read("summaries"))
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -163,84 +164,101 @@ def write_hospitals(hospitals: DataFrame, path: str, now: Column | None = None,
     _replace(merged.select(*STORED_HOSPITALS.names), touched, path)
 
 
-def _drop_emptied(spark: SparkSession, path: str, touched: DataFrame, filled: DataFrame) -> None:
-    """Delete the folders of touched facilities that have no rows any more."""
-    if not table_exists(spark, path):
-        return
-    gone = touched.select("facility_id").join(filled.select("facility_id").distinct(), "facility_id", "left_anti")
-    for r in gone.toLocalIterator():
-        delete_folder(spark, f"{path}/facility_id={r.facility_id}")
-
-
 ORPHANED = "hospital_quarantined"
+#: Tables written at once.
+WRITERS = 4
 
 
 def store(result, folder: str, now: Column | None = None) -> None:
     """Both tables of an ingest run under ``folder``, broken rows set aside.
 
     A file that is loaded again replaces what it gave before and nothing else:
-    the best records of each (facility, file) are kept beside the tables, and
-    the facilities at hand (also those that lose a file, or all rows) are built
-    anew from them.  Operations of a hospital that breaks the rules are set
-    aside too.  Loading the same files in any order and number of runs gives
-    the same tables, so a run that stops in between is repaired by repeating it.
+    the best records of each (facility, file) are kept beside the tables.
+    Built anew and written are the groups of duplicates that the files at hand
+    hold or held, so what is written follows the run, not the facilities; all
+    groups of a facility are, if its hospital row comes to break the rules, or
+    to keep them.  Operations of a hospital that breaks them are set aside too.
+
+    All tables are published by one commit (see ``generations``): a run that
+    stops before it leaves them as they were, and repeating a run changes
+    nothing.
     """
     spark = result.catalog.sparkSession
     with scratch(spark):
         _store(spark, result, folder, now)
 
 
+def _with_hash(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("group_hash", F.xxhash64(*D.GROUP_KEY))
+
+
 def _store(spark: SparkSession, result, folder: str, now: Column | None) -> None:
     options = result.options
-    state, files_path = f"{folder}/state", f"{folder}/files"
+    now = F.current_timestamp() if now is None else now
+    found = G.snapshot(spark, folder)
     files = written(I.loaded_files(result.catalog), "files")
     accepted = result.lines.where(F.col("accepted")).drop("accepted", "reasons")
     fresh = D.best_records(accepted, by=("source_file",)) if options.dedup else accepted.drop("setting")
-    columns = [*D.GROUP_KEY, *PRICE_FIELDS, *POSITION]
-    fresh = fresh.select(*columns)
-    touched = files.select("facility_id")
+    columns = [*D.GROUP_KEY, *PRICE_FIELDS, *POSITION, "group_hash"]
+    fresh = written(_with_hash(fresh).select(*columns), "fresh")
     loaded = files.select("source_file")
-    old_files = None
-    if table_exists(spark, files_path):
-        old_files = read_table(spark, files_path, files.schema).select(*files.columns)
-        touched = touched.union(old_files.join(loaded, "source_file", "left_semi").select("facility_id"))
+    old_files = found.read("files")
+    touched = files.select("facility_id").union(old_files.join(loaded, "source_file", "left_semi").select("facility_id"))
     touched = written(touched.distinct(), "touched")
-    records = fresh
-    if table_exists(spark, state):
-        old = read_table(spark, state, fresh.schema).join(touched, "facility_id", "left_semi")
-        records = fresh.unionByName(old.join(loaded, "source_file", "left_anti").select(*columns))
-    records = written(records, "records")
-    if old_files is not None:
-        kept = old_files.join(touched, "facility_id", "left_semi").join(loaded, "source_file", "left_anti")
-        files = written(files.unionByName(kept), "files")
-
+    kept_files = old_files.join(touched, "facility_id", "left_semi").join(loaded, "source_file", "left_anti")
+    files = written(files.unionByName(kept_files), "files")
     hospitals = written(Q.check_hospitals(I.latest_of_files(files, options.clock())), "hospitals")
     sound = Q.passing(hospitals)
-    operations = I.to_operations(I.best_operations(records, options.dedup), options.clock())
+
+    # Groups to build anew: those of the files at hand, as they are and as they were, and of hospitals that change sides.
+    key = [*D.GROUP_KEY, "group_hash"]
+    groups, records, stored = fresh.select(*key), fresh, None
+    if found.generations:
+        stored = found.read("hospitals").join(touched, "facility_id", "left_semi")
+        near = _touched_buckets(found, touched, "state")
+        old = near.join(touched, "facility_id", "left_semi")
+        replaced = old.join(loaded, "source_file", "left_semi")
+        others = old.join(loaded, "source_file", "left_anti")
+        sides = stored.select("facility_id", F.lit(1).alias("side")).union(sound.select("facility_id", F.lit(-1)))
+        turned = sides.groupBy("facility_id").agg(F.sum("side").alias("side")).where("side != 0").select("facility_id")
+        groups = groups.union(replaced.select(*key)).union(others.join(turned, "facility_id", "left_semi").select(*key))
+        groups = written(groups.distinct(), "groups")
+        records = fresh.unionByName(others.join(groups, key, "left_semi").select(*columns))
+    winners = _with_hash(I.best_operations(records.drop("group_hash"), options.dedup))
+    operations = I.to_operations(winners, options.clock(), keep=("group_hash",))
     checked = Q.check_operations(operations).join(
         sound.select("facility_id", F.lit(True).alias("sound")), "facility_id", "left"
     )
     rules = F.when(F.col("sound"), F.col("broken_rules")).otherwise(F.array_append("broken_rules", F.lit(ORPHANED)))
-    checked = checked.withColumn("broken_rules", rules).drop("sound")
-    checked = written(checked.withColumn("passes", F.size("broken_rules") == 0), "checked", ("passes",))
-    passing = checked.where("passes").drop("passes", "broken_rules")
-    failing = checked.where("NOT passes").drop("passes")
-
-    hot_facilities_split(records).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("facility_id").parquet(state)
-    _drop_emptied(spark, state, touched, records)
-    write_operations(passing, f"{folder}/medical_operations")
-    _drop_emptied(spark, f"{folder}/medical_operations", touched, passing)
-    write_by_code(passing, f"{folder}/operations_by_code")
-    _drop_emptied(spark, f"{folder}/operations_by_code", touched, passing)
-    write_quarantine(failing, f"{folder}/quarantine/medical_operations")
-    _drop_emptied(spark, f"{folder}/quarantine/medical_operations", touched, failing)
-    write_hospitals(sound, f"{folder}/hospitals", now, touched)
-    broken = Q.failing(hospitals)
-    write_quarantine(broken, f"{folder}/quarantine/hospitals")
-    _drop_emptied(spark, f"{folder}/quarantine/hospitals", touched, broken)
-    _replace(files, touched, files_path)
+    checked = written(checked.withColumn("broken_rules", rules).drop("sound"), "checked")
+    passing = to_table_types(Q.passing(checked))
+
+    name = G.new_name(found)
+    known = None if stored is None else stored.join(sound.select("facility_id"), "facility_id", "left_semi")
+    rows = {
+        "state": fresh,
+        "medical_operations": passing,
+        "operations_by_code": by_code(passing),
+        "quarantine_operations": Q.failing(checked),
+        "hospitals": upsert(known, sound, "facility_id", now),
+        "quarantine_hospitals": Q.failing(hospitals),
+        "files": files,
+    }
+    if found.generations:
+        rows |= {"groups": groups.select(*G.REPLACED["groups"]).distinct(), "loaded": loaded.distinct(), "touched": touched}
+    # Nothing reads a generation before it is published, so its tables may be written side by side.
+    with ThreadPoolExecutor(WRITERS) as pool:
+        list(pool.map(lambda table: G.write(rows[table], folder, table, name), rows))
+    new = found.with_generation(G.finished(spark, folder, name))
+    whole = _touched_buckets(new, touched, "medical_operations").join(touched, "facility_id", "left_semi")
+    G.write(V.facility_stats(whole), folder, "summaries", name)
+    G.commit(found, name)
+
+
+def _touched_buckets(found: G.Snapshot, touched: DataFrame, table: str) -> DataFrame:
+    """Rows of ``table`` in the buckets of the touched facilities; of many facilities all rows are looked through."""
+    few = [r.facility_id for r in touched.limit(G.TABLES[table].buckets + 1).collect()]
+    return found.read(table, few if len(few) <= G.TABLES[table].buckets else None)
 
 
 def export_text(df: DataFrame) -> DataFrame:
@@ -287,31 +305,24 @@ def purge_tables(spark: SparkSession, folder: str, facility_ids: list[str] | Non
     """Delete facilities (all when None) from both stored tables; rows deleted per table.
 
     What is kept beside the tables goes too, so a later run does not bring the
-    rows back.  Facilities are partitions, whose folders are removed; of the
-    small tables the parts at hand are rewritten.
+    rows back.  A commit takes them out of all tables at once.
     """
-    schemas = {"medical_operations": STORED_OPERATIONS, "hospitals": STORED_HOSPITALS}
+    found = G.snapshot(spark, folder)
+    if not found.generations:
+        return {"medical_operations": 0, "hospitals": 0}
     deleted = {}
-    for table, schema in schemas.items():
-        deleted[table] = 0
-        if table_exists(spark, f"{folder}/{table}"):
-            rows = read_table(spark, f"{folder}/{table}", schema)
-            if facility_ids is not None:
-                rows = rows.where(F.col("facility_id").isin(*facility_ids))
-            deleted[table] = rows.count()
-    by_facility = ("medical_operations", "operations_by_code", "state", "quarantine/medical_operations", "quarantine/hospitals")
+    for table in ("medical_operations", "hospitals"):
+        rows = found.read(table, facility_ids)
+        if facility_ids is not None:
+            rows = rows.where(F.col("facility_id").isin(*facility_ids))
+        deleted[table] = rows.count()
     if facility_ids is None:
-        for table in (*by_facility, "hospitals", "files"):
-            delete_folder(spark, f"{folder}/{table}")
+        G.publish(G.Snapshot(spark, folder, found.number + 1))
+        G.vacuum(spark, folder)
         return deleted
-    for table in by_facility:
-        for facility_id in facility_ids:
-            delete_folder(spark, f"{folder}/{table}/facility_id={facility_id}")
-    with scratch(spark):
-        gone = spark.createDataFrame([(f,) for f in facility_ids], "facility_id string")
-        for table in ("hospitals", "files"):
-            path = f"{folder}/{table}"
-            if table_exists(spark, path):
-                rows = spark.read.parquet(path).drop("bucket")
-                _replace(rows.limit(0), gone, path)
+    gone = spark.createDataFrame([(f,) for f in facility_ids], "facility_id string")
+    name = G.new_name(found)
+    G.write(gone, folder, "touched", name)
+    G.write(gone, folder, "cleared", name)
+    G.commit(found, name)
     return deleted

@@ -2,8 +2,9 @@
 
 The stream carries file names only; what a file holds is read by the batch
 plan, which copes with a different layout per file.  Every micro-batch is
-stored as a batch run is: what a file gave before is replaced, and the tables
-are rebuilt for the facilities at hand.  So repeating a batch after a failure
+stored as a batch run is: what a file gave before is replaced, and the groups
+of duplicates that it touches are merged with the stored ones and written; the
+rest of a facility stays as it lies.  So repeating a batch after a failure
 changes nothing, and the result does not depend on how files arrive.
 """
 
@@ -34,13 +35,10 @@ def merge_batch(
     options: I.Options = I.Options(),
     metadata: DataFrame | None = None,
 ) -> None:
-    """Ingest ``files`` and refresh the facilities they belong to."""
+    """Ingest ``files`` and merge what they change into the tables."""
     spark = files.sparkSession
     with scratch(spark):
-        stored = None
-        if W.table_exists(spark, f"{target}/hospitals"):
-            stored = W.read_hospitals(spark, target)
-        result = I.ingest_files(written(files, "batch"), options, metadata, stored)
+        result = I.ingest_files(written(files, "batch"), options, metadata, W.read_hospitals(spark, target))
         W.store(result, target, options.clock())
 
 

@@ -712,6 +712,17 @@ def stored_code_lookup(spark, sf):
     return op_rows(W.read_by_code(spark, target, "0476"))
 
 
+@query
+def stored_summary(spark, sf):
+    """The summary kept with the tables: loaded, corrected by a second load, and one facility purged."""
+    target = new_folder(spark, "tables")
+    _delivered(spark, sf, target, new_folder(spark, "in"), "plain", "p_partkey % 2 = 0")
+    _delivered(spark, sf, target, new_folder(spark, "in"), "plain", "p_partkey % 2 = 1")
+    W.purge_tables(spark, target, ["roug-r0-hosp"])
+    rows = W.read_summary(spark, target)
+    return rows.select("facility_id", "total_operations", "min_cash_price", "max_cash_price", F.round("avg_cash_price", 4).alias("avg_cash_price"))
+
+
 def _delivered(spark, sf, target, inbox, kind, where="true"):
     U.write(spark, sf, kind, inbox, where)
     result = I.ingest_files(S.manifest(spark, inbox + "/r=*"), I.Options(ingested_at=THEN))
@@ -732,9 +743,9 @@ def stored_correction(spark, sf):
     """Rows set aside by their price come in by a corrected file, and leave the quarantine."""
     target, inbox = new_folder(spark, "tables"), new_folder(spark, "in")
     _delivered(spark, sf, target, inbox, "faulty")
-    aside = spark.read.parquet(f"{target}/quarantine/medical_operations").count()
+    aside = W.read_quarantine(spark, target).count()
     _delivered(spark, sf, target, inbox, "plain")
-    left = len(list(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{target}/quarantine").select("path").toLocalIterator()))
+    left = W.read_quarantine(spark, target).count()
     rows = op_rows(W.read_operations(spark, target))
     return rows.agg(F.count("*").alias("rows"), F.sum("cash_price").alias("cash")).withColumns(
         {"were_aside": F.lit(aside), "still_aside": F.lit(left)}

@@ -175,7 +175,7 @@ def test_store_is_idempotent_and_keeps_other_facilities(spark):
     got = {r.facility_id: r for r in W.read_hospitals(spark, target).collect()}
     assert (got["007"].file_version, got["007"].updated_at) == ("1", DAY_1)
     assert (got["b"].file_version, got["b"].created_at, got["b"].updated_at) == ("2", DAY_1, DAY_2)
-    set_aside = spark.read.parquet(f"{target}/quarantine/medical_operations").collect()
+    set_aside = W.read_quarantine(spark, target).collect()
     assert [(r.description, r.broken_rules) for r in set_aside] == [("y", ["negotiated_range"])]
 
     assert W.purge_tables(spark, target, ["b"]) == {"medical_operations": 1, "hospitals": 1}

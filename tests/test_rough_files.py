@@ -194,11 +194,11 @@ def test_corrected_rows_leave_the_quarantine(spark, tmp_path):
     (inbox / "a.csv").write_text(meta("Home Clinic") + HEADER + line("a", 1) + line("huge", 2, 10**12))
     W.store(ingest(spark, inbox), lake)
     assert [d for _, d in stored(spark, lake)] == ["a"]
-    assert spark.read.parquet(f"{lake}/quarantine/medical_operations").count() == 1
+    assert W.read_quarantine(spark, lake).count() == 1
     (inbox / "a.csv").write_text(meta("Home Clinic") + HEADER + line("a", 1) + line("huge", 2, 10))
     W.store(ingest(spark, inbox), lake)
     assert [d for _, d in stored(spark, lake)] == ["a", "huge"]
-    assert not [f for f in os.listdir(f"{lake}/quarantine/medical_operations") if f.startswith("facility")]
+    assert W.read_quarantine(spark, lake).count() == 0
 
 
 def test_operations_of_a_quarantined_hospital_are_set_aside(spark, tmp_path):
@@ -208,7 +208,7 @@ def test_operations_of_a_quarantined_hospital_are_set_aside(spark, tmp_path):
     (inbox / "b.csv").write_text(meta("Other House") + HEADER + line("b", 1))
     W.store(ingest(spark, inbox), lake)
     assert [d for _, d in stored(spark, lake)] == ["b"] and W.read_hospitals(spark, lake).count() == 1
-    aside = spark.read.parquet(f"{lake}/quarantine/medical_operations").first()
+    aside = W.read_quarantine(spark, lake).first()
     assert aside.description == "a" and W.ORPHANED in aside.broken_rules
 
 
