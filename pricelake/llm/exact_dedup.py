@@ -46,12 +46,14 @@ def exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", ca
     Texts are equal when their bytes are; of equal ones the largest id stays.
 
     1. Every text is read once into its 64-bit key and SHA-256, written to the shared folder.
-    2. The keys go to the buckets of an extendible-hash directory; an owner
-       task takes the key ranges of its buckets and writes them, in order,
-       with the number of rows of each key.
-    3. The rows of keys held more than once are chained: grouping by key and
-       text compares bytes (in each task first, so a group of copies sends one
-       row per task), and a key that different texts share has a link for each.
+    2. The directory of an extendible hash table over the keys deals every row
+       to a bucket; owner tasks take the key ranges of their buckets.
+    3. Owners write the buckets' files, in order: a link for every text of a
+       key, with the largest id and the number of its rows.  Where rows share
+       a key, bytes are compared (in each task first, so a group of copies
+       sends one row per task), and different texts make a chain of links.
+    4. Every document finds its bucket through the directory, its key in the
+       bucket and its link in the chain, which tells what becomes of it.
 
     Cases: a NULL text is the empty one; repeated rows and rows that share an
     id and a text share its fate; rows with a NULL id never win against an id,
@@ -63,30 +65,36 @@ def exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", ca
     )
     rows = written(plain.select("id", "key", F.sha2("text", 256).alias("text_sha256")), "keyed-rows")
     keys = written(rows.groupBy("key").agg(F.count("*").alias("rows")), "keys")
-    table = directory(keys, capacity)
+    table = written(directory(keys, capacity), "directory")
+    links = written(bucket_files(plain, rows, keys, table), "index")
+    found = in_buckets(rows, table).join(links, ["bucket", "key", "text_sha256"])
+    return found.select(
+        F.col("id").alias(id),
+        "keep_id",
+        "group_size",
+        F.col("keep_id").eqNullSafe(F.col("id")).alias("kept"),
+        "text_sha256",
+    )
+
+
+def in_buckets(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` (with ``key``) with the ``bucket`` that the directory's cell of the key points to."""
     depth = table.select("global_depth").first()
-    index = keys.withColumn("cell", cell(depth[0] if depth else 1)).join(table.select("cell", "bucket"), "cell")
-    index = index.select("bucket", "key", "rows").repartition("bucket").sortWithinPartitions("bucket", "key")
-    index = written(index, "index")
+    # a cell for some ten thousand keys at most: the directory is small beside the rows
+    return rows.withColumn("cell", cell(depth[0] if depth else 1)).join(table.select("cell", "bucket"), "cell").drop("cell")
 
-    shared = index.where("rows > 1").select("key", "bucket")
+
+def bucket_files(plain: DataFrame, rows: DataFrame, keys: DataFrame, table: DataFrame) -> DataFrame:
+    """Links (bucket, key, text_sha256, keep_id, group_size) of all texts, in the order of buckets and keys."""
+    shared = keys.where("rows > 1").select("key")
     if shared.count() <= BROADCAST_KEYS:
         shared = F.broadcast(shared)
-    chains = (
+    single = rows.join(shared, "key", "left_anti").select("key", "text_sha256", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    chained = (
         plain.join(shared, "key")
-        .groupBy("bucket", "key", "text")
+        .groupBy("key", "text")
         .agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
         .select("key", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
     )
-    chains = written(chains, "chains").withColumn("chained", F.lit(True))
-    keep = F.when(F.col("chained"), F.col("keep_id")).otherwise(F.col("id"))
-    return (
-        rows.join(chains, ["key", "text_sha256"], "left")
-        .select(
-            F.col("id").alias(id),
-            keep.alias("keep_id"),
-            F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-            keep.eqNullSafe(F.col("id")).alias("kept"),
-            "text_sha256",
-        )
-    )
+    links = in_buckets(single.unionByName(chained), table)
+    return links.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key", "text_sha256")
