@@ -80,10 +80,12 @@ def reply_order(
     the one it replies to.
 
     Cases: a NULL or empty text quotes nothing and stays as an empty message;
-    a quote of a later or of no message is dropped without a link; rows with a
-    NULL conversation or turn can't be ordered and are left out; of rows that
-    repeat conversation and turn the least text counts; extra columns are
-    ignored.  A conversation of any length is ordered by ranges of turns.
+    a quote of a later or of no message is dropped without a link; a row with
+    a NULL conversation or turn is a conversation of its own (position 0, no
+    parent, its turn as the root); rows of one conversation and turn are
+    messages that follow each other in an order that their text and role
+    decide, so none is lost; extra columns are ignored.  A conversation of any
+    length is ordered by ranges of turns.
     """
 
     def run(batches):
@@ -104,16 +106,19 @@ def reply_order(
 
     plain = messages.select(
         F.col(conversation).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).alias("text")
-    ).where("conv IS NOT NULL AND turn IS NOT NULL")
-    plain = plain.groupBy("conv", "turn").agg(F.min(F.struct("text", "role")).alias("m")).select("conv", "turn", "m.role", "m.text")
-    kind = plain.schema["conv"].dataType.simpleString()
-    parsed = written(
-        plain.mapInArrow(
-            run,
-            f"conv {kind}, turn long, role string, text string, quotes int, said array<long>, quoted array<struct<level: int, hash: long, whole: boolean, lines: int>>",
-        ),
-        "messages",
     )
+    alone = plain.where("conv IS NULL OR turn IS NULL")
+    plain = plain.where("conv IS NOT NULL AND turn IS NOT NULL")
+    # messages of one turn are told apart by turns of their own between it and the next
+    most = plain.groupBy("conv", "turn").count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
+    if most > 1:
+        cells = F.pmod(F.xxhash64("text", "role"), F.lit(1 << 16))
+        plain = ranks.positions(plain, cells, [F.col("text"), F.col("role")], "nth", ["conv", "turn"])
+        plain = plain.withColumn("turn", F.col("turn") * most + F.col("nth")).drop("nth")
+    real = lambda name: F.expr(f"({name} - pmod({name}, {most})) div {most}").alias(name)
+    kind = plain.schema["conv"].dataType.simpleString()
+    schema = f"conv {kind}, turn long, role string, text string, quotes int, said array<long>, quoted array<struct<level: int, hash: long, whole: boolean, lines: int>>"
+    parsed = written(plain.mapInArrow(run, schema), "messages")
     quoted = parsed.where("quotes > 0").select("conv", "turn", F.explode("quoted").alias("q"))
     quoted = quoted.select("conv", "turn", "q.*")
     said = parsed.select("conv", "turn", F.explode("said").alias("hash"))
@@ -140,16 +145,15 @@ def reply_order(
     tied = written(tied.withColumn("parent_turn", parent).drop("linked", "before"), "replies")
     roots = roots_of(tied.where("parent_turn IS NOT NULL").select("conv", "turn", F.col("parent_turn").alias("up")))
     threads = tied.join(roots, ["conv", "turn"], "left").withColumn("root_turn", F.coalesce("root", "turn")).drop("root")
-    return _in_order(written(threads, "threads")).select(
-        F.col("conv").alias(conversation),
-        "position",
-        F.col("turn").alias(turn),
-        "parent_turn",
-        "root_turn",
-        "quotes",
-        F.col("role").alias(role),
-        F.col("text").alias(text),
+    ordered = _in_order(written(threads, "threads")).select(
+        "conv", "position", *[real(c) for c in ("turn", "parent_turn", "root_turn")], "quotes", "role", "text"
+    )
+    none = F.lit(None).cast("long")
+    loose = alone.mapInArrow(run, schema).select(
+        "conv", F.lit(0).cast("long").alias("position"), "turn", none.alias("parent_turn"), F.col("turn").alias("root_turn"), "quotes", "role", "text"
     )
+    names = [conversation, "position", turn, "parent_turn", "root_turn", "quotes", role, text]
+    return ordered.unionByName(loose).toDF(*names)
 
 
 def roots_of(ups: DataFrame) -> DataFrame:
