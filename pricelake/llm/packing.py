@@ -49,8 +49,11 @@ class Tokens:
 
         self.added = added
         self.signs = re.compile("|".join(f"({re.escape(sign)})" for sign in added) or r"(?!)")
+        self.sign_bytes = [sign.encode() for sign in added]
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.sizes[list(ranks.values())] = [len(token) for token in ranks]
         self.encode = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.forget()
 
@@ -62,6 +65,35 @@ class Tokens:
             at = found.end()
         return [*out, *self.encode(word[at:])]
 
+    def parts_ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of parts of texts: in which order the parts are taken, all their ids, and how many each has.
+
+        Parts that begin with white space and end so that no token reaches
+        over are put one behind the other and encoded as one text; the bytes
+        of its tokens tell where each part's ids end.
+        """
+        raw = data.tobytes()
+        parts = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+        two = (ends - starts >= 2) & (data[ends - 1] >= 0x80) & (data[ends - 2] >= 0xC3) & (data[ends - 2] <= 0xDF)
+        joins = _SPACE[data[starts]] & (_SIGN[data[ends - 1]] | two)
+        together = b"".join(parts)
+        if any(sign in together for sign in self.sign_bytes):
+            joins &= np.array([not any(sign in part for sign in self.sign_bytes) for part in parts])
+        chosen = np.flatnonzero(joins)
+        try:
+            ids = np.array(self.encode(b"".join([parts[i] for i in chosen.tolist()]).decode()), np.int32)
+        except UnicodeDecodeError:
+            chosen, ids = chosen[:0], np.empty(0, np.int32)
+        bounds, tops = np.cumsum((ends - starts)[chosen]), np.cumsum(self.sizes[ids])
+        lasts = np.searchsorted(tops, bounds)
+        if len(chosen) and not np.array_equal(tops[np.minimum(lasts, len(tops) - 1)], bounds):
+            chosen, ids, lasts = chosen[:0], ids[:0], lasts[:0]
+        others = np.setdiff1d(np.arange(len(parts)), chosen)
+        alone = [self.word_ids(parts[i].decode("utf-8", "replace")) for i in others.tolist()]
+        counts = np.concatenate([np.diff(lasts + 1, prepend=0), np.fromiter(map(len, alone), np.int64, len(alone))])
+        rest = np.fromiter((t for f in alone for t in f), np.int32)
+        return np.concatenate([chosen, others]), np.concatenate([ids, rest]), counts
+
     def forget(self):
         self.known: dict[int, int] = {}
         self.starts = np.zeros(1, np.int64)
@@ -89,13 +121,12 @@ class Tokens:
             self.forget()
         slots = np.array([self.known.get(h, -1) for h in distinct.tolist()], np.int64)
         fresh = np.flatnonzero(slots < 0)
-        raw = data.tobytes()
-        found = []
-        for i, at in zip(fresh.tolist(), where[fresh].tolist()):
-            self.known[int(distinct[i])] = slots[i] = len(self.known)
-            found.append(self.word_ids(raw[starts[at] : ends[at]].decode("utf-8", "replace")))
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.flat = np.concatenate([self.flat, np.fromiter((t for f in found for t in f), np.int32, int(lengths.sum()))])
+        at = where[fresh]
+        order, found, lengths = self.parts_ids(data, starts[at], ends[at])
+        fresh, first = fresh[order], len(self.known)
+        slots[fresh] = np.arange(first, first + len(fresh))
+        self.known.update(zip(distinct[fresh].tolist(), slots[fresh].tolist()))
+        self.flat = np.concatenate([self.flat, found])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
         slots = slots[back]
         counts = self.starts[slots + 1] - self.starts[slots]
