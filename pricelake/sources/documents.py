@@ -68,7 +68,7 @@ def _joined(values: pa.Array) -> bytes:
     return b"".join(v + b"}" for v in values.cast(pa.binary()).to_pylist())
 
 
-def _runs(keys: list[np.ndarray | list]) -> Iterator[tuple[int, int]]:
+def runs(keys: list[np.ndarray | list]) -> Iterator[tuple[int, int]]:
     """Ranges of rows with equal keys."""
     n = len(keys[0])
     changed = np.zeros(n, bool)
@@ -96,7 +96,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = batch.column("file").dictionary_encode()
         code = files.indices.to_numpy()
         block = batch.column("source_block").to_numpy()
-        for a, b in _runs([code, block]):
+        for a, b in runs([code, block]):
             key = (files.dictionary[int(code[a])].as_py(), int(block[a]))
             if key != now:
                 if now is not None:
@@ -288,7 +288,7 @@ def _cutting(base: int, items: bool):
             if not batch.num_rows:
                 continue
             columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("block_no", "inside", "depth", "first", "last")]
-            for a, b in _runs(columns[:1]):
+            for a, b in runs(columns[:1]):
                 state = [c[a].item() for c in columns]
                 text = _joined(batch.column("value").slice(a, b - a))
                 if block is None or block.no != state[0]:

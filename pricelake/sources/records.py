@@ -5,13 +5,28 @@ is a character like any other.  So a line has one of two effects on what
 follows, depending on whether it starts a record or lies inside a quoted cell,
 and effects of lines that follow each other combine to one effect.  They are
 combined inside each file block and then over the blocks of a file, so blocks
-are worked on in parallel and a record may cross any number of them.
+are worked on in parallel and a record may cross any number of them.  Lines
+pass through a task one batch after the other, none holds a block; only what
+lies at the edges of blocks is shuffled.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pricelake.runtime import written
+from pricelake.sources.documents import SENT_BLOCKS, runs
+
+# Executors need not have this package installed: what they run is sent along.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 UNCLOSED_QUOTE = "unclosed_quote"
 
 # What is inside quotes: anything but quotes, and pairs of them.
@@ -34,82 +49,185 @@ def stays_open(line: Column) -> Column:
     return ~F.contains(line, F.lit('"')) | line.rlike(_OPEN_FROM_OPEN)
 
 
+_EFFECTS = "file string, source_block long, open_0 int, open_1 int, starts_0 long, starts_1 long"
+_RECORDS = "file string, source_block long, source_row long, value string, unclosed boolean, record_block long, record_number long"
+
+
+def line_states(opens: np.ndarray, stays: np.ndarray, start: int) -> np.ndarray:
+    """Whether each line starts inside a quoted cell, and at the end whether the last one ends there.
+
+    A line ends the same way however it starts, turns the state round, or
+    leaves it.  The state after some lines is that of the last fixed one, or
+    else the first, turned by the turns since.
+    """
+    n = len(opens)
+    turned, last = np.zeros(n + 1, np.int64), np.full(n + 1, -1)
+    turned[1:] = np.cumsum((opens == 1) & (stays == 0))
+    last[1:] = np.maximum.accumulate(np.where(opens == stays, np.arange(n), -1))
+    fixed = last >= 0
+    return (np.where(fixed, opens[last], start) + turned - np.where(fixed, turned[last + 1], 0)) % 2
+
+
+def _block_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Lines of one block that follow each other, with the file and place of the block."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        files = batch.column("file").dictionary_encode()
+        code, block = files.indices.to_numpy(), batch.column("source_block").to_numpy()
+        for a, b in runs([code, block]):
+            yield (files.dictionary[int(code[a])].as_py(), int(block[a])), batch.slice(a, b - a)
+
+
+def _flags(lines: pa.RecordBatch, name: str) -> np.ndarray:
+    return lines.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _block_effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per block: for both states in which it may start, how it ends and how many records start in it."""
+    now, ends, starts = None, [0, 1], [0, 0]
+
+    def row():
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        names = ["file", "source_block", "open_0", "open_1", "starts_0", "starts_1"]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*now, *ends, *starts), kinds)], names=names)
+
+    for key, lines in _block_runs(batches):
+        if key != now:
+            if now is not None:
+                yield row()
+            now, ends, starts = key, [0, 1], [0, 0]
+        opens, stays = _flags(lines, "opens"), _flags(lines, "stays")
+        for s in (0, 1):
+            states = line_states(opens, stays, ends[s])
+            starts[s] += int((states[:-1] == 0).sum())
+            ends[s] = int(states[-1])
+    if now is not None:
+        yield row()
+
+
+def _rows(lines: pa.RecordBatch, value: pa.Array, unclosed: pa.Array, record: tuple[int, int] | None) -> pa.RecordBatch:
+    n = len(value)
+    same = lambda i: pa.nulls(n, pa.int64()) if record is None else pa.repeat(pa.scalar(record[i], pa.int64()), n)
+    return pa.RecordBatch.from_arrays(
+        [*[lines.column(c) for c in ("file", "source_block", "source_row")], value, unclosed, same(0), same(1)],
+        names=["file", "source_block", "source_row", "value", "unclosed", "record_block", "record_number"],
+    )
+
+
+def _cutting(crossing: bool):
+    """Lines of blocks to the records that lie in one block, or, ``crossing``, to the lines of those that reach into another."""
+
+    def parts(lines, record):
+        return _rows(lines, lines.column("value"), pa.repeat(pa.scalar(False), lines.num_rows), record)
+
+    def run(batches):
+        now, state, number, held = None, 0, 0, []
+        for key, lines in _block_runs(batches):
+            if key != now:
+                if crossing:
+                    yield from (parts(h, (now[1], number)) for h in held)
+                now, state, number, held = key, lines.column("open")[0].as_py(), 0, []
+            lost = lines.column("lost")[0].as_py()
+            states = line_states(_flags(lines, "opens"), _flags(lines, "stays"), state)
+            begins = states[:-1] == 0
+            numbers = number + np.cumsum(begins)
+            state, number = int(states[-1]), int(numbers[-1])
+            # what belongs to the record before the block, records that start in it, and the one that is never closed
+            end = int(np.searchsorted(numbers, lost)) if lost >= 0 else len(numbers)
+            first = min(int(np.searchsorted(numbers, 1)), end)
+            if end < len(numbers) and not crossing:
+                loose = lines.slice(end)
+                yield _rows(loose, loose.column("value"), pa.array(begins[end:]), None)
+            if first and crossing:
+                carried = (lines.column("carried_block")[0].as_py(), lines.column("carried_number")[0].as_py())
+                yield parts(lines.slice(0, first), carried)
+            if first == end:
+                continue
+            at = first + np.flatnonzero(begins[first:end])
+            open_at = end if end < len(numbers) or not state else (int(at[-1]) if len(at) else first)
+            if not crossing and (open_at > first or held and len(at)):
+                own = pa.Table.from_batches([*held, lines.slice(first, open_at - first)]).combine_chunks()
+                before = sum(h.num_rows for h in held)
+                places = at[at < open_at] - first + before
+                places = np.concatenate([[0], places]) if held else places
+                own = own.to_batches()[0]
+                value = own.column("value")
+                if len(places) < own.num_rows:
+                    offsets = pa.array(np.append(places, own.num_rows), pa.int32())
+                    value = pc.binary_join(pa.ListArray.from_arrays(offsets, value), "\n")
+                    own = own.take(pa.array(places))
+                yield _rows(own, value, pa.repeat(pa.scalar(False), len(value)), None)
+            if open_at == end:
+                held = []
+            elif len(at):
+                held = [lines.slice(open_at, end - open_at)]
+            else:
+                held = [*held, lines.slice(first, end - first)]
+        if crossing:
+            yield from (parts(h, (now[1], number)) for h in held)
+
+    return run
+
+
 def whole_records(lines: DataFrame) -> DataFrame:
     """(file, source_block, source_row, value, unclosed) with one row per record.
 
-    ``lines`` has the same columns but the last, with one row per line; a
-    record has the position of its first line.  Where a file ends inside a
-    quoted cell, the line that opened it is ``unclosed``, and the lines after
-    it are records of their own.
+    ``lines`` has the same columns but the last, with one row per line, those
+    of a block in one task, in order, as a scan gives them; a record has the
+    position of its first line.  Where a file ends inside a quoted cell, the
+    line that opened it is ``unclosed``, and the lines after it are records of
+    their own.
     """
-    in_block = Window.partitionBy("file", "source_block").orderBy("source_row")
     in_file = Window.partitionBy("file").orderBy("source_block")
-    up_to = lambda w, last: w.rowsBetween(Window.unboundedPreceding, last)
-    total = lambda c, w, last: F.coalesce(F.sum(c).over(up_to(w, last)), F.lit(0))
-
-    # A line either ends the same way however it starts (``fixed``), turns the
-    # state round (``turns``), or leaves it.  The state after some lines is that
-    # of the last fixed one, or else the first, turned by the turns since:
-    # ``mark`` is the fixed state with all turns before it taken back.
-    opens, stays = F.col("opens"), F.col("stays")
-    stated = (
-        lines.withColumns({"opens": opens_quote(F.col("value")).cast("long"), "stays": stays_open(F.col("value")).cast("long")})
-        .withColumn("turns", F.when((opens == 1) & (stays == 0), 1).otherwise(0))
-        .withColumn("turned", total("turns", in_block, -1))
-        .withColumn("mark", F.when(opens == stays, (opens + F.col("turned")) % 2))
-        .withColumn("marked", F.last("mark", ignorenulls=True).over(up_to(in_block, -1)))
-        .withColumns(
-            {f"open_{s}": (F.coalesce("marked", F.lit(s)) + F.col("turned")) % 2 for s in (0, 1)}
-        )
-    )
-    # One row per block: how it ends, how many records start in it, the last record before it.
-    latest = lambda order, end: F.last(order, ignorenulls=True).over(up_to(in_file, end))
+    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    flagged = lines.withColumns({"opens": opens_quote(F.col("value")), "stays": stays_open(F.col("value"))})
+    effects = flagged.select("file", "source_block", "opens", "stays").mapInArrow(_block_effects, _EFFECTS)
+    # A block has one of the effects of a line: ``mark`` is the state a fixed one ends in, with all turns before it taken back.
     blocks = (
-        stated.groupBy("file", "source_block")
-        .agg(
-            (F.sum("turns") % 2).alias("turns"),
-            F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("source_row"))).alias("own"),
-            F.count_if(F.col("open_0") == 0).alias("starts_0"),
-            F.count_if(F.col("open_1") == 0).alias("starts_1"),
-        )
-        .withColumn("fixed", (F.col("own") + F.col("turns")) % 2)
-        .withColumn("turning", F.when(F.col("own").isNull(), F.col("turns")).otherwise(0))
-        .withColumn("turned", total("turning", in_file, -1))
+        effects.withColumn("fixed", F.when(F.col("open_0") == F.col("open_1"), F.col("open_0")))
+        .withColumn("turning", F.when(F.col("open_0") > F.col("open_1"), 1).otherwise(0))
+        .withColumn("turned", F.coalesce(F.sum("turning").over(before), F.lit(0)))
         .withColumn("mark", (F.col("fixed") + F.col("turned")) % 2)
-        .withColumn("open", (F.coalesce(latest("mark", -1), F.lit(0)) + F.col("turned")) % 2)
-        .withColumn(
-            "after",
-            F.when(F.col("own").isNotNull(), F.col("fixed")).otherwise((F.col("open") + F.col("turning")) % 2),
-        )
+        .withColumn("open", (F.coalesce(F.last("mark", ignorenulls=True).over(before), F.lit(0)) + F.col("turned")) % 2)
+        .withColumn("after", F.coalesce("fixed", (F.col("open") + F.col("turning")) % 2))
         .withColumn("starts", F.when(F.col("open") == 0, F.col("starts_0")).otherwise(F.col("starts_1")))
         .withColumn(
             "latest",
             F.when(F.col("starts") > 0, F.struct(F.col("source_block").alias("block"), F.col("starts").alias("number"))),
         )
-        .withColumn("carried", latest("latest", -1))
+        .withColumn("carried", F.last("latest", ignorenulls=True).over(before))
     )
+    blocks = written(blocks.select("file", "source_block", "open", "after", "latest", "carried"), "blocks")
     ends = blocks.groupBy("file").agg(
         F.max_by("after", "source_block").alias("file_open"), F.max("latest").alias("last_record")
     )
-    numbered = (
-        stated.join(blocks.select("file", "source_block", "open", "carried"), ["file", "source_block"])
-        .withColumn("is_start", F.when(F.col("open") == 0, F.col("open_0")).otherwise(F.col("open_1")) == 0)
-        .withColumn("number", total(F.col("is_start").cast("long"), in_block, Window.currentRow))
-        .withColumn(
-            "record",
-            F.when(F.col("number") > 0, F.struct(F.col("source_block").alias("block"), "number")).otherwise(
-                F.col("carried")
-            ),
-        )
+    # Number of the record of the block that is never closed; 0 is the one before the block.
+    lost = F.when(
+        F.col("file_open") == 1,
+        F.when(F.col("source_block") == F.col("last_record.block"), F.col("last_record.number")).when(
+            F.col("source_block") > F.col("last_record.block"), F.lit(0)
+        ),
+    )
+    states = blocks.join(ends, "file").select(
+        "file",
+        "source_block",
+        "open",
+        F.col("carried.block").alias("carried_block"),
+        F.col("carried.number").alias("carried_number"),
+        F.coalesce(lost, F.lit(-1)).cast("long").alias("lost"),
     )
-    position = ("file", "source_block", "source_row")
-    complete = F.col("is_start") & (F.col("opens") == 0)
-    single = numbered.where(complete).select(*position, "value", F.lit(False).alias("unclosed"))
-    parts = numbered.where(~complete).select(*position, "value", "record", "is_start").join(ends, "file")
-    lost = (F.col("file_open") == 1) & (F.col("record") == F.col("last_record"))
+    if blocks.count() <= SENT_BLOCKS:
+        read = flagged.join(F.broadcast(states), ["file", "source_block"])
+    else:
+        dealt = flagged.join(states, ["file", "source_block"]).repartition("file", "source_block")
+        read = dealt.sortWithinPartitions("file", "source_block", "source_row")
+    columns = ["file", "source_block", "source_row", "value", "unclosed"]
+    inner = read.mapInArrow(_cutting(False), _RECORDS).select(*columns)
+    record = ["file", "record_block", "record_number"]
     joined = (
-        parts.where(~lost)
-        .groupBy("file", "record")
+        read.mapInArrow(_cutting(True), _RECORDS)
+        .groupBy(*record)
         .agg(F.array_sort(F.collect_list(F.struct("source_block", "source_row", "value"))).alias("l"))
         .select(
             "file",
@@ -119,5 +237,4 @@ def whole_records(lines: DataFrame) -> DataFrame:
             F.lit(False).alias("unclosed"),
         )
     )
-    loose = parts.where(lost).select(*position, "value", F.col("is_start").alias("unclosed"))
-    return single.unionByName(joined).unionByName(loose)
+    return inner.unionByName(joined)

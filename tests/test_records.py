@@ -76,3 +76,20 @@ def test_stray_quotes_are_read_as_a_csv_reader_does(spark, tmp_path, seed):
     want = list(csv.reader(io.StringIO(text, newline="")))
     assert [next(csv.reader(io.StringIO(r.value, newline=""))) for r in records] == want
     assert not any(r.unclosed for r in records)
+
+
+def test_only_records_at_the_edges_of_blocks_are_shuffled(spark, tmp_path):
+    """A task holds no block: the text of records inside a block is neither sorted, windowed nor shuffled."""
+    (tmp_path / "x.csv").write_text("".join(f'r{i},"two\nlines {i}",x\n' for i in range(2000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        records = whole_records(read(spark, str(tmp_path)))
+        plan = records._jdf.queryExecution().optimizedPlan().toString()
+        rows = records.orderBy("source_block", "source_row").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert "Window" not in plan
+    assert len({r.source_block for r in rows}) > 3
+    assert [r.value for r in rows] == [f'r{i},"two\nlines {i}",x' for i in range(2000)]
