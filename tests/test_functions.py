@@ -155,3 +155,19 @@ def test_names_from_files(spark, path, name, json_name):
 def test_places(spark, location, address, expected):
     place = N.city_state_of_location(F.lit(location).cast("string"), F.lit(address))
     assert tuple(one(spark, place)) == expected
+
+
+def test_without_takes_apart_only_texts_that_have_the_letters(spark):
+    texts = spark.createDataFrame(
+        [(b"plain",), ("\ufeffhead".encode(),), ("a\ufffdb".encode(),), (b"a\xffb",), (b"",), (None,)], "b binary"
+    ).select(F.col("b").cast("string").alias("t"))
+    told = texts.select(N.without(F.col("t"), "\ufeff\ufffd").alias("x"), F.translate("t", "\ufeff\ufffd", "").alias("y"))
+    rows = [tuple(r) for r in told.collect()]
+    assert [x for x, _ in rows] == ["plain", "head", "ab", "ab", "", None]
+    assert all(x == y for x, y in rows)
+
+
+def test_prices_are_not_taken_apart_letter_by_letter(spark):
+    price = spark.createDataFrame([("$1,2",)], "t string").select(P.clean_price(F.col("t")).alias("x"))
+    assert price.first().x == 12.0
+    assert "translate(" not in price._jdf.queryExecution().optimizedPlan().toString()
