@@ -10,29 +10,35 @@ from pyspark.sql import DataFrame, functions as F
 from pricelake.runtime import written
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """Rows (node, root) for the nodes of undirected ``edges`` (a, b); the root is the least node reachable.
 
     The roots have no row.  Each round ties the neighbours of every node to
     the least of them, so paths shrink to stars in a number of rounds that
     follows the logarithm of their length.  A hub is summed up map-side, and
     the join that brings its least neighbour back may be split by the
-    optimizer.  Rounds are written to the shared folder.
+    optimizer.  Rounds are written to the shared folder, in as many files as
+    the edges of the round before need; about ``rows`` are expected at first.
     """
-    kept = written(edges.where("a != b").select("a", "b").distinct(), "edges")
-    state = None
+    kept = written(edges.where("a != b").select("a", "b").distinct(), "edges", rows=rows)
+    state = _state(kept)
     while True:
         both = kept.union(kept.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         tied = both.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         tied = tied.union(least.select("u", "m")).where("a != b").distinct()
-        kept = written(tied, "edges")
-        now = kept.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
+        kept = written(tied, "edges", rows=2 * state[0])
+        now = _state(kept)
         if now == state:
             return kept.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = now
 
 
+def _state(edges: DataFrame) -> tuple[int, int | None]:
+    """Number and hash of the edges, which tell whether a round has changed them."""
+    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
+
+
 def in_blocks(members: DataFrame, key: str, node: str, size, limit: int) -> DataFrame:
     """Members with columns ``bi`` and ``bj``: groups (key, bi, bj) of bounded size in which every two members of a key meet.
 

@@ -230,24 +230,26 @@ def near_duplicates(
         .agg(F.min("band").alias("band"))
         .select("band")
     )
-    buckets = written(nodes.join(shared, "band"), "buckets")
+    buckets = written(nodes.join(shared, "band"), "buckets", rows=found.count() * bands_of(threshold))
+    n_buckets = buckets.count()
     own = found.join(buckets.select("node").distinct(), "node").groupBy("node").agg(
         F.min("text_key").alias("text_key"),
         F.first("registers").alias("registers"),
         F.first("n_shingles").alias("n_shingles"),
     )
-    own = written(own, "candidates")
+    own = written(own, "candidates", rows=n_buckets)
     met = graph.in_blocks(buckets, "band", "node", F.lit(1), BLOCK_ROWS).join(own.select("node", "registers"), "node")
-    likely = graph.components(_linked_by_registers(met, threshold))
+    likely = graph.components(_linked_by_registers(met, threshold), n_buckets)
 
     roots = likely.select(F.col("root").alias("node"), "root").distinct()
     clusters = written(
-        likely.union(roots).join(own.select("node", "text_key", "n_shingles"), "node"), "clusters"
+        likely.union(roots).join(own.select("node", "text_key", "n_shingles"), "node"), "clusters", rows=n_buckets
     )
-    sets = _sets_of(plain, clusters, words)
+    n_clustered = clusters.count()
+    sets = _sets_of(plain, clusters.select("text_key").distinct(), n_clustered <= BROADCAST_ROWS, words)
     sized = clusters.select("node", F.xxhash64("root").alias("cluster_key"), "n_shingles")
     members = graph.in_blocks(sized, "cluster_key", "node", F.col("n_shingles"), BLOCK_SHINGLES)
-    linked = graph.components(_linked_by_sets(members.drop("n_shingles").join(sets, "node"), share, whole))
+    linked = graph.components(_linked_by_sets(members.drop("n_shingles").join(sets, "node"), share, whole), n_clustered)
 
     least = found.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"))
     named = linked.union(linked.select("root", "root").distinct()).join(least, "node")
@@ -264,10 +266,9 @@ def near_duplicates(
     )
 
 
-def _sets_of(plain: DataFrame, clusters: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) of the clustered nodes, read from one text each."""
-    keys = clusters.select("text_key").distinct()
-    if clusters.count() <= BROADCAST_ROWS:
+def _sets_of(plain: DataFrame, keys: DataFrame, few: bool, words: int) -> DataFrame:
+    """(node, shingles) of the clustered nodes, read from one text each; ``few`` text keys are sent to all tasks."""
+    if few:
         keys = F.broadcast(keys)
 
     def run(batches):

@@ -83,12 +83,22 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def written(df: DataFrame, purpose: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+#: Rows in a file of an intermediate table, where their number is roughly known beforehand.
+FILE_ROWS = 50_000
+
+
+def written(df: DataFrame, purpose: str, partition_by: tuple[str, ...] = (), rows: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder.
 
     Cuts the lineage in a way that survives lost executors, and gives later
-    joins a measured size to decide on.
+    joins a measured size to decide on.  Where about ``rows`` rows are
+    expected, there are no more files than these need and the cores can write
+    twice: a few rows in a file for every shuffle partition cost more than the
+    rows do (on a local file system each file's permissions are set by a
+    process that the executor starts).
     """
     path = new_folder(df.sparkSession, purpose)
+    if rows is not None:
+        df = df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

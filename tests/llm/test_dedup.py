@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
+from pricelake import runtime
 from pricelake.llm import exact_dedup, graph, near_dedup, ranks, shards
 from pyspark.sql import functions as F
 
@@ -96,6 +97,26 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert collections.Counter(map(tuple, found.collect())) == brute_components(rows, 3, 85, 100)
 
 
+def test_near_duplicates_write_few_files(spark, monkeypatch, tmp_path):
+    """Small intermediate tables are not spread over a file for every shuffle partition."""
+    folders = (f"file://{tmp_path}/{i}" for i in range(1000))
+    monkeypatch.setattr(runtime, "new_folder", lambda *_: next(folders))
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    rows = near_rows(6, 120)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        docs = frame(spark, rows).coalesce(2)
+        found = collections.Counter(map(tuple, near_dedup.near_duplicates(docs, words=3, share=85).collect()))
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert found == brute_components(rows, 3, 85, 100)
+    files = {p.name: len(list(p.glob("part-*"))) for p in tmp_path.iterdir()}
+    assert len(files) > 5 and max(files.values()) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(frame(spark, []), words=3, share=85).count() == 0
 
