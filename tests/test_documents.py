@@ -126,3 +126,21 @@ def test_only_edges_of_blocks_travel(spark, tmp_path):
         assert len(states) == -(-size // 4000)
         assert all(0 <= r.depth <= 6 for r in states) and sum(r.first for r in states) == sum(r.last for r in states) == 1
         assert split(spark, str(path), True) == items
+
+
+def test_items_of_split_documents_are_not_written(spark, tmp_path, monkeypatch):
+    items = random_items(6, 200)
+    (tmp_path / "x.json").write_text(json.dumps({"hospital_name": "x", KEY: items}))
+    tables = []
+
+    def kept(df, *more):
+        tables.append(J_written(df, *more))
+        return tables[-1]
+
+    J_written = J.written
+    monkeypatch.setattr(J, "written", kept)
+    with blocks_of(spark, 4000):
+        assert split(spark, str(tmp_path), True) == items
+    # one item at the edge of two blocks, where it does not end with the first
+    blocks = tables[0].count()
+    assert blocks > 3 and sum(t.where("item is not null").count() for t in tables if "item" in t.columns) <= blocks + 1
