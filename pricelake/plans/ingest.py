@@ -110,7 +110,7 @@ def _write_lines(raw: DataFrame, catalog: DataFrame, options: Options) -> DataFr
     are told apart by position after the writing.
     """
     normalized = N.normalize(
-        raw, options.outpatient_only, options.require_cash_price, keep=(X.OPEN_QUOTE, X.MAYBE_TOP)
+        raw, options.outpatient_only, options.require_cash_price, keep=(X.MAYBE_TOP,)
     )
     lines = written(
         normalized.withColumn("accepted", F.size("reasons") == 0), "lines", ("accepted", X.MAYBE_TOP)
@@ -133,20 +133,15 @@ def _write_lines(raw: DataFrame, catalog: DataFrame, options: Options) -> DataFr
 def normalized_lines(catalog: DataFrame, options: Options) -> DataFrame:
     """Normalised lines of all loadable files, written and split by outcome.
 
-    Files are read line by line, which splits them freely.  The few that turn
-    out to have line breaks inside cells are read again as whole records, and
-    what was made of their lines is left out.
+    Files are read line by line, which splits them freely.  The few that have
+    line breaks inside cells are found first and read as whole records.
     """
-    lines = _write_lines(X.raw_charges(catalog), catalog, options)
-    broken = written(
-        lines.where(F.col(X.OPEN_QUOTE)).select(F.col("source_file").alias("file")).distinct(),
-        "broken",
-    )
-    if not broken.isEmpty():
-        again = X.quoted_charges(catalog.join(broken, "file", "left_semi"))
-        fine = lines.join(broken, lines["source_file"] == broken["file"], "left_anti")
-        lines = fine.unionByName(_write_lines(again, catalog, options))
-    return lines.drop(X.OPEN_QUOTE)
+    broken = written(X.quoted_files(catalog), "broken")
+    if broken.isEmpty():
+        return _write_lines(X.raw_charges(catalog), catalog, options)
+    fine = _write_lines(X.raw_charges(catalog.join(broken, "file", "left_anti")), catalog, options)
+    whole = X.quoted_charges(catalog.join(broken, "file", "left_semi"))
+    return fine.unionByName(_write_lines(whole, catalog, options))
 
 
 def ingest_files(

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pricelake.functions.names import without
 from pricelake.operators import match as M
 from pricelake.operators.normalize import FAULT
+from pricelake.runtime import written
 from pricelake.schemas import JSON_ITEM, RAW_CHARGES
 from pricelake.sources.catalog import glob_safe
 from pricelake.sources.documents import document_items, document_pieces
@@ -26,7 +27,7 @@ RAW_FIELDS = (
 MIN_WIDTH = 16
 #: Distinct layouts, and files, whose descriptions are sent to all tasks at once.
 SENT_LAYOUTS, SENT_FILES = 20_000, 200_000
-OPEN_QUOTE, MAYBE_TOP = "open_quote", "maybe_top"
+MAYBE_TOP = "maybe_top"
 INCOMPLETE_ITEM = "incomplete_item"
 
 
@@ -40,9 +41,9 @@ def raw_charges(catalog: DataFrame) -> DataFrame:
 
     CSV files are read by width class and JSON files by shape, so the plan has
     a handful of scans however many layouts the files have.  Every CSV line is
-    taken for a record; where ``open_quote`` is set, that was wrong and the
-    file has to be read by ``quoted_charges``.  Lines that may be the header or
-    stand above it are marked ``maybe_top``.  JSON documents are split.
+    taken for a record; ``quoted_files`` have to be read by ``quoted_charges``
+    instead.  Lines that may be the header or stand above it are marked
+    ``maybe_top``.  JSON documents are split.
     """
     loadable = catalog.where(F.col("status") == "ok")
     parts = []
@@ -57,10 +58,41 @@ def raw_charges(catalog: DataFrame) -> DataFrame:
     return _union(catalog, parts)
 
 
+def quoted_files(catalog: DataFrame) -> DataFrame:
+    """(file) of loadable CSV files with line breaks inside cells.
+
+    They have a line that ends inside one.  A line that reads like the header
+    or one above it is one only among the first such lines of its file, as
+    many as there are; the others count.
+    """
+    csv = catalog.where((F.col("status") == "ok") & (F.col("format") == "csv"))
+    opens = F.max(F.when(~F.col(MAYBE_TOP), True)).alias("beside")
+    found = written(_marked_lines(csv).where(opens_quote(F.col("value"))).groupBy("file").agg(opens), "open")
+    doubtful = found.where(F.col("beside").isNull()).select("file")
+    if doubtful.isEmpty():
+        return found.select("file")
+    order = Window.partitionBy("file").orderBy("source_block", "source_row")
+    n_top = F.size(F.filter("top_texts", lambda t: F.trim(t) != ""))
+    like_top = _marked_lines(csv.join(doubtful, "file", "left_semi")).where(MAYBE_TOP)
+    late = like_top.withColumn("nth", F.row_number().over(order)).where((F.col("nth") > n_top) & opens_quote(F.col("value")))
+    return found.where("beside").select("file").unionByName(late.select("file").distinct())
+
+
+def _marked_lines(csv: DataFrame) -> DataFrame:
+    """Lines of CSV files, with the texts down to the header and whether a line is like one of them."""
+    paths = [p for found in _paths(csv).values() for p in found]
+    if not paths:
+        empty = csv.sparkSession.createDataFrame([], "file string, source_block long, source_row long, value string")
+        return empty.withColumns({"top_texts": F.array().cast("array<string>"), MAYBE_TOP: F.lit(False)})
+    files, layouts = _layouts(csv, "top_texts")
+    lines = _csv_lines(csv, paths).join(files.select("file", "layout"), "file").join(layouts, "layout")
+    return lines.drop("layout").withColumn(MAYBE_TOP, F.array_contains("top_texts", F.col("value")))
+
+
 def quoted_charges(catalog: DataFrame) -> DataFrame:
     """Raw charge lines of CSV files that have line breaks inside cells."""
     parts = [
-        _csv_charges(whole_records(_csv_lines(catalog, paths)), catalog, width)
+        _csv_charges(whole_records(_csv_lines(catalog, paths), catalog), catalog, width)
         for (_, width), paths in _paths(catalog).items()
     ]
     return _union(catalog, parts)
@@ -78,7 +110,7 @@ def _paths(catalog: DataFrame) -> dict[tuple, list[str]]:
 def _union(catalog: DataFrame, parts: list[DataFrame]) -> DataFrame:
     if not parts:
         empty = catalog.sparkSession.createDataFrame([], RAW_CHARGES)
-        return empty.withColumns({OPEN_QUOTE: F.lit(False), MAYBE_TOP: F.lit(False), FAULT: F.lit(None).cast("string")})
+        return empty.withColumns({MAYBE_TOP: F.lit(False), FAULT: F.lit(None).cast("string")})
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -104,6 +136,13 @@ def _sent(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def _layouts(catalog: DataFrame, *layout: str) -> tuple[DataFrame, DataFrame]:
+    """(file, facility_id, layout) of CSV files, and what there is to know of each distinct layout."""
+    keyed = catalog.where(F.col("format") == "csv").withColumn("layout", F.xxhash64(F.to_json(F.struct(*layout))))
+    files = _sent(keyed.select("file", "facility_id", "layout"), SENT_FILES)
+    return files, _sent(keyed.select("layout", *layout).dropDuplicates(["layout"]), SENT_LAYOUTS)
+
+
 def _csv_charges(lines: DataFrame, catalog: DataFrame, width: int) -> DataFrame:
     """CSV records to raw charge lines, cells picked by the mapping of their file.
 
@@ -111,10 +150,7 @@ def _csv_charges(lines: DataFrame, catalog: DataFrame, width: int) -> DataFrame:
     the text of the lines is not shuffled.
     """
     names = [f"c{i}" for i in range(width)]
-    layout = ["width", "top_texts", "code_columns", *[f"{f}_pos" for f in M.FIELDS]]
-    keyed = catalog.where(F.col("format") == "csv").withColumn("layout", F.xxhash64(F.to_json(F.struct(*layout))))
-    files = _sent(keyed.select("file", "facility_id", "layout"), SENT_FILES)
-    layouts = _sent(keyed.select("layout", *layout).dropDuplicates(["layout"]), SENT_LAYOUTS)
+    files, layouts = _layouts(catalog, "width", "top_texts", "code_columns", *[f"{f}_pos" for f in M.FIELDS])
     # Rows are filled up to the width of their class: a row of the expected
     # length is then never malformed to the parser.
     filled = F.concat("value", F.repeat(F.lit(","), F.lit(width) - F.col("width")))
@@ -147,7 +183,6 @@ def _csv_charges(lines: DataFrame, catalog: DataFrame, width: int) -> DataFrame:
         "source_row",
         *[cell(F.col(f"{f}_pos")).alias(f) for f in RAW_FIELDS],
         F.coalesce(pairs, F.array().cast(RAW_CHARGES["code_pairs"].dataType)).alias("code_pairs"),
-        opens_quote(F.col("value")).alias(OPEN_QUOTE),
         F.array_contains("top_texts", F.col("value")).alias(MAYBE_TOP),
         F.when(F.col("unclosed"), F.lit(UNCLOSED_QUOTE)).alias(FAULT),
     )
@@ -185,7 +220,6 @@ def _charges(items: DataFrame, catalog: DataFrame, fault: Column | None = None)
             F.col("source_block").cast("long"),
             F.col("source_row").cast("long"),
             *[c.alias(n) for n, c in item_fields(F.col("item")).items()],
-            F.lit(False).alias(OPEN_QUOTE),
             F.lit(False).alias(MAYBE_TOP),
             (F.lit(None).cast("string") if fault is None else fault).alias(FAULT),
         )

@@ -22,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pricelake.runtime import written
-from pricelake.sources.documents import SENT_BLOCKS, runs
+from pricelake.sources.documents import SENT_BLOCKS, runs, with_file_keys
 
 # Executors need not have this package installed: what they run is sent along.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -49,8 +49,8 @@ def stays_open(line: Column) -> Column:
     return ~F.contains(line, F.lit('"')) | line.rlike(_OPEN_FROM_OPEN)
 
 
-_EFFECTS = "file string, source_block long, open_0 int, open_1 int, starts_0 long, starts_1 long"
-_RECORDS = "file string, source_block long, source_row long, value string, unclosed boolean, record_block long, record_number long"
+_EFFECTS = "file_key long, source_block long, open_0 int, open_1 int, starts_0 long, starts_1 long"
+_RECORDS = "file_key long, source_block long, source_row long, value string, unclosed boolean, record_block long, record_number long"
 
 
 def line_states(opens: np.ndarray, stays: np.ndarray, start: int) -> np.ndarray:
@@ -73,10 +73,9 @@ def _block_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.R
     for batch in batches:
         if not batch.num_rows:
             continue
-        files = batch.column("file").dictionary_encode()
-        code, block = files.indices.to_numpy(), batch.column("source_block").to_numpy()
-        for a, b in runs([code, block]):
-            yield (files.dictionary[int(code[a])].as_py(), int(block[a])), batch.slice(a, b - a)
+        file, block = batch.column("file_key").to_numpy(), batch.column("source_block").to_numpy()
+        for a, b in runs([file, block]):
+            yield (int(file[a]), int(block[a])), batch.slice(a, b - a)
 
 
 def _flags(lines: pa.RecordBatch, name: str) -> np.ndarray:
@@ -88,8 +87,8 @@ def _block_effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     now, ends, starts = None, [0, 1], [0, 0]
 
     def row():
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        names = ["file", "source_block", "open_0", "open_1", "starts_0", "starts_1"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        names = ["file_key", "source_block", "open_0", "open_1", "starts_0", "starts_1"]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*now, *ends, *starts), kinds)], names=names)
 
     for key, lines in _block_runs(batches):
@@ -110,8 +109,8 @@ def _rows(lines: pa.RecordBatch, value: pa.Array, unclosed: pa.Array, record: tu
     n = len(value)
     same = lambda i: pa.nulls(n, pa.int64()) if record is None else pa.repeat(pa.scalar(record[i], pa.int64()), n)
     return pa.RecordBatch.from_arrays(
-        [*[lines.column(c) for c in ("file", "source_block", "source_row")], value, unclosed, same(0), same(1)],
-        names=["file", "source_block", "source_row", "value", "unclosed", "record_block", "record_number"],
+        [*[lines.column(c) for c in ("file_key", "source_block", "source_row")], value, unclosed, same(0), same(1)],
+        names=["file_key", "source_block", "source_row", "value", "unclosed", "record_block", "record_number"],
     )
 
 
@@ -170,19 +169,22 @@ def _cutting(crossing: bool):
     return run
 
 
-def whole_records(lines: DataFrame) -> DataFrame:
+def whole_records(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """(file, source_block, source_row, value, unclosed) with one row per record.
 
     ``lines`` has the same columns but the last, with one row per line, those
     of a block in one task, in order, as a scan gives them; a record has the
     position of its first line.  Where a file ends inside a quoted cell, the
     line that opened it is ``unclosed``, and the lines after it are records of
-    their own.
+    their own.  ``files`` has the ``file`` of all; it spares a read.
     """
-    in_file = Window.partitionBy("file").orderBy("source_block")
+    in_file = Window.partitionBy("file_key").orderBy("source_block")
     before = in_file.rowsBetween(Window.unboundedPreceding, -1)
-    flagged = lines.withColumns({"opens": opens_quote(F.col("value")), "stays": stays_open(F.col("value"))})
-    effects = flagged.select("file", "source_block", "opens", "stays").mapInArrow(_block_effects, _EFFECTS)
+    lines, files = with_file_keys(lines, files)
+    flagged = lines.select("file_key", "source_block", "source_row", "value").withColumns(
+        {"opens": opens_quote(F.col("value")), "stays": stays_open(F.col("value"))}
+    )
+    effects = flagged.select("file_key", "source_block", "opens", "stays").mapInArrow(_block_effects, _EFFECTS)
     # A block has one of the effects of a line: ``mark`` is the state a fixed one ends in, with all turns before it taken back.
     blocks = (
         effects.withColumn("fixed", F.when(F.col("open_0") == F.col("open_1"), F.col("open_0")))
@@ -198,8 +200,8 @@ def whole_records(lines: DataFrame) -> DataFrame:
         )
         .withColumn("carried", F.last("latest", ignorenulls=True).over(before))
     )
-    blocks = written(blocks.select("file", "source_block", "open", "after", "latest", "carried"), "blocks")
-    ends = blocks.groupBy("file").agg(
+    blocks = written(blocks.select("file_key", "source_block", "open", "after", "latest", "carried"), "blocks")
+    ends = blocks.groupBy("file_key").agg(
         F.max_by("after", "source_block").alias("file_open"), F.max("latest").alias("last_record")
     )
     # Number of the record of the block that is never closed; 0 is the one before the block.
@@ -209,32 +211,37 @@ def whole_records(lines: DataFrame) -> DataFrame:
             F.col("source_block") > F.col("last_record.block"), F.lit(0)
         ),
     )
-    states = blocks.join(ends, "file").select(
-        "file",
+    states = blocks.join(ends, "file_key").select(
+        "file_key",
         "source_block",
         "open",
         F.col("carried.block").alias("carried_block"),
         F.col("carried.number").alias("carried_number"),
         F.coalesce(lost, F.lit(-1)).cast("long").alias("lost"),
+        ((F.col("open") == 1) | (F.col("after") == 1)).alias("crossed"),
     )
-    if blocks.count() <= SENT_BLOCKS:
-        read = flagged.join(F.broadcast(states), ["file", "source_block"])
+    n, crossed = blocks.agg(F.count("*"), F.count_if((F.col("open") == 1) | (F.col("after") == 1))).first()
+    if n <= SENT_BLOCKS:
+        read = flagged.join(F.broadcast(states), ["file_key", "source_block"])
     else:
-        dealt = flagged.join(states, ["file", "source_block"]).repartition("file", "source_block")
-        read = dealt.sortWithinPartitions("file", "source_block", "source_row")
-    columns = ["file", "source_block", "source_row", "value", "unclosed"]
-    inner = read.mapInArrow(_cutting(False), _RECORDS).select(*columns)
-    record = ["file", "record_block", "record_number"]
+        dealt = flagged.join(states, ["file_key", "source_block"]).repartition("file_key", "source_block")
+        read = dealt.sortWithinPartitions("file_key", "source_block", "source_row")
+    columns = ["file_key", "source_block", "source_row", "value", "unclosed"]
+    named = lambda records: records.join(F.broadcast(files), "file_key").select("file", *columns[1:])
+    inner = named(read.drop("crossed").mapInArrow(_cutting(False), _RECORDS).select(*columns))
+    if not crossed:
+        return inner
+    record = ["file_key", "record_block", "record_number"]
     joined = (
-        read.mapInArrow(_cutting(True), _RECORDS)
+        read.where("crossed").drop("crossed").mapInArrow(_cutting(True), _RECORDS)
         .groupBy(*record)
         .agg(F.array_sort(F.collect_list(F.struct("source_block", "source_row", "value"))).alias("l"))
         .select(
-            "file",
+            "file_key",
             F.get("l", F.lit(0))["source_block"].alias("source_block"),
             F.get("l", F.lit(0))["source_row"].alias("source_row"),
             F.array_join("l.value", "\n").alias("value"),
             F.lit(False).alias("unclosed"),
         )
     )
-    return inner.unionByName(joined)
+    return inner.unionByName(named(joined))

@@ -258,3 +258,56 @@ def test_options(spark, tmp_path):
 def test_nothing_to_ingest(spark, place):
     done = I.ingest_directory(spark, place, "*.xml")
     assert (done.report.count(), done.operations.count(), done.hospitals.count()) == (0, 0, 0)
+
+
+def test_files_with_line_breaks_in_cells_are_parsed_once(spark, tmp_path, monkeypatch):
+    body = "".join(f'"line {i}\nbroken",{i},CPT,,,,9,5,,\n' for i in range(20))
+    (tmp_path / "a.csv").write_text(META + HEADER + body)
+    (tmp_path / "b.csv").write_text(META.replace("Test Hospital", "Other Clinic") + HEADER + "X,1,CPT,,,,9,5,,\n")
+    parsed = []
+
+    def counted(df, purpose, *more):
+        table = I_written(df, purpose, *more)
+        parsed.append(table.count() if purpose == "lines" else 0)
+        return table
+
+    I_written = I.written
+    monkeypatch.setattr(I, "written", counted)
+    done = I.ingest_directory(spark, str(tmp_path), options=OPTIONS)
+    assert done.operations.count() == 21
+    # beside the records there are three rows of either file down to the header
+    assert sum(parsed) == 21 + 6
+
+
+def test_a_repeated_header_that_opens_a_quote(spark, tmp_path):
+    """Its last cell is open at the end of its line: the header itself is left alone, the same line further down is not."""
+    lines = spark.createDataFrame(
+        [("f", 0, i, v) for i, v in enumerate(["a,\"b", "1,2", "a,\"b", "3\",4"])] + [("g", 0, 9, "a,\"b")],
+        "file string, source_block long, source_row long, value string",
+    ).withColumns({"top_texts": F.array(F.lit('a,"b')), X.MAYBE_TOP: F.col("value") == 'a,"b'})
+    catalog = spark.createDataFrame([(n, n, "ok", "csv", 2) for n in "fg"], "file string, path string, status string, format string, width int")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(X, "_marked_lines", lambda csv: lines.join(csv.select("file"), "file", "left_semi"))
+        assert [r.file for r in X.quoted_files(catalog).collect()] == ["f"]
+
+
+def test_runs_over_some_files_each_are_one_run(spark, tmp_path):
+    """Files that share an id or a facility with one of another run count as in one run."""
+    row = "X,{},CPT,,,,9,{},,\n".format
+    for name, hospital, body in [
+        ("a", "Northside Hospital", row(1, 5)),
+        ("b", "Test Hospital", row(1, 5) + row(2, 5)),
+        ("c", "Northern Hospital", row(1, 5)),
+        ("d", "Test Hospital", row(1, 7) + "Stay,1,CPT,,,inpatient,9,5,,\n"),
+    ]:
+        (tmp_path / f"{name}.csv").write_text(META.replace("Test Hospital", hospital) + HEADER + body)
+    one = I.ingest_directory(spark, str(tmp_path), options=OPTIONS)
+    two = I.merged(I.ingest_directory(spark, str(tmp_path), f"[{p}]*", options=OPTIONS) for p in ("ab", "cd"))
+    status = lambda done: sorted(tuple(r) for r in done.report.drop("processing_seconds").collect())
+    assert [r.status for r in two.report.orderBy("path").collect()] == ["id_collision", "ok", "id_collision", "ok"]
+    assert status(one) == status(two)
+    assert rows(two.operations) == rows(one.operations) == [
+        ("X", {"HCPCS": ["2"]}, 5.0, 9.0, None, None),
+        ("X", {"HCPCS": ["1"]}, 7.0, 9.0, None, None),
+    ]
+    assert two.hospitals.collect() == one.hospitals.collect()
